@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import fresh_path, staged
 from .lines import line_digest
+from .near_dups import near_duplicates
 from .packing import pack_documents
 from .token_file import read_token_files, with_global_start, write_token_files
 
@@ -28,6 +29,10 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), vocabulary(), capacity=2048, end_id=0)
 
 
+def op4_hyperminhash_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), words=5, percent=85)
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_digest(table(spark, sf_dir, "documents"), min_docs=10, min_chars=1)
 
@@ -42,6 +47,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
+        "op4_hyperminhash_near_dups": op4_hyperminhash_near_dups,
         "op9_line_dedup": op9_line_dedup,
         "op10_token_files": op10_token_files,
     }
