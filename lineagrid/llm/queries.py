@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import fresh_path, staged
+from .decontamination import contaminated, scan_documents
 from .lines import line_digest
 from .near_dups import near_duplicates
 from .packing import pack_documents
+from .quality import quality_scores
 from .token_file import read_token_files, with_global_start, write_token_files
 
 
@@ -29,10 +31,25 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), vocabulary(), capacity=2048, end_id=0)
 
 
+def held_out(doc_id: str = "doc_id"):
+    return F.crc32(F.col(doc_id).cast("string")) % 3 == 1
+
+
+def op3_quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    scored = quality_scores(table(spark, sf_dir, "documents"), labels, train_on=~held_out())
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op4_hyperminhash_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=5, percent=85)
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contaminated(scan_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), window=13), share=20)
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_digest(table(spark, sf_dir, "documents"), min_docs=10, min_chars=1)
 
@@ -47,7 +64,9 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
+        "op3_quality_discriminant": op3_quality_discriminant,
         "op4_hyperminhash_near_dups": op4_hyperminhash_near_dups,
+        "op6_decontamination": op6_decontamination,
         "op9_line_dedup": op9_line_dedup,
         "op10_token_files": op10_token_files,
     }
@@ -66,5 +85,21 @@ FROM marked GROUP BY doc_id
 """
 
 
+OP6 = r"""
+WITH docs AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+items AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+item_at AS (SELECT item_id, w, unnest(generate_series(1, greatest(1, len(w) - 12))) AS i FROM items WHERE len(w) > 0),
+windows AS (SELECT DISTINCT item_id, list_slice(w, i, least(len(w), i + 12)) AS g FROM item_at),
+sizes AS (SELECT DISTINCT len(g) AS n FROM windows),
+doc_at AS (SELECT doc_id, w, n, unnest(generate_series(1, len(w) - n + 1)) AS i FROM docs, sizes WHERE len(w) >= n),
+hits AS (SELECT d.doc_id, d.i, d.n, x.item_id FROM doc_at d JOIN windows x ON list_slice(d.w, d.i, d.i + d.n - 1) = x.g),
+words AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(generate_series(i, i + n - 1)) AS p FROM (SELECT DISTINCT doc_id, i, n FROM hits)) GROUP BY doc_id),
+found AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS l FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id)
+SELECT d.doc_id, len(d.w) AS n_words, coalesce(h.n_hit, 0) AS n_hit, coalesce(f.n_items, 0) AS n_items, sha256(coalesce(f.l, '')) AS items_sha256,
+       coalesce(h.n_hit, 0) > 0 AND 20 * coalesce(h.n_hit, 0) >= len(d.w) AS contaminated
+FROM docs d LEFT JOIN words h ON d.doc_id = h.doc_id LEFT JOIN found f ON d.doc_id = f.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op9_line_dedup": OP9.strip()}
+    return {"op6_decontamination": OP6.strip(), "op9_line_dedup": OP9.strip()}
