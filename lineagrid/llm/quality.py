@@ -41,6 +41,23 @@ def byte_classes() -> np.ndarray:
 KIND = byte_classes()
 
 
+def separator(*codes: int) -> np.ndarray:
+    table = np.zeros(256, bool)
+    table[list(codes)] = True
+    return table
+
+
+IS_BREAK = separator(0x0A)
+#: Short texts say little: a share is blended with its usual value as if so many bytes or words more had been seen.
+BLEND_BYTES, BLEND_WORDS = 100.0, 15.0
+#: Usual shares of the byte classes (fixed values, in the order of byte_classes).
+SHARES = (0.0, 0.02, 0.003, 0.002, 0.025, 0.003, 0.02, 0.16, 0.767)
+
+
+def blend(total: np.ndarray, size: np.ndarray, usual: float, weight: float) -> np.ndarray:
+    return (total + usual * weight) / (size + weight)
+
+
 def sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Sums of values between consecutive bounds."""
     total = np.concatenate([[0], np.cumsum(values, dtype=np.float64)])
@@ -65,40 +82,33 @@ def statistics(column: pa.Array) -> np.ndarray:
     n = len(offsets) - 1
     size = np.diff(offsets).astype(np.float64)
     kind = KIND[data]
-    share = [sums(kind == k, offsets) / np.maximum(size, 1) for k in range(9)]
+    share = [blend(sums(kind == k, offsets), size, SHARES[k], BLEND_BYTES) for k in range(9)]
     starts, ends, first = word_spans(data, offsets, IS_SPACE)
     words = np.diff(first).astype(np.float64)
-    some = np.maximum(words, 1)
     row = np.repeat(np.arange(n), np.diff(first))
+    per_word = lambda total, usual: blend(total, words, usual, BLEND_WORDS)
     length = (ends - starts).astype(np.float64)
-    mean = sums(length, first) / some
-    sd = np.sqrt(np.maximum(sums(length**2, first) / some - mean**2, 0))
+    mean = per_word(sums(length, first), 6.0)
+    sd = np.sqrt(np.maximum(per_word(sums(length**2, first), 45.0) - mean**2, 0))
     h = word_hashes(LOWER[data], starts, ends)
     uniq, entropy = distinct(h, row, n)
     same_row = row[1:] == row[:-1] if len(row) else np.zeros(0, bool)
     next_same = np.concatenate([(h[1:] == h[:-1]) & same_row, [False]]) if len(h) else np.zeros(0, bool)
     pair = mixed(h[:-1] * np.uint64(31) + h[1:])[same_row] if len(h) > 1 else np.zeros(0, np.uint64)
     pairs, _ = distinct(pair, row[1:][same_row] if len(h) > 1 else np.zeros(0, np.int64), n)
-    letter = np.isin(kind, (1, 6, 8))
-    low_or_high = np.concatenate([[0], np.cumsum(letter)])
-    letters = low_or_high[ends] - low_or_high[starts]
-    symbols = np.concatenate([[0], np.cumsum((kind == 3) | (kind == 5))])
-    upper = np.concatenate([[0], np.cumsum(kind == 1)])
-    is_newline = data == 10
-    lines = sums(is_newline, offsets) + 1
-    line_break = np.ones(256, bool)
-    line_break[:] = False
-    line_break[10] = True
-    ls, le, lf = word_spans(data, offsets, line_break)
-    line_row = np.repeat(np.arange(n), np.diff(lf))
-    line_uniq, _ = distinct(word_hashes(LOWER[data], ls, le), line_row, n)
-    line_n = np.maximum(np.diff(lf), 1)
+    running = lambda mask: np.concatenate([[0], np.cumsum(mask)])
+    letters, symbols, upper = (running(m) for m in (np.isin(kind, (1, 6, 8)), (kind == 3) | (kind == 5), kind == 1))
+    letters, symbols, upper = (t[ends] - t[starts] for t in (letters, symbols, upper))
+    lines = sums(data == 10, offsets) + 1
+    line_start, line_end, line_first = word_spans(data, offsets, IS_BREAK)
+    full_lines = np.diff(line_first).astype(np.float64)
+    line_uniq, _ = distinct(word_hashes(LOWER[data], line_start, line_end), np.repeat(np.arange(n), np.diff(line_first)), n)
     root = np.sqrt
     return np.stack(
         [
-            np.log1p(size), np.log1p(words), np.log(lines), np.log1p(mean), np.log1p(sd), root(share[1]), root(share[2]), root(share[3]), root(share[4]), root(share[5]),
-            root(share[6]), root(share[7]), uniq / some, root(sums(next_same, first) / some), entropy / np.log(some + 1), sums(letters >= length, first) / some,
-            root(sums((upper[ends] - upper[starts]) >= np.maximum(letters, 1), first) / some), root(sums(symbols[ends] - symbols[starts] >= 2, first) / some), pairs / np.maximum(words - 1, 1), root(1 - line_uniq / line_n * (np.diff(lf) > 0)),
+            np.log(size + BLEND_BYTES), np.log(words + BLEND_WORDS), np.log(lines + 2), np.log(mean), np.log1p(sd), root(share[1]), root(share[2]), root(share[3]), root(share[4]), root(share[5]),
+            root(share[6]), root(share[7]), per_word(uniq, 0.9), root(per_word(sums(next_same, first), 0.0)), per_word(entropy / np.log(words + 2) * words, 0.95), per_word(sums(letters >= length, first), 0.85),
+            root(per_word(sums(upper >= np.maximum(letters, 1), first), 0.01)), root(per_word(sums(symbols >= 2, first), 0.01)), per_word(pairs, 0.98), root(blend(full_lines - line_uniq, full_lines, 0.0, 4.0)),
         ],
         axis=1,
     )

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from .common import fresh_path, staged
 from .decontamination import contaminated, scan_documents
+from .licenses import oracle_sql as license_sql
+from .licenses import scan_licenses
 from .lines import line_digest
 from .near_dups import near_duplicates
 from .packing import pack_documents
@@ -50,6 +52,10 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op8_license_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("spans")
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_digest(table(spark, sf_dir, "documents"), min_docs=10, min_chars=1)
 
@@ -67,6 +73,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_quality_discriminant": op3_quality_discriminant,
         "op4_hyperminhash_near_dups": op4_hyperminhash_near_dups,
         "op6_decontamination": op6_decontamination,
+        "op8_license_diagonals": op8_license_diagonals,
         "op9_line_dedup": op9_line_dedup,
         "op10_token_files": op10_token_files,
     }
@@ -102,4 +109,4 @@ FROM docs d LEFT JOIN words h ON d.doc_id = h.doc_id LEFT JOIN found f ON d.doc_
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_decontamination": OP6.strip(), "op9_line_dedup": OP9.strip()}
+    return {"op6_decontamination": OP6.strip(), "op8_license_diagonals": license_sql(), "op9_line_dedup": OP9.strip()}
