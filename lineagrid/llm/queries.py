@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import fresh_path, staged
 from .decontamination import contaminated, scan_documents
+from .html_text import extract_text
 from .licenses import oracle_sql as license_sql
 from .licenses import scan_licenses
 from .lines import line_digest
@@ -52,6 +53,10 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op7_html_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
+
+
 def op8_license_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("spans")
 
@@ -73,6 +78,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_quality_discriminant": op3_quality_discriminant,
         "op4_hyperminhash_near_dups": op4_hyperminhash_near_dups,
         "op6_decontamination": op6_decontamination,
+        "op7_html_consensus": op7_html_consensus,
         "op8_license_diagonals": op8_license_diagonals,
         "op9_line_dedup": op9_line_dedup,
         "op10_token_files": op10_token_files,
