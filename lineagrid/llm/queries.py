@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import fresh_path, staged
 from .decontamination import contaminated, scan_documents
+from .embeddings import near_vectors
 from .html_text import extract_text
 from .licenses import oracle_sql as license_sql
 from .licenses import scan_licenses
@@ -48,6 +49,10 @@ def op4_hyperminhash_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=5, percent=85)
 
 
+def op5_small_world_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"), least=0.93)
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contaminated(scan_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), window=13), share=20)
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
@@ -77,6 +82,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_best_fit_packing": op1_best_fit_packing,
         "op3_quality_discriminant": op3_quality_discriminant,
         "op4_hyperminhash_near_dups": op4_hyperminhash_near_dups,
+        "op5_small_world_near_dups": op5_small_world_near_dups,
         "op6_decontamination": op6_decontamination,
         "op7_html_consensus": op7_html_consensus,
         "op8_license_diagonals": op8_license_diagonals,
