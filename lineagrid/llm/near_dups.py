@@ -143,9 +143,8 @@ def bands(classes: DataFrame) -> DataFrame:
     return classes.select("doc_id", "regs").mapInArrow(rows, "key long, doc_id long")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """Of pairs (doc_id, pivot) those that link, as src, dst. Each row brings both texts together."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), "text")
     both = pairs.join(texts, pairs["doc_id"] == texts["_id"]).select("pivot", "doc_id", F.col("text").alias("text_a"))
     both = both.join(texts, both["pivot"] == texts["_id"]).select("pivot", "doc_id", "text_a", F.col("text").alias("text_b"))
 
@@ -196,7 +195,7 @@ def blocks(members: DataFrame) -> DataFrame:
     return spread.withColumn("g", F.xxhash64("key", low, high)).withColumn("side", side).drop("_own", "_other", "n")
 
 
-def residual_links(members: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int, partitions: int) -> DataFrame:
+def residual_links(members: DataFrame, classes: DataFrame, texts: DataFrame, words: int, percent: int, partitions: int) -> DataFrame:
     """Links between different components inside buckets: members are key, doc_id, n (of the bucket), component."""
     least = percent / 100
 
@@ -250,7 +249,6 @@ def residual_links(members: DataFrame, classes: DataFrame, docs: DataFrame, word
     spread = blocks(members.join(classes.select("doc_id", "own", "regs"), "doc_id"))
     spread = spread.select("g", "side", "key", "doc_id", "component", "own", "regs").repartition(partitions, "g").sortWithinPartitions("g", "doc_id")
     chosen = staged(spread.mapInArrow(promising, "g long, side int, doc_id long, component long"), "promising")
-    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), "text")
     full = chosen.join(texts, F.col("doc_id") == F.col("_id")).select("g", "side", "doc_id", "component", "text")
     return full.repartition(partitions, "g").sortWithinPartitions("g", "doc_id").mapInArrow(confirm, "src long, dst long")
 
@@ -271,6 +269,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 85) -> DataF
     shared = keys.groupBy("key").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("_last"), F.count("*").alias("n")).where("pivot < _last")
     members = staged(keys.join(shared.select(F.col("key").alias("_key"), "pivot", "n"), F.col("key") == F.col("_key")).select("key", "doc_id", "pivot", "n"), "members")
 
+    # the only time that all texts move: those of documents that share a bucket are kept aside
+    asked = members.select(F.col("doc_id").alias("_asked")).distinct().hint("shuffle_hash")
+    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), "text")
+    texts = staged(texts.join(asked, F.col("_id") == F.col("_asked"), "left_semi"), "texts")
+
     pairs = members.where("doc_id <> pivot").select("doc_id", "pivot").distinct()
     regs = classes.select(F.col("doc_id").alias("_id"), "own", "regs")
     near = pairs.join(regs, F.col("doc_id") == F.col("_id")).select("doc_id", "pivot", F.col("own").alias("own_a"), F.col("regs").alias("regs_a"))
@@ -287,13 +290,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 85) -> DataF
     # a document with several texts joins their classes
     several = known.groupBy("doc_id").agg(F.min(F.struct("s1", "s2")).alias("a"), F.max(F.struct("s1", "s2")).alias("b")).where("a <> b").select(F.col("doc_id").alias("_doc"))
     same = known.join(several, F.col("doc_id") == F.col("_doc")).join(sets.select(F.col("s1").alias("_1"), F.col("s2").alias("_2"), "rep"), (F.col("s1") == F.col("_1")) & (F.col("s2") == F.col("_2"))).select(F.col("doc_id").alias("src"), F.col("rep").alias("dst"))
-    links = staged(confirmed(near, docs, words, percent).unionByName(same), "links")
+    links = staged(confirmed(near, texts, words, percent).unionByName(same), "links")
     first = staged(connected_components(links), "components")
 
     placed = members.join(first, F.col("doc_id") == F.col("node"), "left").select("key", "doc_id", "n", F.coalesce("component", "doc_id").alias("component"))
     mixed_keys = placed.groupBy("key").agg(F.min("component").alias("_a"), F.max("component").alias("_b")).where("_a < _b").select(F.col("key").alias("_key"))
     left = staged(placed.join(mixed_keys, F.col("key") == F.col("_key")).drop("_key"), "mixed")
-    late = staged(residual_links(left, classes, docs, words, percent, partitions), "late-links")
+    late = staged(residual_links(left, classes, texts, words, percent, partitions), "late-links")
     if not late.isEmpty():
         first = staged(connected_components(links.unionByName(late)), "components")
 
