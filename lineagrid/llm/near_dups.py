@@ -304,3 +304,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 85) -> DataF
     out = rows.join(home, (F.col("s1") == F.col("_1")) & (F.col("s2") == F.col("_2")) & (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), "left")
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 85) -> DataFrame:
+    """The rows of docs, all columns, but for those of a document that is not its group's smallest doc_id."""
+    gone = near_duplicates(docs, words, percent).where("not kept").select(F.col("doc_id").alias("_gone")).distinct().hint("shuffle_hash")
+    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")

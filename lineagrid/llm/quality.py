@@ -222,13 +222,13 @@ def quality_scores(docs: DataFrame, labels: DataFrame, train_on: Column | None =
 def filter_quality(docs: DataFrame, labels: DataFrame, least: float = 0.5, train_on: Column | None = None, to_pooled: float = 0.1, to_identity: float = 0.02) -> DataFrame:
     """The rows of docs, all columns, whose score is at least `least`. The texts are read twice, and never shuffled."""
     need(docs, "doc_id", "text")
+    need(labels, "doc_id", "label")
     labelled = (labels if train_on is None else labels.where(train_on)).select("doc_id", "label")
-    columns = docs.columns
-    model = train(staged(featured(docs.join(labelled.select("doc_id").distinct(), "doc_id", "left_semi")), "features"), labelled, to_pooled, to_identity)
+    model = train(staged(featured(docs), "features"), labelled, to_pooled, to_identity)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             if batch.num_rows:
                 yield batch.filter(pa.array(model.scores(statistics(batch.column("text"))) >= least))
 
-    return docs.select(*columns).mapInArrow(rows, docs.schema)
+    return docs.mapInArrow(rows, docs.schema)

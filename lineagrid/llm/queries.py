@@ -77,6 +77,12 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_global_start(read).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
@@ -88,6 +94,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_license_diagonals": op8_license_diagonals,
         "op9_line_dedup": op9_line_dedup,
         "op10_token_files": op10_token_files,
+        "pipeline": pipeline,
     }
 
 
