@@ -17,6 +17,7 @@ from .lines import line_digest
 from .near_dups import near_duplicates
 from .packing import pack_documents
 from .quality import quality_scores
+from .repeats import digest, repeats
 from .token_file import read_token_files, with_global_start, write_token_files
 
 
@@ -35,6 +36,10 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), vocabulary(), capacity=2048, end_id=0)
 
 
+def op2_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest(repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), length=50))
+
+
 def held_out(doc_id: str = "doc_id"):
     return F.crc32(F.col(doc_id).cast("string")) % 3 == 1
 
@@ -86,6 +91,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
+        "op2_repeated_strings": op2_repeated_strings,
         "op3_quality_discriminant": op3_quality_discriminant,
         "op4_hyperminhash_near_dups": op4_hyperminhash_near_dups,
         "op5_small_world_near_dups": op5_small_world_near_dups,
