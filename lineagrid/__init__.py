@@ -1,0 +1,3 @@
+"""Clonal-lineage assignment and training-data operators on Spark."""
+
+__version__ = "0.1.0"
