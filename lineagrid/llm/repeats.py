@@ -8,7 +8,7 @@ else has the seed). For the few seeds with differing surroundings the windows th
 the left and compared: surroundings of small groups by seed, those of hot seeds window by window, each by its own hash.
 
 Skew: repeats that one task sees itself are settled there, so that a task sends a few rows of any window or surroundings
-at most; seeds with many surroundings are salted by them. Decisions are made on 112-bit hashes of the bytes.
+at most; seeds with many surroundings are salted by them. Decisions are made on 104-bit hashes of the bytes.
 
 Nulls are empty texts; texts under `length` bytes lose nothing. A null doc_id neither loses nor causes anything. Rows of
 one doc_id are one document: they cause nothing to each other. Extra columns are ignored; an empty table gives no rows.
@@ -30,7 +30,7 @@ from .wordbytes import column_bytes, mixed
 
 FULL, MIXED, HOT = 0, 1, 2
 #: Distinct surroundings of a seed from which its windows are dealt by themselves.
-HOT_CONTEXTS = 64
+HOT_CONTEXTS = 256
 #: Equal surroundings in one flush beyond which the later ones are settled on the spot.
 SETTLED = 8
 #: Text bytes whose anchors a task gathers before it sends them.
@@ -39,7 +39,7 @@ FLUSH_BYTES = 48 << 20
 
 def anchor_ids(seed: np.ndarray, context: np.ndarray) -> np.ndarray:
     """One number for an anchor inside its document; the two lowest bits are left for a state."""
-    return mixed(seed + (context >> np.uint64(16)) * np.uint64(0xA24BAED4963EE407)) & np.uint64(0xFFFFFFFFFFFFFFFC)
+    return mixed(seed + (context >> np.uint64(24)) * np.uint64(0xA24BAED4963EE407)) & np.uint64(0xFFFFFFFFFFFFFFFC)
 
 
 def planes(values: np.ndarray, width: int) -> bytes:
@@ -58,7 +58,7 @@ def pack_rows(seed: np.ndarray, context: np.ndarray, doc: np.ndarray, hot: np.nd
     docs, which = np.unique(doc, return_inverse=True)
     order = np.argsort(seed, kind="stable")
     head = np.array([len(seed), len(docs), len(hot)], "<u8").tobytes()
-    body = head + planes(docs.astype(np.int64).view(np.uint64), 8) + planes(hot, 8) + planes(seed[order], 8) + planes(context[order] >> np.uint64(16), 6) + planes(which[order].astype(np.uint64), 4)
+    body = head + planes(docs.astype(np.int64).view(np.uint64), 8) + planes(hot, 8) + planes(seed[order], 8) + planes(context[order] >> np.uint64(24), 5) + planes(which[order].astype(np.uint64), 4)
     return zstandard.ZstdCompressor(level=1).compress(body)
 
 
@@ -66,11 +66,11 @@ def unpack_rows(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     body = memoryview(zstandard.ZstdDecompressor().decompress(blob))
     n, k, h = (int(v) for v in np.frombuffer(body, "<u8", 3))
     at, out = 24, []
-    for count, width in ((k, 8), (h, 8), (n, 8), (n, 6), (n, 4)):
+    for count, width in ((k, 8), (h, 8), (n, 8), (n, 5), (n, 4)):
         out.append(from_planes(body[at : at + count * width], count, width))
         at += count * width
     docs, hot, seed, context, which = out
-    return seed, context << np.uint64(16), docs.view(np.int64)[which.astype(np.int64)], hot
+    return seed, context << np.uint64(24), docs.view(np.int64)[which.astype(np.int64)], hot
 
 
 def pack_settled(doc: np.ndarray, code: np.ndarray) -> bytes:
@@ -97,7 +97,7 @@ def shipped(docs: DataFrame, length: int, parts: int, hot_contexts: int, most_eq
 
         def flush() -> pa.RecordBatch:
             seed, context, doc = (np.concatenate(c) for c in zip(*held, strict=True))
-            context &= ~np.uint64(0xFFFF)
+            context &= ~np.uint64(0xFFFFFF)
             order = np.lexsort((doc, context, seed))
             seed, context, doc = seed[order], context[order], doc[order]
             once = runs_of(seed, context, doc)
@@ -246,7 +246,8 @@ def open_windows(joined: DataFrame, length: int) -> DataFrame:
                 at = np.where(settled, -1 - bit, bit).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(doc), pa.array(mine.view(np.int64)), pa.array(at), pa.nulls(len(key), pa.binary())], names=["key", "doc", "id", "at", "bytes"])
 
-    return joined.where("codes is not null").select("doc_id", "text", "codes").mapInArrow(rows, "key long, doc long, id long, at int, bytes binary")
+    # no filter on codes here: it would be pushed below the shuffle, whose result could then not serve both uses
+    return joined.select("doc_id", "text", "codes").mapInArrow(rows, "key long, doc long, id long, at int, bytes binary")
 
 
 def repeated_windows(opened: DataFrame, length: int, parts: int) -> DataFrame:
