@@ -1,0 +1,304 @@
+import hashlib
+import random
+import zlib
+
+import brute
+import numpy as np
+import pyarrow as pa
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from lineagrid.llm import decontamination, licenses, lines, near_dups, packing, quality, token_file, tokens
+from lineagrid.llm import repeats as repeated
+from lineagrid.llm.wordbytes import column_bytes, shingle_sets
+
+PATH = pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
+ROWS = brute.odd_documents()
+
+
+def documents(spark, rows=ROWS, extra=True):
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    # names that clash with the operators' own
+    return df.selectExpr("doc_id", "text", "'x' AS lang", "'y' AS key", "1L AS n_words", "2 AS piece", "3 AS doc", "4 AS h1") if extra else df
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return documents(spark).cache()
+
+
+@pytest.fixture(scope="module")
+def plain():
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(PATH)
+    return {i: t.encode(x or "", add_special_tokens=False).ids for i, x in ROWS}
+
+
+@given(st.lists(st.text(st.sampled_from(list("abcXYZéèßÜıſKİΣς'́ \t\n\x1c\x85 .,!<|>0१")), max_size=30), max_size=5))
+@settings(max_examples=150, deadline=None)
+def test_word_encoder_equals_the_library(texts):
+    e = tokens.encoder(PATH)
+    assert e.by_word and e.encode(texts) == e.whole(texts)
+
+
+def test_special_tokens_and_other_tokenizers():
+    import public_tokenizers
+
+    e = tokens.encoder(PATH)
+    texts = ["a <|endoftext|> b", "x<|startoftext|>Y,", "<|ENDOFTEXT|>"]
+    assert e.encode(texts) == e.whole(texts)
+    other = tokens.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    assert not other.by_word and other.encode(["a  b"]) == other.whole(["a  b"])
+
+
+@given(st.lists(st.integers(1, 20), max_size=60))
+@settings(max_examples=150, deadline=None)
+def test_plan_is_best_fit_decreasing(sizes):
+    histogram = {s: sizes.count(s) for s in sizes}
+    runs, filled = packing.plan(histogram, 20), {}
+    for size, n in histogram.items():
+        own = runs[runs[:, 0] == size]
+        for rank in range(n):
+            _, first, each, bin_, offset = own[np.searchsorted(own[:, 1], rank, side="right") - 1]
+            b, k = divmod(rank - first, each)
+            filled.setdefault(bin_ + b, []).append((offset + k * size, size))
+    for parts in filled.values():
+        ends = [0, *np.cumsum([s for _, s in sorted(parts)]).tolist()]
+        assert [o for o, _ in sorted(parts)] == ends[:-1] and ends[-1] <= 20
+    assert sorted(20 - sum(s for _, s in p) for p in filled.values()) == brute.best_fit(sizes, 20)
+
+
+def test_packing(spark, docs, plain):
+    got = packing.pack_documents(docs, PATH, capacity=64, end_id=0, with_ids=True).collect()
+    expected = {}
+    for i, ids in plain.items():
+        ids = ids + [0]
+        for k in range(0, len(ids), 64):
+            part = np.array(ids[k : k + 64], "<u4").tobytes()
+            expected[i, k // 64] = (k, len(part) // 4, zlib.crc32(part), part)
+    assert {(r["doc_id"], r["piece"]): (r["start"], r["length"], r["ids_crc32"], bytes(r["ids"])) for r in got} == expected
+    bins = {}
+    for r in got:
+        bins.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for parts in bins.values():
+        ends = np.cumsum([0] + [n for _, n in sorted(parts)]).tolist()
+        assert [o for o, _ in sorted(parts)] == ends[:-1] and ends[-1] <= 64
+    assert len(bins) == len(brute.best_fit([v[1] for v in expected.values()], 64))
+    assert packing.pack_documents(docs.where("doc_id < 0"), PATH).count() == 0
+
+
+@given(st.lists(st.one_of(st.integers(0, 50000), st.integers(0, 2**32 - 1)), max_size=700), st.sampled_from([1, 16, 256]), st.sampled_from([50.0, 90.0, 99.0, 100.0]))
+@settings(max_examples=80, deadline=None)
+def test_blocks_round_trip(values, block, percentile):
+    ids = np.array(values, np.uint32)
+    data, starts = token_file.encode_blocks(ids, block, percentile)
+    assert (token_file.decode_blocks(data, starts, len(ids), block) == ids).all()
+
+
+def test_token_files(spark, docs, plain, tmp_path):
+    path = f"file://{tmp_path}/tokens"
+    token_file.write_token_files(docs, path, PATH, end_id=1, shard_ids=500, block=32, percentile=90)
+    got = {r["doc_id"]: r for r in token_file.with_global_start(token_file.read_token_files(spark, path, with_ids=True)).collect()}
+    start = 0
+    for i in sorted(plain):
+        ids = np.array(plain[i] + [1], "<u4").tobytes()
+        r = got[i]
+        assert (r["start"], r["n_tokens"], r["ids_crc32"], bytes(r["ids"])) == (start, len(ids) // 4, zlib.crc32(ids), ids)
+        start += len(ids) // 4
+    assert len(got) == len(plain)
+    assert (tmp_path / "tokens").glob("part-*").__next__().read_bytes()[:4] == b"PFB1"
+
+
+def test_token_files_of_nothing_nulls_and_repeats(spark, tmp_path):
+    path = f"file://{tmp_path}/a"
+    token_file.write_token_files(spark.createDataFrame([(None, "a"), (3, "b"), (3, "b"), (1, None)], "doc_id int, text string"), path, PATH)
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_tokens"]) for r in token_file.read_token_files(spark, path).collect()) == [(False, 1, 1), (False, 3, 2), (False, 3, 2), (True, 0, 2)]
+    path = f"file://{tmp_path}/b"
+    token_file.write_token_files(spark.createDataFrame([], "doc_id long, text string"), path, PATH)
+    assert token_file.with_global_start(token_file.read_token_files(spark, path)).count() == 0
+
+
+def digest(found):
+    return {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in repeated.digest(found).collect()}
+
+
+@pytest.mark.parametrize("skew", [{}, {"hot_contexts": 1, "most_equal": 1, "flush_bytes": 4000}, {"hot_contexts": 3, "most_equal": 2, "flush_bytes": 20000}])
+def test_repeats(docs, skew):
+    assert digest(repeated.repeats(docs, 50, **skew)) == brute.repeats(ROWS)
+
+
+@pytest.mark.parametrize("length", [8, 100])
+def test_repeats_of_other_lengths(docs, length):
+    assert digest(repeated.repeats(docs, length)) == brute.repeats(ROWS, length)
+
+
+def test_repeats_of_runs_nulls_and_repeated_ids(spark):
+    dice = random.Random(3)
+    parts = ["abc ", "a" * 60, "bb ", "the quick brown fox jumps over " * 2, "é" * 30, " \n"]
+    rows = [(i, "".join(dice.choice(parts) for _ in range(dice.randint(0, 8)))) for i in range(50)] + [(100, None), (101, "")]
+    df = documents(spark, [*rows, (None, "a" * 200)])
+    for skew in ({}, {"hot_contexts": 1, "most_equal": 1, "flush_bytes": 500}):
+        got = digest(repeated.repeats(df, 50, **skew))
+        assert got.pop(None)[1] == 0 and got == brute.repeats(rows)
+    twice = repeated.digest(repeated.repeats(documents(spark, [(1, "q" * 80), (1, "q" * 80), (2, "q" * 80)]))).collect()
+    assert sorted((r["doc_id"], r["n_removed"]) for r in twice) == [(1, 0), (1, 0), (2, 80)]
+    assert repeated.repeats(df.where("doc_id = -1")).count() == 0
+
+
+def test_lines(docs):
+    got = {r["doc_id"]: (r["n_lines"], r["n_dropped"], r["kept_sha256"]) for r in lines.line_digest(docs, min_docs=10).collect()}
+    assert got == brute.frequent_lines(ROWS, 10)
+    kept = {r["doc_id"]: r for r in lines.dedup_lines(docs, min_docs=10).collect()}
+    assert {i: hashlib.sha256((r["text"] or "").encode()).hexdigest() for i, r in kept.items()} == {i: v[2] for i, v in got.items()}
+    assert lines.dedup_lines(docs).columns == docs.columns
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_lines_over_many_partitions(spark, seed):
+    dice = random.Random(seed)
+    rows = [(i, "\n".join(dice.choice(["Hot", " hot ", "b", "c%d" % dice.randint(0, 30), "", "ÀÉ"]) for _ in range(dice.randint(0, 9)))) for i in range(60)] + [(70, None)]
+    df = documents(spark, rows)
+    hashes = lines.staged(lines.line_hashes(df, 1), "h")
+    for n in (1, 3, 40):
+        dropped = lines.frequent_lines(hashes, 10, n).groupBy("doc_id").count().collect()
+        assert {r["doc_id"]: r["count"] for r in dropped} == {i: v[1] for i, v in brute.frequent_lines(rows, 10).items() if v[1]}
+
+
+def test_lines_edge_cases(spark):
+    df = spark.createDataFrame([(None, "a\nb"), (1, "a"), (1, "a"), (2, "a")], "doc_id long, text string")
+    got = sorted((r["doc_id"] or 0, r["n_lines"], r["n_dropped"]) for r in lines.line_digest(df, min_docs=3).collect())
+    assert got == [(0, 2, 1), (1, 1, 1), (1, 1, 1), (2, 1, 1)]
+    assert lines.line_digest(df.where("doc_id = 9")).count() == 0
+    assert lines.kept_lines(lines.pack_bitmap(np.array([0, 9])), 12).tolist() == [False] + [True] * 8 + [False] + [True] * 2
+
+
+def test_near_duplicates(docs):
+    got = {r["doc_id"]: r for r in near_dups.near_duplicates(docs).collect()}
+    assert {i: (r["n_shingles"], r["component_id"]) for i, r in got.items()} == brute.near_duplicates(ROWS)
+    assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got.values())
+    left = near_dups.drop_near_duplicates(docs)
+    assert left.columns == docs.columns and {r["doc_id"] for r in left.collect()} == {i for i, r in got.items() if r["kept"]}
+
+
+def test_near_duplicates_of_one_large_family(spark, monkeypatch):
+    """Links that no pivot sees: members near 0.85 from each other, in blocks of a few rows."""
+    monkeypatch.setattr(near_dups, "BLOCK", 16)
+    dice = random.Random(4)
+    base = ["w%d" % k for k in range(60)]
+    rows = []
+    for i in range(70):
+        w = list(base)
+        for _ in range(dice.randint(0, 3)):
+            w[dice.randrange(60)] = "z%d" % dice.randint(0, 3)
+        rows.append((i, " ".join(w)))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dups.near_duplicates(documents(spark, rows)).collect()}
+    assert got == brute.near_duplicates(rows)
+
+
+def test_near_duplicates_edge_cases(spark):
+    rows = [(None, "a b c d e f"), (1, "a b c d e f"), (2, "A B C D E F"), (2, "p q r"), (3, "p\tq\nr"), (4, None), (5, ""), (6, "  ")]
+    got = sorted((r["doc_id"] or 0, r["n_shingles"], r["component_id"] or 0, r["kept"]) for r in near_dups.near_duplicates(documents(spark, rows)).collect())
+    assert got == [(0, 2, 0, True), (1, 2, 1, True), (2, 1, 1, False), (2, 2, 1, False), (3, 1, 1, False), (4, 0, 4, True), (5, 0, 5, True), (6, 0, 6, True)]
+    assert near_dups.near_duplicates(documents(spark, rows).where("doc_id = 99")).count() == 0
+
+
+def test_registers_estimate_similarity():
+    dice = np.random.default_rng(5)
+    for share in (0.5, 0.85, 0.95):
+        common, own = round(4000 * share), round(4000 * (1 - share) / 2)
+        pool = dice.integers(0, 2**63, common + 2 * own).astype(np.uint64) * np.uint64(2)
+        regs, _ = near_dups.sketch([np.unique(pool[: common + own]), np.unique(np.r_[pool[:common], pool[common + own :]])])
+        assert abs((regs[0] == regs[1]).mean() - share) < 0.15
+    regs, own = near_dups.sketch([np.zeros(0, np.uint64), np.array([5], np.uint64)])
+    assert own.tolist() == [0, 1] and len(set(regs[1].tolist())) == 1
+
+
+def test_shingle_sets_match_brute_force():
+    texts = [t for _, t in ROWS]
+    sets = shingle_sets(*column_bytes(pa.array(texts)), 5)
+    assert [len(s) for s in sets] == [len(brute.shingles(t)) for t in texts]
+
+
+ITEMS = [(1, " ".join(ROWS[-1][1].split(" ")[:30]) if ROWS[-1][1] else "x"), (10, "one two three"), (2, "One, two; THREE"), (3, None), (4, "?!"), (5, next(t for _, t in ROWS if t and len(t.split()) > 60 and "\n" in t)[:400])]
+
+
+def test_decontamination(spark, docs):
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    expected = brute.contamination(ROWS, ITEMS)
+    for size in (1 << 20, 100):  # one automaton, and several groups of items
+        got = decontamination.contaminated(decontamination.scan_documents(docs, items, automaton_bytes=size)).collect()
+        assert {r["doc_id"]: (r["n_words"], r["n_hit"], len(r["items"]), hashlib.sha256(",".join(r["items"]).encode()).hexdigest(), r["contaminated"]) for r in got} == expected
+    assert any(v[1] for v in expected.values())
+    text = dict(ROWS)
+    for r in got:
+        held = b" ".join((text[r["doc_id"]] or "").encode()[s["start"] : s["end"]] for s in r["spans"])
+        assert len(brute.words(held.decode())) == r["n_hit"]
+    left = decontamination.remove_contaminated(docs, items)
+    assert left.columns == docs.columns and {r["doc_id"] for r in left.collect()} == {i for i, v in expected.items() if not v[4]}
+    assert {r["n_words"] for r in left.collect()} == {1}  # the input's own column
+
+
+def test_decontamination_without_items(spark, docs):
+    none = spark.createDataFrame([], "item_id long, text string")
+    assert decontamination.remove_contaminated(docs, none).count() == len(ROWS)
+    assert decontamination.scan_documents(docs.where("doc_id < 0"), none).count() == 0
+
+
+def test_licenses(spark):
+    full = licenses.TEMPLATES[0][0].split()
+    broken = " ".join(full[:7] + ["inserted", "words"] + full[7:])
+    rows = [(1, "The MIT License and mit,license"), (2, "GNU General-Public License"), (3, None), (4, ""), (5, " ".join(full).upper()), (6, broken), (7, "general public"), (7, "mit licenses"), (8, "public license mit"), (9, "mit"), (9, "mit"), (None, "apache license")]
+    got = {(r["doc_id"], r["n_words"]): r for r in licenses.scan_licenses(documents(spark, rows)).collect()}
+    base = {k: (r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) for k, r in got.items()}
+    assert base[1, 6] == (2, 1, 4, "mit") and base[2, 4] == (1, 1, 1, "gpl") and base[None, 2] == (1, 0, 0, "apache")
+    assert all(v == (0, None, None, "") for k, v in base.items() if k[0] not in (1, 2, None))
+    assert got[5, len(full)]["labels"] == got[6, len(full) + 2]["labels"] == "mit" and got[5, len(full)]["score"] == 1.0
+    assert got[1, 6]["labels"] == "mit" and got[9, 1]["labels"] == "" and got[9, 1]["score"] == 0.0
+    assert licenses.scan_licenses(documents(spark, rows)).count() == len(rows)
+    assert licenses.scan_licenses(documents(spark, rows).where("doc_id = 99")).count() == 0
+
+
+def quality_rows(seed=8, n=160):
+    dice = random.Random(seed)
+    word = lambda: "".join(dice.choice("abcdefghijkl") for _ in range(dice.randint(2, 9)))
+    rows = []
+    for i in range(n):
+        w = [word() for _ in range(dice.randint(15, 90))]
+        good = i % 3 > 0
+        kind = dice.randint(0, 2)
+        text = " ".join(w).capitalize() + "." if good else " ".join(x.upper() + "!!" for x in w) if kind == 0 else " | ".join(w) if kind == 1 else " ".join([w[0]] * len(w))
+        rows.append((i, text, int(good)))
+    return rows
+
+
+def test_quality_on_held_out_rows(spark):
+    rows = quality_rows()
+    docs = documents(spark, [(i, t) for i, t, _ in rows] + [(1000, None), (1001, ""), (1002, "a" * 100_000), (None, "x")])
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows] + [(None, 1), (5, None)], "doc_id long, label int")
+    scored = quality.quality_scores(docs, labels, train_on=F.col("doc_id") % 2 == 0)
+    got = {r["doc_id"]: r["score"] for r in scored.collect()}
+    assert len(got) == len(rows) + 4 and all(0 <= s <= 1 for s in got.values())
+    held = [(got[i] >= 0.5) == bool(y) for i, _, y in rows if i % 2]
+    assert np.mean(held) > 0.93
+    left = quality.filter_quality(docs, labels, train_on=F.col("doc_id") % 2 == 0)
+    assert left.columns == docs.columns and {r["doc_id"] for r in left.collect()} == {i for i, s in got.items() if s >= 0.5}
+
+
+def test_quality_without_classes(spark):
+    docs = documents(spark, [(1, "a b"), (2, None)])
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, label int")
+    assert {r["score"] for r in quality.quality_scores(docs, labels).collect()} == {2 / 3}
+    assert {r["score"] for r in quality.quality_scores(docs, labels.where("doc_id = 7")).collect()} == {0.5}
+    assert quality.quality_scores(docs.where("doc_id = 7"), labels).count() == 0
+
+
+def test_partial_sums_equal_one_fit():
+    dice = np.random.default_rng(1)
+    k = len(quality.FEATURES)
+    x, y = dice.normal(size=(200, k)), dice.integers(0, 2, 200)
+    x[y == 1] += 1.5
+    model = quality.fit({c: int((y == c).sum()) for c in (0, 1)}, {c: x[y == c].sum(axis=0) for c in (0, 1)}, {c: x[y == c].T @ x[y == c] for c in (0, 1)}, 0.1, 0.02)
+    assert ((model.scores(x) >= 0.5) == y).mean() > 0.95
