@@ -6,7 +6,8 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from ..storage import fresh_path, shared_folder, staged  # noqa: F401
 
@@ -16,6 +17,19 @@ def need(df: DataFrame, *columns: str) -> None:
         raise ValueError(f"missing column: {', '.join(missing)}")
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name like `name` that df does not have, in upper or lower case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def quoted(*names: str) -> list[Column]:
+    """Columns by their exact names, which may hold dots or back-ticks."""
+    return [F.col("`" + n.replace("`", "``") + "`") for n in names]
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Cuts batches between rows so that `column` holds at most about most_bytes in each; one longer row stands alone."""
     for batch in batches:

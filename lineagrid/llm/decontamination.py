@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import need, slices
+from .common import need, quoted, slices, unused
 
 #: Item text of one automaton; a pattern node takes about 50 bytes of each Python worker.
 AUTOMATON_BYTES = 8 << 20
@@ -105,12 +105,15 @@ def item_groups(benchmark: DataFrame, id_column: str, most_bytes: int) -> Iterat
 
 
 def scan_documents(docs: DataFrame, benchmark: DataFrame, window: int = 13, id_column: str = "item_id", automaton_bytes: int = AUTOMATON_BYTES) -> DataFrame:
-    """All columns of docs and n_words, n_hit, items (sorted strings), spans (hit byte ranges of the original text)."""
+    """All columns of docs and n_words, n_hit, items (sorted strings), spans (hit byte ranges of the original text).
+
+    Columns of docs by these four names are replaced.
+    """
     need(docs, "text")
     need(benchmark, id_column, "text")
-    columns = [c for c in docs.columns if c not in ("n_words", "n_hit", "items", "spans")]
     context = docs.sparkSession.sparkContext
-    out = docs.select(*columns)
+    out = docs.drop("n_words", "n_hit", "items", "spans")
+    columns = out.columns
     parts = [context.broadcast(Benchmark(g, window)) for g in item_groups(benchmark, id_column, automaton_bytes)]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,6 +161,6 @@ def item_digest(items: list[str]) -> str:
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20) -> DataFrame:
     """The rows of docs that are not contaminated, with docs' own columns."""
-    clash = {c: f"_own_{c}" for c in docs.columns if c in ("n_words", "n_hit", "items", "spans", "contaminated")}
+    clash = {c: unused(docs, f"_own_{c}") for c in docs.columns if c in ("n_words", "n_hit", "items", "spans", "contaminated")}
     marked = contaminated(scan_documents(docs.withColumnsRenamed(clash), benchmark, window), share)
-    return marked.where("not contaminated").select(*[F.col(clash.get(c, c)).alias(c) for c in docs.columns])
+    return marked.where("not contaminated").select(*[c.alias(n) for c, n in zip(quoted(*[clash.get(n, n) for n in docs.columns]), docs.columns, strict=True)])

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import need, slices, staged
+from .common import need, slices, staged, unused
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?/][^>]*>""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
@@ -208,8 +208,8 @@ def page_text(html: str | None, paths: list[str]) -> str:
     return page.text(frozenset([best])) if best else ""
 
 
-def with_host(pages: DataFrame) -> DataFrame:
-    return pages.withColumn("_host", F.coalesce(F.lower(F.regexp_extract("url", r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit("")))
+def with_host(pages: DataFrame, name: str = "_host") -> DataFrame:
+    return pages.withColumn(name, F.coalesce(F.lower(F.regexp_extract("url", r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit("")))
 
 
 def host_paths(pages: DataFrame, most_paths: int = 3) -> DataFrame:
@@ -219,7 +219,7 @@ def host_paths(pages: DataFrame, most_paths: int = 3) -> DataFrame:
         for batch in slices(batches, "html"):
             yield pa.RecordBatch.from_arrays([batch.column("_host"), pa.array([page_vote(h) for h in batch.column("html").to_pylist()], pa.string())], names=["_host", "path"])
 
-    counted = with_host(pages).select("_host", "html").mapInArrow(votes, "_host string, path string").where("path <> ''").groupBy("_host", "path").agg(F.count("*").alias("n"))
+    counted = with_host(pages.select("url", "html")).select("_host", "html").mapInArrow(votes, "_host string, path string").where("path <> ''").groupBy("_host", "path").agg(F.count("*").alias("n"))
     ranked = counted.withColumn("rank", F.row_number().over(Window.partitionBy("_host").orderBy(F.desc("n"), "path"))).where(F.col("rank") <= most_paths)
     return ranked.groupBy("_host").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "path"))), lambda x: x["path"]).alias("_paths"))
 
@@ -227,19 +227,21 @@ def host_paths(pages: DataFrame, most_paths: int = 3) -> DataFrame:
 def extract_text(pages: DataFrame, broadcast_hosts: int = 50_000, salts: int = 16) -> DataFrame:
     """All columns of pages with text and n_chars (code points)."""
     need(pages, "url", "html")
-    columns = [c for c in pages.columns if c not in ("text", "n_chars")]
-    paths = staged(host_paths(pages), "host-paths")
-    told = with_host(pages.select(*columns))
+    own = pages.drop("text", "n_chars")
+    columns = own.columns
+    host, found, salt = (unused(own, n) for n in ("_page_host", "_page_paths", "_page_salt"))
+    paths = staged(host_paths(pages), "host-paths").select(F.col("_host").alias(host), F.col("_paths").alias(found))
+    told = with_host(own, host)
     if paths.count() <= broadcast_hosts:
-        told = told.join(F.broadcast(paths), "_host", "left")
+        told = told.join(F.broadcast(paths), host, "left")
     else:
-        salted = paths.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        told = told.withColumn("_salt", F.pmod(F.xxhash64("url", "html"), F.lit(salts)).cast("int")).join(salted, ["_host", "_salt"], "left").drop("_salt")
+        salted = paths.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        told = told.withColumn(salt, F.pmod(F.xxhash64("url", "html"), F.lit(salts)).cast("int")).join(salted, [host, salt], "left")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "html"):
-            found = [page_text(h, p or []) for h, p in zip(batch.column("html").to_pylist(), batch.column("_paths").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in columns] + [pa.array(found, pa.string()), pa.array([len(t) for t in found], pa.int64())], names=[*columns, "text", "n_chars"])
+            out = [page_text(h, p or []) for h, p in zip(batch.column("html").to_pylist(), batch.column(found).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in columns] + [pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], names=[*columns, "text", "n_chars"])
 
-    schema = T.StructType(list(pages.select(*columns).schema.fields)).add("text", "string").add("n_chars", "long")
+    schema = T.StructType(list(own.schema.fields)).add("text", "string").add("n_chars", "long")
     return told.mapInArrow(rows, schema)

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import need, slices, staged
+from .common import need, slices, staged, unused
 
 KEY = ["h1", "h2"]
 DOC = ["doc_id", "_text"]
@@ -144,40 +144,44 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, partit
     return dropped.mapInArrow(packed, f"doc_id {id_type}, _text long, keep_bitmap binary")
 
 
-def with_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """All documents, with keep_bitmap (null: keep all). Only texts' own partitions move; the bitmaps are hashed in memory."""
-    right = bitmaps.select(F.col("doc_id").alias("_d"), F.col("_text").alias("_t"), "keep_bitmap").hint("shuffle_hash")
-    left = docs.withColumn("_text", F.coalesce(F.xxhash64("text"), F.lit(0)))
-    return left.join(right, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_text") == F.col("_t")), "left").drop("_d", "_t", "_text")
+def with_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> tuple[DataFrame, str]:
+    """All documents with one more column, the bitmap (null: keep all), and that column's name.
+
+    Only texts' own partitions move; the bitmaps are hashed in memory.
+    """
+    names = [unused(docs, n) for n in ("_line_doc", "_line_text", "_line_bitmap")]
+    right = bitmaps.select(*[F.col(c).alias(n) for c, n in zip(("doc_id", "_text", "keep_bitmap"), names, strict=True)]).hint("shuffle_hash")
+    same_text = F.coalesce(F.xxhash64("text"), F.lit(0)) == F.col(names[1])
+    return docs.join(right, F.col("doc_id").eqNullSafe(F.col(names[0])) & same_text, "left").drop(*names[:2]), names[2]
 
 
 def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> DataFrame:
     """The documents' rows with the frequent lines taken out of `text` (null stays null); all columns are kept."""
     columns = docs.columns
-    joined = with_bitmaps(docs, keep_bitmaps(docs, min_docs, min_chars))
+    joined, bitmap_name = with_bitmaps(docs, keep_bitmaps(docs, min_docs, min_chars))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = columns.index("text")
         for batch in slices(batches, "text"):
             out = []
-            for text, bitmap in zip(batch.column("text").to_pylist(), batch.column("keep_bitmap").to_pylist(), strict=True):
+            for text, bitmap in zip(batch.column("text").to_pylist(), batch.column(bitmap_name).to_pylist(), strict=True):
                 if text is not None and bitmap is not None:
                     lines = text.split("\n")
                     text = "\n".join([x for x, k in zip(lines, kept_lines(bitmap, len(lines)).tolist(), strict=True) if k])
                 out.append(text)
             yield batch.select(columns).set_column(at, "text", pa.array(out, pa.string()))
 
-    return joined.select(*columns, "keep_bitmap").mapInArrow(apply, docs.schema)
+    return joined.mapInArrow(apply, docs.schema)
 
 
 def line_digest(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> DataFrame:
     """doc_id, n_lines, n_dropped and kept_sha256 (of the kept lines joined by a line feed) of every document."""
-    joined = with_bitmaps(docs.select("doc_id", "text"), keep_bitmaps(docs, min_docs, min_chars))
+    joined, bitmap_name = with_bitmaps(docs.select("doc_id", "text"), keep_bitmaps(docs, min_docs, min_chars))
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             rows = []
-            for text, bitmap in zip(batch.column("text"), batch.column("keep_bitmap").to_pylist(), strict=True):
+            for text, bitmap in zip(batch.column("text"), batch.column(bitmap_name).to_pylist(), strict=True):
                 data = text.as_buffer().to_pybytes() if text.is_valid else b""
                 lines = data.split(b"\n")
                 if bitmap is not None:

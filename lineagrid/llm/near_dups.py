@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from .common import need, slices, staged
+from .common import need, slices, staged, unused
 from .wordbytes import column_bytes, mixed, shingle_sets
 
 BUCKET_BITS, MANTISSA_BITS = 7, 10
@@ -308,5 +308,6 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 85) -> DataF
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 85) -> DataFrame:
     """The rows of docs, all columns, but for those of a document that is not its group's smallest doc_id."""
-    gone = near_duplicates(docs, words, percent).where("not kept").select(F.col("doc_id").alias("_gone")).distinct().hint("shuffle_hash")
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    name = unused(docs, "_near_gone")
+    gone = near_duplicates(docs, words, percent).where("not kept").select(F.col("doc_id").alias(name)).distinct().hint("shuffle_hash")
+    return docs.join(gone, F.col("doc_id") == F.col(name), "left_anti")

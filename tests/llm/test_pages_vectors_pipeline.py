@@ -38,7 +38,7 @@ def test_host_consensus(spark):
     # alone, this page's quotations would outweigh its story
     odd = f'<div class="story"><p>Short.</p></div><div class="quotes"><p>{TEXT}</p><p>{TEXT}</p></div>'
     rows = [(k, f"http://a.example/{k}", page(good)) for k in range(4)] + [(9, "http://A.example/9?x", page(odd)), (10, "http://b.example/", page(odd)), (11, None, None), (12, "", ""), (9, "http://A.example/9?x", page(odd))]
-    df = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'own' AS text", "1 AS _x")
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'own' AS text", "1 AS _host", "2 AS _page_host", "3 AS _paths")
     for hosts in (50_000, 0):  # by broadcast, and by a salted join
         got = sorted((r["page_id"], r["text"], r["n_chars"]) for r in html_text.extract_text(df, broadcast_hosts=hosts).collect())
         texts = dict((p, t) for p, t, _ in got)

@@ -21,7 +21,8 @@ ROWS = brute.odd_documents()
 def documents(spark, rows=ROWS, extra=True):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     # names that clash with the operators' own
-    return df.selectExpr("doc_id", "text", "'x' AS lang", "'y' AS key", "1L AS n_words", "2 AS piece", "3 AS doc", "4 AS h1") if extra else df
+    clash = ["'x' AS lang", "'y' AS key", "1L AS n_words", "2 AS piece", "3 AS doc", "4 AS h1", "5 AS _text", "6 AS _gone", "7 AS keep_bitmap", "8 AS _near_gone", "9 AS _line_doc", "11 AS label", "12 AS n"]
+    return df.selectExpr("doc_id", "text", *clash) if extra else df
 
 
 @pytest.fixture(scope="module")
