@@ -67,8 +67,9 @@ def test_components_against_union_find(spark):
         if a is not None and a != b:
             x, y = find(a), find(b)
             root[max(x, y)] = min(x, y)
-    got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()}
-    assert got == {n: find(n) for n in root}
+    for finish in (50_000, 60, 0):  # in one task, after some rounds, and by rounds alone
+        got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "src long, dst long"), finish=finish).collect()}
+        assert got == {n: find(n) for n in root}
     assert connected_components(spark.createDataFrame([], "src long, dst long")).count() == 0
 
 
