@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from .common import need, slices, staged, texts
 from .tokens import encoder
 
-#: Pieces that one bucket of a length holds on average.
-BUCKET_ROWS = 50_000
+#: Pieces to a bucket, over all lengths; and the least number of buckets, so that one common length is dealt out too.
+BUCKET_ROWS, LEAST_BUCKETS = 50_000, 32
 
 
 class CapacityTree:
@@ -125,7 +125,7 @@ def pack(items: DataFrame, capacity: int, order: list[str]) -> DataFrame:
     `items` is read three times: hand in a stored table.
     """
     need(items, "length", *order)
-    buckets = max(1, -(-items.count() // BUCKET_ROWS))
+    buckets = max(LEAST_BUCKETS, -(-items.count() // BUCKET_ROWS))
     items = items.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)))
     counts = items.groupBy("length", "_bucket").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
