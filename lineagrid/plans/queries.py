@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import distance
 from ..operators import candidates, prepare
-from ..operators.essences import canonical_mutations, essences, nearest_centers
+from ..operators.essences import canonical_mutations, cluster_numbers, essences, megaclusters, nearest_centers
 from ..options import LineageOptions
 from . import lineages
 
@@ -123,6 +123,18 @@ def centers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_centers(essences(rows(spark, sf_dir)), least_weight=3, multiplier=MULTIPLIER)
 
 
+def mega(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = megaclusters(essences(rows(spark, sf_dir)), least_weight=3, multiplier=MULTIPLIER, closer_than=0.4)
+    # a megacluster's name is a JSON text of its least center; its size compares the partition without the text
+    sizes = found.groupBy("megacluster").agg(F.count("*").alias("n_essences"), F.min("cdr3").alias("least_cdr3"), F.max("cdr3").alias("largest_cdr3"), F.first("v").alias("v"), F.first("j").alias("j"))
+    return sizes.drop("megacluster")
+
+
+def numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = lineages.components_of(lineages.staged(rows(spark, sf_dir), "sequences"), PLAIN)
+    return cluster_numbers(placed, int(spark.conf.get("spark.sql.shuffle.partitions"))).select(F.col("id").alias("sequence_id"), "cluster_no")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "airr_view": airr,
@@ -147,6 +159,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "essence_weights": essence_weights,
         "canonical_mutations": canonical,
         "nearest_centers": centers,
+        "megaclusters": mega,
+        "cluster_numbers": numbers,
     }
 
 
@@ -172,6 +186,7 @@ placed AS (SELECT id, min(l) AS component FROM cc GROUP BY id)"""
 
     placed = "SELECT id AS sequence_id, component, count(*) OVER (PARTITION BY component) AS lineage_size FROM placed"
     mutated = "exploded AS (SELECT v, j, cdr3, id, unnest(muts) AS mutation FROM (SELECT *, row_number() OVER (PARTITION BY v, j, cdr3 ORDER BY id) AS r FROM rows) q WHERE r <= 17)"
+    near = "ranked AS (SELECT a.v, a.j, a.cdr3, b.cdr3 AS center, (levenshtein(a.cdr3, b.cdr3) + abs(a.n - b.n) * 2.0::DOUBLE) / least(a.n, b.n) AS distance FROM essences a JOIN essences b ON a.v = b.v AND a.j = b.j AND b.weight >= 3), nearest AS (SELECT v, j, cdr3, min(center) AS center FROM (SELECT *, min(distance) OVER (PARTITION BY v, j, cdr3) AS best FROM ranked) q WHERE distance = best GROUP BY v, j, cdr3)"
     return {
         "airr_view": f"WITH {view} SELECT * FROM airr",
         "split_mutations": f"WITH {view} SELECT sequence_id, len(m) AS n_mutations, array_to_string(m, ',') AS mutations FROM (SELECT sequence_id, list_filter(string_split(coalesce(v_mutations, ''), '|'), lambda x: x <> '') AS m FROM airr) s",
@@ -191,5 +206,7 @@ placed AS (SELECT id, min(l) AS component FROM cc GROUP BY id)"""
         "lineage_digest": f"{linked(base, same)} SELECT component, sha256('7' || string_agg(chr(0) || id, '' ORDER BY id)) AS digest, count(*) AS lineage_size FROM placed GROUP BY component",
         "essence_weights": f"WITH {base} SELECT v, j, cdr3, count(*) AS weight FROM rows GROUP BY v, j, cdr3",
         "canonical_mutations": f"WITH {base}, {mutated}, sizes AS (SELECT v, j, cdr3, least(count(*), 17) AS p FROM rows GROUP BY v, j, cdr3) SELECT e.v, e.j, e.cdr3, mutation, count(*) AS n FROM exploded e JOIN sizes s ON e.v = s.v AND e.j = s.j AND e.cdr3 = s.cdr3 GROUP BY e.v, e.j, e.cdr3, mutation HAVING 2 * count(*) >= any_value(p)",
+        "cluster_numbers": f"{linked(base, same)} SELECT id AS sequence_id, dense_rank() OVER (ORDER BY component) - 1 AS cluster_no FROM placed",
+        "megaclusters": f"WITH RECURSIVE {base}, essences AS (SELECT v, j, cdr3, n, count(*) AS weight FROM rows GROUP BY v, j, cdr3, n), {near}, c AS (SELECT v, j, cdr3, n FROM essences WHERE weight >= 3), g AS (SELECT a.v, a.j, a.cdr3 AS x, b.cdr3 AS y FROM c a JOIN c b ON a.v = b.v AND a.j = b.j AND a.cdr3 <> b.cdr3 WHERE (levenshtein(a.cdr3, b.cdr3) + abs(a.n - b.n) * 2.0::DOUBLE) / least(a.n, b.n) < 0.4::DOUBLE), cc(v, j, id, l) AS (SELECT v, j, cdr3, cdr3 FROM c UNION SELECT g.v, g.j, g.y, cc.l FROM cc JOIN g ON g.v = cc.v AND g.j = cc.j AND g.x = cc.id WHERE cc.l < g.y), named AS (SELECT v, j, id, min(l) AS l FROM cc GROUP BY v, j, id) SELECT n.v, n.j, count(*) AS n_essences, min(p.cdr3) AS least_cdr3, max(p.cdr3) AS largest_cdr3 FROM nearest p JOIN named n ON n.v = p.v AND n.j = p.j AND n.id = p.center GROUP BY n.v, n.j, n.l",
         "nearest_centers": f"WITH {base}, essences AS (SELECT v, j, cdr3, n, count(*) AS weight FROM rows GROUP BY v, j, cdr3, n), ranked AS (SELECT a.v, a.j, a.cdr3, b.cdr3 AS center, (levenshtein(a.cdr3, b.cdr3) + abs(a.n - b.n) * 2.0::DOUBLE) / least(a.n, b.n) AS distance FROM essences a JOIN essences b ON a.v = b.v AND a.j = b.j AND b.weight >= 3) SELECT v, j, cdr3, min(center) AS center, distance FROM (SELECT *, min(distance) OVER (PARTITION BY v, j, cdr3) AS best FROM ranked) q WHERE distance = best GROUP BY v, j, cdr3, distance",
     }

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lineagrid.functions import distance, naming
 from lineagrid.operators.components import connected_components
-from lineagrid.operators.essences import canonical_mutations, essences, nearest_centers
+from lineagrid.operators.essences import canonical_mutations, cluster_numbers, essences, megaclusters, nearest_centers
 from lineagrid.operators.linkage import average_clusters, forest
 
 
@@ -93,3 +93,15 @@ def test_essences(spark):
     assert {(r["cdr3"], r["weight"]) for r in weights.collect()} == {("CARA", 3), ("CARB", 1)}
     assert {(r["cdr3"], r["mutation"]) for r in canonical_mutations(rows).collect()} == {("CARA", "M1"), ("CARB", "M9")}
     assert {(r["cdr3"], r["center"], r["distance"]) for r in nearest_centers(weights).collect()} == {("CARA", "CARA", 0.0), ("CARB", "CARA", 0.25)}
+
+
+def test_megaclusters_and_numbers(spark):
+    heavy = ["CARAAAA", "CARAAAC", "CARZZZZ"]
+    rows = [(f"{c}{k}", "V", "J", c, []) for c in heavy for k in range(3)] + [("x", "V", "J", "CARAACC", []), ("y", None, "J", "CARAAAA", [])]
+    df = spark.createDataFrame(rows, "id string, v string, j string, cdr3 string, muts array<string>")
+    got = {(r["v"], r["cdr3"]): (r["center"], r["megacluster"]) for r in megaclusters(essences(df)).collect()}
+    names = {c: got["V", c][1] for c in heavy}
+    assert names["CARAAAA"] == names["CARAAAC"] != names["CARZZZZ"]
+    assert got["V", "CARAACC"] == ("CARAAAC", names["CARAAAA"]) and (None, "CARAAAA") not in got
+    placed = spark.createDataFrame([("a", "k"), ("b", "m"), ("c", "k"), ("d", "z")], "id string, component string")
+    assert {r["id"]: r["cluster_no"] for r in cluster_numbers(placed, 3).collect()} == {"a": 0, "b": 1, "c": 0, "d": 2}
