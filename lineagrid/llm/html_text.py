@@ -2,10 +2,12 @@
 
 Each page's containers are scored (long text and commas in paragraphs, few links, telling tags and classes), and the best
 one votes for its generalised tag-class path, digits as #. Spark adds the votes up for each host; each page is then
-extracted again from the nodes at the host's best-voted path that it has, or else from its own best container.
+extracted again from the nodes at the host's best-voted path that it has, or else from its own best container. All voted
+paths count, however many a host has.
 
-Hosts may hold any share of the pages: votes are added before the shuffle, and the few paths of each host go to the pages
-by broadcast while they are under `broadcast_hosts` rows, else by a join whose hot hosts are split by salt.
+Hosts may hold any share of the pages: votes are added before the shuffle, and go to the pages by broadcast while they
+are at most `broadcast_hosts` (host, path) rows and BROADCAST_BYTES. Else each page's own (host, path) pairs meet them in
+a join whose hot pairs are split by salt; of html only a hash takes part until each page's path is found.
 
 Null html is empty; a page without article has empty text, not null. Pages without host (or url) vote together. Repeated
 rows are returned each and vote each. Extra columns are kept, but for text and n_chars, which are replaced.
@@ -18,7 +20,8 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,6 +41,8 @@ HEADERS = frozenset("header masthead".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 GOOD = frozenset("article body content entry main page post story text".split())
 CONTAINERS = frozenset("article main section div td body blockquote center".split())
+#: Bytes of hosts and voted paths that are sent to all workers at once.
+BROADCAST_BYTES = 8 << 20
 
 
 class Page:
@@ -173,6 +178,11 @@ class Page:
         dropped = self.dropped()
         return frozenset(k for k, p in enumerate(self.path) if p == path and not dropped[k])
 
+    def candidates(self) -> set[str]:
+        """The paths of all containers that are not boilerplate: votes for others are of no use to this page."""
+        dropped = self.dropped()
+        return {p for k, p in enumerate(self.path) if self.tag[k] in CONTAINERS and not dropped[k]}
+
     def text(self, roots: frozenset[int]) -> str:
         """Blocks below roots, one a line: references decoded, white space turned into single blanks."""
         if not roots:
@@ -200,7 +210,10 @@ def page_vote(html: str | None) -> str:
 
 def page_text(html: str | None, paths: list[str]) -> str:
     """The text at the first of the host's paths that the page has, else in its own best container."""
-    page = Page(html or "")
+    return text_at(Page(html or ""), paths)
+
+
+def text_at(page: Page, paths: list[str]) -> str:
     for path in paths:
         if roots := page.at(path):
             return page.text(roots)
@@ -212,16 +225,39 @@ def with_host(pages: DataFrame, name: str = "_host") -> DataFrame:
     return pages.withColumn(name, F.coalesce(F.lower(F.regexp_extract("url", r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit("")))
 
 
-def host_paths(pages: DataFrame, most_paths: int = 3) -> DataFrame:
-    """_host and its best-voted paths, the best first. The ranks after most_paths only matter to pages without these."""
+def digest(text: str) -> bytes:
+    return xxhash.xxh3_128_digest(text.encode("utf-8", "surrogatepass"))
+
+
+def host_votes(pages: DataFrame) -> DataFrame:
+    """_host, path and n, its votes, for every path that is voted for."""
 
     def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "html"):
             yield pa.RecordBatch.from_arrays([batch.column("_host"), pa.array([page_vote(h) for h in batch.column("html").to_pylist()], pa.string())], names=["_host", "path"])
 
-    counted = with_host(pages.select("url", "html")).select("_host", "html").mapInArrow(votes, "_host string, path string").where("path <> ''").groupBy("_host", "path").agg(F.count("*").alias("n"))
-    ranked = counted.withColumn("rank", F.row_number().over(Window.partitionBy("_host").orderBy(F.desc("n"), "path"))).where(F.col("rank") <= most_paths)
-    return ranked.groupBy("_host").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "path"))), lambda x: x["path"]).alias("_paths"))
+    counted = with_host(pages.select("url", "html")).select("_host", "html").mapInArrow(votes, "_host string, path string")
+    return counted.where("path <> ''").groupBy("_host", "path").agg(F.count("*").alias("n"))
+
+
+def chosen_paths(pages: DataFrame, votes: DataFrame, salts: int) -> DataFrame:
+    """_host, _page (the html's hash) and path: the best-voted path of each page that has one, by a join."""
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "html"):
+            for host, html in zip(batch.column("_host").to_pylist(), batch.column("html").to_pylist(), strict=True):
+                found = [digest(p) for p in Page(html or "").candidates()]
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array([host] * len(found)), pa.array([digest(html)] * len(found), pa.binary()), pa.array(found, pa.binary())], names=["_host", "_page", "_path"])
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([digest(p) for p in batch.column("path").to_pylist()], pa.binary())], names=["_host", "path", "n", "_path"])
+
+    pairs = with_host(pages.select("url", "html")).select("_host", "html").mapInArrow(own, "_host string, _page binary, _path binary")
+    pairs = pairs.withColumn("_salt", F.pmod(F.xxhash64("_page"), F.lit(salts)).cast("int"))
+    voted = votes.select("_host", "path", "n").mapInArrow(hashed, "_host string, path string, n long, _path binary").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return pairs.join(voted, ["_host", "_path", "_salt"]).groupBy("_host", "_page").agg(F.min_by("path", F.struct(-F.col("n"), "path")).alias("path"))
 
 
 def extract_text(pages: DataFrame, broadcast_hosts: int = 50_000, salts: int = 16) -> DataFrame:
@@ -229,18 +265,37 @@ def extract_text(pages: DataFrame, broadcast_hosts: int = 50_000, salts: int = 1
     need(pages, "url", "html")
     own = pages.drop("text", "n_chars")
     columns = own.columns
-    host, found, salt = (unused(own, n) for n in ("_page_host", "_page_paths", "_page_salt"))
-    paths = staged(host_paths(pages), "host-paths").select(F.col("_host").alias(host), F.col("_paths").alias(found))
-    told = with_host(own, host)
-    if paths.count() <= broadcast_hosts:
-        told = told.join(F.broadcast(paths), host, "left")
+    host, found, salt, page = (unused(own, n) for n in ("_page_host", "_page_path", "_page_salt", "_page_hash"))
+    votes = staged(host_votes(pages), "host-votes")
+    size = votes.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("_host") + F.octet_length("path")), F.lit(0)).alias("bytes")).first()
+    told, ranks = with_host(own, host), None
+    if size["n"] <= broadcast_hosts and size["bytes"] <= BROADCAST_BYTES:
+        told_votes: dict[str, dict[str, tuple[int, str]]] = {}
+        for r in votes.toLocalIterator():
+            told_votes.setdefault(r["_host"], {})[r["path"]] = (-r["n"], r["path"])
+        ranks = pages.sparkSession.sparkContext.broadcast(told_votes)
     else:
-        salted = paths.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        told = told.withColumn(salt, F.pmod(F.xxhash64("url", "html"), F.lit(salts)).cast("int")).join(salted, [host, salt], "left")
+        best = staged(chosen_paths(pages, votes, salts), "page-paths").select(F.col("_host").alias(host), F.col("_page").alias(page), F.col("path").alias(found))
+        with_page = T.StructType(list(told.schema.fields)).add(page, "binary")
+
+        def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in slices(batches, "html"):
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([digest(h or "") for h in batch.column("html").to_pylist()], pa.binary())], names=[*batch.schema.names, page])
+
+        salted = best.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        told = told.mapInArrow(keyed, with_page).withColumn(salt, F.pmod(F.xxhash64("url"), F.lit(salts)).cast("int")).join(salted, [host, page, salt], "left")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "html"):
-            out = [page_text(h, p or []) for h, p in zip(batch.column("html").to_pylist(), batch.column(found).to_pylist(), strict=True)]
+            out = []
+            for k, html in enumerate(batch.column("html").to_pylist()):
+                parsed = Page(html or "")
+                if ranks is None:
+                    path = batch.column(found)[k].as_py()
+                else:
+                    voted = ranks.value.get(batch.column(host)[k].as_py(), {})
+                    path = min((p for p in parsed.candidates() if p in voted), key=voted.__getitem__, default=None)
+                out.append(text_at(parsed, [path] if path else []))
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in columns] + [pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], names=[*columns, "text", "n_chars"])
 
     schema = T.StructType(list(own.schema.fields)).add("text", "string").add("n_chars", "long")

@@ -47,6 +47,17 @@ def test_host_consensus(spark):
     assert html_text.extract_text(df.where("page_id = 99")).count() == 0
 
 
+def test_consensus_of_every_template_of_a_host(spark):
+    """The votes of the fifth template count too, by broadcast and by a join."""
+    kinds = ["alpha", "beta", "gamma", "delta", "epsilon"]
+    rows = [(10 * k + n, f"http://a.example/{k}/{n}", page(f'<div class="{kind}"><p>{TEXT}</p></div>')) for k, kind in enumerate(kinds) for n in range(7 - k)]
+    rows += [(90 + k, f"http://a.example/odd/{k}", page(f'<div class="{kind}"><p>Short.</p></div><div class="quotes-{kind}"><p>{TEXT}</p><p>{TEXT}</p></div>')) for k, kind in enumerate(kinds)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for hosts in (50_000, 0):
+        got = {r["page_id"]: r["text"] for r in html_text.extract_text(df, broadcast_hosts=hosts).collect()}
+        assert len(got) == len(rows) and {got[90 + k] for k in range(5)} == {"Short."} and {got[i] for i in got if i < 90} == {TEXT.strip()}
+
+
 def clustered(seed, n, dims=16, spread=0.12):
     dice = np.random.default_rng(seed)
     centers = dice.normal(size=(n // 8, dims))
