@@ -38,6 +38,11 @@ CLOSED_BY = {"p": BLOCK - {"option", "optgroup", "caption", "tbody", "td", "tfoo
 SCOPE = frozenset("table td th ul ol dl div section article main body html blockquote form".split())
 BOILERPLATE = frozenset("ad ads adslot advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus footer login menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promotion recommended related replies respond search share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar topbar widget widgets".split())
 HEADERS = frozenset("header masthead".split())
+#: Words that a boilerplate word may stand with in one class or id: `site-footer` is boilerplate, `content-sidebar-wrap` is not.
+BESIDE = frozenset("area bar block bottom box btn button buttons desktop icons item items left link links list main mini mobile page post posts primary right secondary section site sticky top".split())
+COMMENTS = frozenset("comment comments commentlist disqus replies respond".split())
+#: Elements that are dropped whatever they hold.
+NEVER_TEXT = RAW | frozenset("nav footer svg math button select input object embed canvas audio video map".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 GOOD = frozenset("article body content entry main page post story text".split())
 CONTAINERS = frozenset("article main section div td body blockquote center".split())
@@ -45,13 +50,25 @@ CONTAINERS = frozenset("article main section div td body blockquote center".spli
 BROADCAST_BYTES = 8 << 20
 
 
+def marks(classes: str, name: str) -> frozenset[str]:
+    """The boilerplate words that are a whole class or id, or stand in it with nothing but each other and BESIDE."""
+    out: set[str] = set()
+    for token in f"{classes} {name}".lower().split():
+        words = {w for w in re.split(r"[^a-z]+", token) if w}
+        if (found := words & (BOILERPLATE | HEADERS)) and words <= found | BESIDE:
+            out |= found
+    return frozenset(out)
+
+
 class Page:
     """Elements in document order and the page's texts and block edges between them."""
 
     def __init__(self, html: str):
         self.tag, self.parent, self.path, self.names, self.drop, self.header = ["#"], [0], [""], [frozenset()], [False], [False]
+        self.fixed = [False]
         self.events: list[tuple[int, str | None]] = []  # (element, text) or (element, None) at a block's edge
         self._read(html)
+        self._spare()
 
     def _read(self, html: str) -> None:
         stack, at = [0], 0
@@ -89,12 +106,15 @@ class Page:
         words = frozenset(w for w in re.split(r"[^a-z]+", f"{found.get('class', '')} {found.get('id', '')}".lower()) if w)
         node = len(self.tag)
         hidden = "hidden" in found or "display:none" in found.get("style", "").replace(" ", "").lower()
+        whole = marks(found.get("class", ""), found.get("id", ""))
+        named = name not in ("html", "body", "article", "main")
         self.tag.append(name)
         self.parent.append(parent)
         self.path.append(f"{self.path[parent]}>{'.'.join([name, *classes])}")
         self.names.append(words)
-        self.drop.append(name in DROPPED or hidden or found.get("role", "").lower() in ROLES or (name not in ("html", "body", "article", "main") and bool(words & BOILERPLATE)))
-        self.header.append(name == "header" or (name not in ("html", "body", "article", "main") and bool(words & HEADERS)))
+        self.drop.append(name in DROPPED or hidden or found.get("role", "").lower() in ROLES or (named and bool(whole & BOILERPLATE)))
+        self.header.append(name == "header" or (named and bool(whole & HEADERS)))
+        self.fixed.append(name in NEVER_TEXT or hidden or (named and bool(whole & COMMENTS)))
         return node
 
     def _end(self, stack: list[int]) -> None:
@@ -139,6 +159,37 @@ class Page:
                 in_header[n] = False
         return [o or h for o, h in zip(out, in_header, strict=True)]
 
+    def _spare(self) -> None:
+        """Dropped elements around the page's text stay: layout wrappers, forms around whole pages, a head never closed.
+
+        Only where no article or main stands free: those that hold most of the text outside links, and those around the
+        article or main with most text, if all text that stands free is no more. Hidden elements, nav, footer, comments
+        and the like are not text and stay dropped.
+        """
+        if not any((d or h) and not f for d, h, f in zip(self.drop, self.header, self.fixed, strict=True)):
+            return
+        n, dropped = len(self.tag), self.dropped()
+        size, out = [0] * n, [False] * n
+        for k in range(1, n):
+            out[k] = out[self.parent[k]] or self.fixed[k] or self.tag[k] == "a"
+        for node, text in self.events:
+            if text and not out[node]:
+                size[node] += len(text.strip())
+        alone = sum(s for s, d in zip(size, dropped, strict=True) if not d)
+        for k in range(n - 1, 0, -1):
+            size[self.parent[k]] += size[k]
+        stories = [k for k in range(1, n) if self.tag[k] in ("article", "main") and not out[k] and size[k]]
+        if any(not dropped[k] for k in stories):
+            return
+        spared = {k for k in range(1, n) if 2 * size[k] > size[0]}
+        at = max(stories, key=lambda k: (size[k], -k), default=0)
+        while at and size[at] >= alone:
+            spared.add(at)
+            at = self.parent[at]
+        for k in spared:
+            if not self.fixed[k]:
+                self.drop[k] = self.header[k] = False
+
     def best_container(self) -> int:
         """The best-scored container, 0 if none has text."""
         dropped, n = self.dropped(), len(self.tag)

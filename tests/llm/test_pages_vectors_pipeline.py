@@ -28,6 +28,23 @@ def test_container_without_article():
     assert html_text.page_text(html, []) == "\n".join([TEXT.strip()] * 2)
 
 
+@pytest.mark.parametrize("around", ['<div class="content-sidebar-wrap">', '<div class="has-sidebar">', '<div class="elementor-widget-container">', '<div class="sidebar">', '<div id="widget"><section class="masthead">', "<form>", '<div class="elementor-widget"><div class="header">'])
+@pytest.mark.parametrize("story", ["<article><p>{}</p></article>", "<main><p>{}</p></main>", '<div class="story"><p>{}</p></div>'])
+def test_wrapped_story(around, story):
+    html = page(around + story.format(TEXT) + '<div class="site-footer"><p>Imprint</p></div>')
+    assert html_text.page_text(html, [html_text.page_vote(html)]) == TEXT.strip()
+
+
+@pytest.mark.parametrize("around", ['<div class="related-posts">', '<div class="main-sidebar">', '<div id="comments-area">', '<div class="x" hidden>', "<aside>"])
+def test_teasers_do_not_hide_the_story(around):
+    html = page(f'<div class="story"><p>{TEXT}</p></div>{around}<article><p>A teaser of another story, with a comma.</p></article></div>')
+    assert html_text.page_text(html, []) == TEXT.strip()
+
+
+def test_long_boilerplate_beside_a_short_article():
+    assert html_text.page_text(f'<article><p>Short.</p></article><div class="cookie"><p>{TEXT}</p></div><footer>{TEXT}</footer>', []) == "Short."
+
+
 @pytest.mark.parametrize("html", [None, "", "no tags at all", "<", "<p", "<p>x", "</div></div>", "<!-- open", "<script>never closed", "<table><tr><td>a<td>b</table>", "<a b=\"'>c</a>" * 3, "<p>" * 3000 + "x"])
 def test_awkward_html(html):
     assert isinstance(html_text.page_text(html, [html_text.page_vote(html)]), str)
