@@ -1,9 +1,11 @@
 import random
 import re
 
+import lineage_cases
 import pytest
 from lineage_cases import SCHEMA, average_linkage, partition, single_linkage, table
 
+from lineagrid.operators import linkage
 from lineagrid.options import LineageOptions
 from lineagrid.plans.lineages import assign, assign_lineages, assignments
 
@@ -154,6 +156,20 @@ def test_average_linkage_against_brute_force(spark, seed):
     assert partition(lineages(spark, rows, distance_cutoff=0.55, mode="average")) == average_linkage(rows, 0.55, reachable)
 
 
+@pytest.mark.parametrize("dense", [0, 6, 2000])
+def test_average_linkage_of_a_large_component(spark, monkeypatch, dense):
+    """Components over DENSE merge in rounds; copies of a row weigh by their number."""
+    monkeypatch.setattr(linkage, "DENSE", dense)
+    dice = random.Random(31)
+    kinds = [("V", "J", "".join(dice.choice("ACDE") for _ in range(dice.choice((11, 13)))), "|".join(dice.sample([f"M{m}" for m in range(6)], dice.randint(0, 3)))) for _ in range(22)]
+    rows = [(f"s{k:02}", *dice.choice(kinds)) for k in range(36)]
+    options = {"distance_cutoff": 0.66, "shared_mutation_bonus": 0.3137, "mode": "average"}
+    monkeypatch.setattr(lineage_cases.pair_score, "__defaults__", (0.3137, 2.0))
+    expected = average_linkage(rows, 0.66, lambda a, b: True)
+    assert 1 < len(expected) < 22 and max(map(len, expected)) > 8
+    assert partition(lineages(spark, rows, **options)) == expected
+
+
 def test_average_linkage_ignores_row_order(spark):
     rows = [("A", "V", "J", "AAAAAAAAAA", None), ("B", "V", "J", "AAAAAAAACC", None), ("C", "V", "J", "GGGGGGGGGG", None), ("D", "V", "J", "GGGGGGGGGT", None)]
     both = {partition_key(lineages(spark, r, distance_cutoff=0.15, mode="average")) for r in (rows, rows[2:] + rows[:2])}
