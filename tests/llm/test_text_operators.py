@@ -262,6 +262,27 @@ def test_licenses(spark):
     assert licenses.scan_licenses(documents(spark, rows).where("doc_id = 99")).count() == 0
 
 
+def test_licenses_whatever_stands_around(spark):
+    """A verbatim copy keeps its label behind and before repeats of its own words; only A-Z are lower-cased."""
+    text = "this work is licensed under a creative commons attribution"
+    noise = " creative commons" * 8
+    passage = licenses.TEMPLATES[3][0]
+    rows = [(1, text), (2, text + noise), (3, noise + " " + text + noise), (4, "licensed under" + noise + " under a " + text), (5, text.replace("work", "wor\u212a")), (6, "lead in words " * 400 + passage + " and out" * 400), (7, noise)]
+    got = {r["doc_id"]: r for r in licenses.scan_licenses(documents(spark, rows)).collect()}
+    assert all(got[i]["labels"] == "cc" and got[i]["score"] == 1.0 for i in (1, 2, 3, 4))
+    assert got[5]["score"] < 1.0 and got[6]["labels"] == "mit" and got[7]["labels"] == ""
+    assert any(1200 in range(s["start"], s["end"]) for s in got[6]["spans"])
+
+
+@pytest.mark.parametrize("positions", [100_000, 0])
+def test_licenses_of_a_given_table(spark, positions):
+    """Templates of one's own, by broadcast and by a shuffle; rows that came thousands of times."""
+    own = spark.createDataFrame([("ours", "these terms bind whoever opens the box", None), ("x", None, False), (None, "a b c", True), ("box", "the box", True)], "label string, text string, phrase boolean")
+    rows = [(1, "These terms bind whoever opens the box!"), (2, "mit license"), (3, None), (None, "the box")] + [(4, "opens the box")] * 5000
+    got = licenses.scan_licenses(documents(spark, rows), own, broadcast_positions=positions).groupBy("doc_id", "labels", "n_base").count().collect()
+    assert {r["doc_id"]: (r["labels"], r["n_base"], r["count"]) for r in got} == {1: ("box,ours", 1, 1), 2: ("", 0, 1), 3: ("", 0, 1), None: ("box", 1, 1), 4: ("box", 1, 5000)}
+
+
 def quality_rows(seed=8, n=160):
     dice = random.Random(seed)
     word = lambda: "".join(dice.choice("abcdefghijkl") for _ in range(dice.randint(2, 9)))
