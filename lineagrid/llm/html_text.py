@@ -9,6 +9,9 @@ Hosts may hold any share of the pages: votes are added before the shuffle, and g
 are at most `broadcast_hosts` (host, path) rows and BROADCAST_BYTES. Else each page's own (host, path) pairs meet them in
 a join whose hot pairs are split by salt; of html only a hash takes part until each page's path is found.
 
+A page is read once, in time and memory linear in its length, however deep its elements nest and whatever its tags and
+quotes leave open: a tag whose quotes never close ends at its next >, and a < without any > behind it is text.
+
 Null html is empty; a page without article has empty text, not null. Pages without host (or url) vote together. Repeated
 rows are returned each and vote each. Extra columns are kept, but for text and n_chars, which are replaced.
 """
@@ -18,6 +21,7 @@ from __future__ import annotations
 import html as entities
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import xxhash
@@ -27,7 +31,12 @@ from pyspark.sql import types as T
 
 from .common import need, slices, staged, unused
 
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?/][^>]*>""", re.S)
+#: A tag, and one whose quotes never close: neither steps back, so a scan reads each character once.
+TAG = re.compile(r"""<(/?+)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
+OPEN_QUOTES = re.compile(r"<(/?+)([a-zA-Z][^\s/>]*+)([^>]*+)>")
+NAME_START = re.compile(r"</?[a-zA-Z]")
+#: Tags with quotes that never close which a page may have before the quotes of its later tags are not looked at.
+PATIENCE = 8
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 #: Element names by how they are treated.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -60,92 +69,154 @@ def marks(classes: str, name: str) -> frozenset[str]:
     return frozenset(out)
 
 
+LOOKED_AT = frozenset("class id role style hidden".split())
+NO_WORDS: frozenset[str] = frozenset()
+
+
+@lru_cache(maxsize=10_000)
+def named_by(name: str, classes: str, identity: str) -> tuple[str, frozenset[str], frozenset[str]]:
+    """An element's step in a path, the letter words of its class and id, and its boilerplate words."""
+    step = ".".join([name, *sorted({re.sub(r"\d+", "#", c.lower()) for c in classes.split()})])
+    words = frozenset(w for w in re.split(r"[^a-z]+", f"{classes} {identity}".lower()) if w)
+    return step, words, NO_WORDS if name in ("html", "body", "article", "main") else marks(classes, identity)
+
+
 class Page:
-    """Elements in document order and the page's texts and block edges between them."""
+    """Elements in document order and the page's texts and block edges between them.
+
+    Paths are numbers: each stands for the parent's path and one step, so memory and time are linear in the page however
+    deep its elements nest.
+    """
 
     def __init__(self, html: str):
-        self.tag, self.parent, self.path, self.names, self.drop, self.header = ["#"], [0], [""], [frozenset()], [False], [False]
-        self.fixed = [False]
+        self.tag, self.parent, self.path, self.names, self.drop, self.header = ["#"], [0], [0], [frozenset()], [False], [False]
+        self.fixed, self.block = [False], [0]
+        self.steps: list[tuple[int, str]] = [(0, "")]  # a path's parent path and its last step
+        self.numbers: dict[tuple[int, str], int] = {}
+        self.digests = [digest("")]
+        self.open: dict[str, list[int]] = {}  # places on the stack of the open elements, by name
+        self.scopes: list[int] = []  # places of those in SCOPE
+        self.blocks: list[int] = []  # places of those in BLOCK
+        self._free: list[bool] | None = None
         self.events: list[tuple[int, str | None]] = []  # (element, text) or (element, None) at a block's edge
         self._read(html)
         self._spare()
 
     def _read(self, html: str) -> None:
-        stack, at = [0], 0
-        while True:
-            m = TAG.search(html, at)
-            text = html[at : m.start()] if m else html[at:]
-            if text:
-                self.events.append((stack[-1], text))
-            if not m:
-                return
-            at, name = m.end(), (m[2] or "").lower()
-            if not name:
+        stack, at, text_at, patience = [0], 0, 0, PATIENCE
+        last = html.rfind(">")
+
+        def text(end: int) -> None:
+            if end > text_at:
+                self.events.append((stack[-1], html[text_at:end]))
+
+        while (start := html.find("<", at)) >= 0:
+            if html.startswith("<!--", start):
+                text(start)
+                end = html.find("-->", start + 4)
+                at = text_at = end + 3 if end >= 0 else len(html)
+                continue
+            if start > last:
+                at = start + 1
                 continue
+            if not NAME_START.match(html, start):
+                if html[start + 1] in "!?/":
+                    text(start)
+                    at = text_at = html.find(">", start) + 1
+                else:
+                    at = start + 1
+                continue
+            m = TAG.match(html, start) if patience else None
+            if not m:
+                patience = max(0, patience - 1)
+                m = OPEN_QUOTES.match(html, start)
+            text(start)
+            at, name = m.end(), m[2].lower()
             if m[1]:
                 self._close(stack, name)
-                continue
-            while stack[-1] and name in CLOSED_BY.get(self.tag[stack[-1]], ()):
-                self._end(stack)
-            if name in CLOSED_BY.get("p", ()) and name != "option":
-                self._close_inner(stack, "p")
-            node = self._open(stack[-1], name, m[3])
-            if name in BLOCK:
-                self.events.append((node, None))
-            elif name == "br":
-                self.events.append((stack[-1], " "))
-            if name in RAW:
-                end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(html, at)
-                at = end.end() if end else len(html)
-            elif name not in VOID and not m[3].endswith("/"):
-                stack.append(node)
+            else:
+                while stack[-1] and name in CLOSED_BY.get(self.tag[stack[-1]], ()):
+                    self._end(stack)
+                if name in CLOSED_BY["p"] and name != "option":
+                    self._close_inner(stack, "p")
+                node = self._open(stack[-1], name, m[3])
+                if name in BLOCK:
+                    self.events.append((node, None))
+                elif name == "br":
+                    self.events.append((stack[-1], " "))
+                if name in RAW:
+                    end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*+>", re.I).search(html, at, last + 1)
+                    at = end.end() if end else len(html)
+                elif name not in VOID and not m[3].endswith("/"):
+                    self._push(stack, node, name)
+            text_at = at
+        text(len(html))
+
+    def _push(self, stack: list[int], node: int, name: str) -> None:
+        self.open.setdefault(name, []).append(len(stack))
+        if name in SCOPE:
+            self.scopes.append(len(stack))
+        if name in BLOCK:
+            self.blocks.append(len(stack))
+        stack.append(node)
 
     def _open(self, parent: int, name: str, attributes: str) -> int:
-        found = {k.lower(): entities.unescape(v.strip("\"'")) for k, v in ATTRIBUTE.findall(attributes)} if attributes.strip(" /") else {}
-        classes = sorted({re.sub(r"\d+", "#", c.lower()) for c in found.get("class", "").split()})
-        words = frozenset(w for w in re.split(r"[^a-z]+", f"{found.get('class', '')} {found.get('id', '')}".lower()) if w)
-        node = len(self.tag)
-        hidden = "hidden" in found or "display:none" in found.get("style", "").replace(" ", "").lower()
-        whole = marks(found.get("class", ""), found.get("id", ""))
-        named = name not in ("html", "body", "article", "main")
+        found = {low: entities.unescape(v.strip("\"'")) for k, v in ATTRIBUTE.findall(attributes) if (low := k.lower()) in LOOKED_AT} if attributes.strip(" /") else {}
+        node, last, words, whole = len(self.tag), name, NO_WORDS, NO_WORDS
+        if "class" in found or "id" in found:
+            classes, identity = found.get("class", ""), found.get("id", "")
+            last, words, whole = (named_by if len(classes) + len(identity) < 200 else named_by.__wrapped__)(name, classes, identity)
+        hidden = bool(found) and ("hidden" in found or "display:none" in found.get("style", "").replace(" ", "").lower())
+        step = (self.path[parent], last)
+        if (path := self.numbers.setdefault(step, len(self.steps))) == len(self.steps):
+            self.steps.append(step)
+            self.digests.append(digest(self.digests[step[0]].hex() + last))
         self.tag.append(name)
         self.parent.append(parent)
-        self.path.append(f"{self.path[parent]}>{'.'.join([name, *classes])}")
+        self.path.append(path)
+        self.block.append(node if name in BLOCK else self.block[parent])
         self.names.append(words)
-        self.drop.append(name in DROPPED or hidden or found.get("role", "").lower() in ROLES or (named and bool(whole & BOILERPLATE)))
-        self.header.append(name == "header" or (named and bool(whole & HEADERS)))
-        self.fixed.append(name in NEVER_TEXT or hidden or (named and bool(whole & COMMENTS)))
+        self.drop.append(name in DROPPED or hidden or (bool(found) and found.get("role", "").lower() in ROLES) or not whole.isdisjoint(BOILERPLATE))
+        self.header.append(name == "header" or not whole.isdisjoint(HEADERS))
+        self.fixed.append(name in NEVER_TEXT or hidden or not whole.isdisjoint(COMMENTS))
         return node
 
+    def path_text(self, node: int) -> str:
+        """The tag-class path of an element, from the outermost: >html>body>div.post-#; empty for the page itself."""
+        steps, at = [], self.path[node]
+        while at:
+            at, step = self.steps[at]
+            steps.append(step)
+        return "".join(f">{x}" for x in reversed(steps))
+
     def _end(self, stack: list[int]) -> None:
         node = stack.pop()
+        self.open[self.tag[node]].pop()
+        for places in (self.scopes, self.blocks):
+            if places and places[-1] == len(stack):
+                places.pop()
         if self.tag[node] in BLOCK:
             self.events.append((stack[-1], None))
 
     def _close(self, stack: list[int], name: str) -> None:
-        for depth in range(len(stack) - 1, 0, -1):
-            if self.tag[stack[depth]] == name:
-                while len(stack) > depth:
-                    self._end(stack)
-                return
-            if name not in SCOPE and self.tag[stack[depth]] in SCOPE:
-                return
+        """Closes the innermost open `name` and all inside it; inline elements only up to the next element of SCOPE."""
+        if (places := self.open.get(name)) and (name in SCOPE or not self.scopes or self.scopes[-1] < places[-1]):
+            depth = places[-1]
+            while len(stack) > depth:
+                self._end(stack)
 
     def _close_inner(self, stack: list[int], name: str) -> None:
         """Closes an open `name` below which only inline elements are open."""
-        for depth in range(len(stack) - 1, 0, -1):
-            if self.tag[stack[depth]] == name:
-                while len(stack) > depth:
-                    self._end(stack)
-                return
-            if self.tag[stack[depth]] in BLOCK:
-                return
+        if self.blocks and self.tag[stack[self.blocks[-1]]] == name:
+            self._close(stack, name)
 
     def dropped(self, roots: frozenset[int] = frozenset()) -> list[bool]:
         """Whether each element is boilerplate or inside some; roots never are, whatever is around them.
 
         A header below a root keeps its headings only; any other header goes whole.
         """
+        if not roots and self._free is not None:
+            return self._free
         out, inside, in_header = [False] * len(self.tag), [False] * len(self.tag), [False] * len(self.tag)
         for n in range(1, len(self.tag)):
             up = self.parent[n]
@@ -157,7 +228,10 @@ class Page:
             out[n] = out[up] or self.drop[n] or (self.header[n] and not inside[n])
             if in_header[n] and self.tag[n] in ("h1", "h2", "h3", "h4", "h5", "h6"):
                 in_header[n] = False
-        return [o or h for o, h in zip(out, in_header, strict=True)]
+        told = [o or h for o, h in zip(out, in_header, strict=True)]
+        if not roots:
+            self._free = told
+        return told
 
     def _spare(self) -> None:
         """Dropped elements around the page's text stay: layout wrappers, forms around whole pages, a head never closed.
@@ -189,6 +263,7 @@ class Page:
         for k in spared:
             if not self.fixed[k]:
                 self.drop[k] = self.header[k] = False
+        self._free = None
 
     def best_container(self) -> int:
         """The best-scored container, 0 if none has text."""
@@ -202,9 +277,7 @@ class Page:
                 size = len(text.strip())
                 length[node] += size
                 linked[node] += size * in_link[node]
-                block = node
-                while block and self.tag[block] not in BLOCK:
-                    block = self.parent[block]
+                block = self.block[node]
                 if size and not in_link[node]:
                     points = min(1.0, size / 25) + min(text.count(","), size / 20) + min(size / 100, 3) + size / 500
                     holder = block if self.tag[block] in CONTAINERS else self.parent[block]
@@ -222,17 +295,17 @@ class Page:
                     best, top = k, worth
         return best
 
-    def at(self, path: str) -> frozenset[int]:
-        """The outermost elements at a path that are not boilerplate."""
-        if path not in self.path:
+    def at(self, path: bytes) -> frozenset[int]:
+        """The elements at a path, told by its digest, that are not boilerplate."""
+        if path not in self.digests:
             return frozenset()
-        dropped = self.dropped()
-        return frozenset(k for k, p in enumerate(self.path) if p == path and not dropped[k])
+        number, dropped = self.digests.index(path), self.dropped()
+        return frozenset(k for k, p in enumerate(self.path) if k and p == number and not dropped[k])
 
-    def candidates(self) -> set[str]:
-        """The paths of all containers that are not boilerplate: votes for others are of no use to this page."""
+    def candidates(self) -> set[bytes]:
+        """The paths (digests) of all containers that are not boilerplate: votes for others are of no use to this page."""
         dropped = self.dropped()
-        return {p for k, p in enumerate(self.path) if self.tag[k] in CONTAINERS and not dropped[k]}
+        return {self.digests[p] for k, p in enumerate(self.path) if self.tag[k] in CONTAINERS and not dropped[k]}
 
     def text(self, roots: frozenset[int]) -> str:
         """Blocks below roots, one a line: references decoded, white space turned into single blanks."""
@@ -253,18 +326,30 @@ class Page:
         return "\n".join(x for x in lines if x)
 
 
+def digest(text: str) -> bytes:
+    return xxhash.xxh3_128_digest(text.encode("utf-8", "surrogatepass"))
+
+
+def path_digest(path: str) -> bytes:
+    """The digest of a written path: each step is hashed behind its parent's digest."""
+    told = digest("")
+    for step in path.split(">")[1:]:
+        told = digest(told.hex() + step)
+    return told
+
+
 def page_vote(html: str | None) -> str:
     """The path of the page's best container, "" if it has none."""
     page = Page(html or "")
-    return page.path[page.best_container()]
+    return page.path_text(page.best_container())
 
 
 def page_text(html: str | None, paths: list[str]) -> str:
     """The text at the first of the host's paths that the page has, else in its own best container."""
-    return text_at(Page(html or ""), paths)
+    return text_at(Page(html or ""), [path_digest(p) for p in paths])
 
 
-def text_at(page: Page, paths: list[str]) -> str:
+def text_at(page: Page, paths: list[bytes]) -> str:
     for path in paths:
         if roots := page.at(path):
             return page.text(roots)
@@ -276,39 +361,37 @@ def with_host(pages: DataFrame, name: str = "_host") -> DataFrame:
     return pages.withColumn(name, F.coalesce(F.lower(F.regexp_extract("url", r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit("")))
 
 
-def digest(text: str) -> bytes:
-    return xxhash.xxh3_128_digest(text.encode("utf-8", "surrogatepass"))
-
-
 def host_votes(pages: DataFrame) -> DataFrame:
-    """_host, path and n, its votes, for every path that is voted for."""
+    """_host, _path (its digest), path and n, its votes, for every path that is voted for."""
 
     def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "html"):
-            yield pa.RecordBatch.from_arrays([batch.column("_host"), pa.array([page_vote(h) for h in batch.column("html").to_pylist()], pa.string())], names=["_host", "path"])
+            told = []
+            for html in batch.column("html").to_pylist():
+                page = Page(html or "")
+                best = page.best_container()
+                told.append((page.digests[page.path[best]], page.path_text(best)))
+            digests, paths = zip(*told, strict=True) if told else ((), ())
+            yield pa.RecordBatch.from_arrays([batch.column("_host"), pa.array(digests, pa.binary()), pa.array(paths, pa.string())], names=["_host", "_path", "path"])
 
-    counted = with_host(pages.select("url", "html")).select("_host", "html").mapInArrow(votes, "_host string, path string")
-    return counted.where("path <> ''").groupBy("_host", "path").agg(F.count("*").alias("n"))
+    counted = with_host(pages.select("url", "html")).select("_host", "html").mapInArrow(votes, "_host string, _path binary, path string")
+    return counted.where("path <> ''").groupBy("_host", "_path", "path").agg(F.count("*").alias("n"))
 
 
 def chosen_paths(pages: DataFrame, votes: DataFrame, salts: int) -> DataFrame:
-    """_host, _page (the html's hash) and path: the best-voted path of each page that has one, by a join."""
+    """_host, _page (the html's hash) and path (a digest): the best-voted path of each page that has one, by a join."""
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "html"):
             for host, html in zip(batch.column("_host").to_pylist(), batch.column("html").to_pylist(), strict=True):
-                found = [digest(p) for p in Page(html or "").candidates()]
+                found = list(Page(html or "").candidates())
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array([host] * len(found)), pa.array([digest(html)] * len(found), pa.binary()), pa.array(found, pa.binary())], names=["_host", "_page", "_path"])
 
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([digest(p) for p in batch.column("path").to_pylist()], pa.binary())], names=["_host", "path", "n", "_path"])
-
     pairs = with_host(pages.select("url", "html")).select("_host", "html").mapInArrow(own, "_host string, _page binary, _path binary")
     pairs = pairs.withColumn("_salt", F.pmod(F.xxhash64("_page"), F.lit(salts)).cast("int"))
-    voted = votes.select("_host", "path", "n").mapInArrow(hashed, "_host string, path string, n long, _path binary").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return pairs.join(voted, ["_host", "_path", "_salt"]).groupBy("_host", "_page").agg(F.min_by("path", F.struct(-F.col("n"), "path")).alias("path"))
+    voted = votes.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return pairs.join(voted, ["_host", "_path", "_salt"]).groupBy("_host", "_page").agg(F.min_by("_path", F.struct(-F.col("n"), "path")).alias("path"))
 
 
 def extract_text(pages: DataFrame, broadcast_hosts: int = 50_000, salts: int = 16) -> DataFrame:
@@ -321,9 +404,9 @@ def extract_text(pages: DataFrame, broadcast_hosts: int = 50_000, salts: int = 1
     size = votes.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("_host") + F.octet_length("path")), F.lit(0)).alias("bytes")).first()
     told, ranks = with_host(own, host), None
     if size["n"] <= broadcast_hosts and size["bytes"] <= BROADCAST_BYTES:
-        told_votes: dict[str, dict[str, tuple[int, str]]] = {}
+        told_votes: dict[str, dict[bytes, tuple[int, str]]] = {}
         for r in votes.toLocalIterator():
-            told_votes.setdefault(r["_host"], {})[r["path"]] = (-r["n"], r["path"])
+            told_votes.setdefault(r["_host"], {})[bytes(r["_path"])] = (-r["n"], r["path"])
         ranks = pages.sparkSession.sparkContext.broadcast(told_votes)
     else:
         best = staged(chosen_paths(pages, votes, salts), "page-paths").select(F.col("_host").alias(host), F.col("_page").alias(page), F.col("path").alias(found))

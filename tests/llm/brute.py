@@ -5,6 +5,7 @@ import itertools
 import random
 import re
 from collections import defaultdict
+from html.parser import HTMLParser
 
 import numpy as np
 
@@ -131,3 +132,70 @@ def best_fit(sizes, capacity):
         else:
             bins.append(capacity - s)
     return sorted(bins)
+
+
+class PlainPage(HTMLParser):
+    """Text blocks below the first element that `is_story` picks, without elements that `is_gone` picks: no votes, no scores."""
+
+    BLOCKS = {"p", "h2", "li", "ul", "div", "blockquote", "article", "main", "section"}
+
+    def __init__(self, html, is_story, is_gone):
+        super().__init__(convert_charrefs=True)
+        self.is_story, self.is_gone = is_story, is_gone
+        self.stack, self.lines, self.line = [], [], ""
+        self.feed(html)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        classes = dict(attrs).get("class", "")
+        if tag not in ("br", "input"):
+            self.stack.append((tag, self.is_story(tag, classes), self.is_gone(tag, classes)))
+        self.cut(tag)
+        if tag == "br" and self.wanted():
+            self.line += " "
+
+    def handle_endtag(self, tag):
+        self.cut(tag)
+        self.stack.pop()
+
+    def wanted(self):
+        return any(story for _, story, _ in self.stack) and not any(gone for *_, gone in self.stack)
+
+    def cut(self, tag):
+        if tag in self.BLOCKS:
+            if text := " ".join(self.line.split()):
+                self.lines.append(text)
+            self.line = ""
+
+    def handle_data(self, data):
+        if self.wanted():
+            self.line += data
+
+
+def random_pages(seed, hosts=6, pages=12):
+    """(page_id, url, html, is_story) of hosts with two templates each: stories between menus, adverts, comments and forms."""
+    dice = random.Random(seed)
+    word = lambda: "".join(dice.choice("abcdefghij") for _ in range(dice.randint(2, 9)))
+    sentence = lambda n: " ".join(word() for _ in range(n)).capitalize() + dice.choice([".", ", &amp; so on.", " &lt;3.", "&nbsp;!", " &#233;t&eacute;."])
+    prose = lambda: " ".join(sentence(dice.randint(6, 14)) for _ in range(dice.randint(2, 5)))
+    inline = lambda t: dice.choice([t, f"<b>{t}</b>", f"<em>{word()}</em> {t}", f'{t}<br>{word()} <a href="/{word()}">{word()}</a>'])
+    block = lambda: dice.choice([lambda: f"<p>{inline(prose())}</p>", lambda: f"<h2>{sentence(4)}</h2><p>{prose()}</p>", lambda: f"<ul><li>{prose()}</li>\n<li>{inline(prose())}</li></ul>", lambda: f"<blockquote>\n  <p>{prose()}</p></blockquote>", lambda: f"<p>{prose()}</p><div class=\"ad\">{prose()}</div>", lambda: f"<script>if (a < b) {{ {word()}('</p>') }}</script><p>{prose()}</p>"])()
+    noise = [lambda: f'<nav><ul><li><a href="/">{word()}</a></li></ul></nav>', lambda: f'<aside class="{word()}"><p>{sentence(5)}</p></aside>', lambda: f'<div class="cookie"><p>{sentence(9)}</p></div>', lambda: f'<div class="sidebar"><ul><li><a href="/x">{sentence(3)}</a></li></ul></div>', lambda: f'<form action="/s"><input name=q><p>{word()}</p></form>', lambda: f'<div class="comments"><p>{sentence(12)}</p></div>']
+    out = []
+    for h in range(hosts):
+        kinds = [(t, dice.choice(["", f"{word()}-{h}"]) if t != "div" else f"{word()}-text") for t in dice.sample(["article", "main", "div", "section"], 2)]
+        for n in range(pages):
+            tag, name = kinds[n % 2]
+            opened = f'<{tag} class="{name}">' if name else f"<{tag}>"
+            around = [dice.choice(noise)() for _ in range(dice.randint(1, 5))]
+            cut = dice.randint(0, len(around))
+            html = f"<!DOCTYPE html><html><head><title>{word()}</title><style>p {{}}</style></head><body><header><h1>{word()}</h1></header>{''.join(around[:cut])}<!-- {word()} > -->{opened}{''.join(block() for _ in range(dice.randint(2, 6)))}</{tag}>{''.join(around[cut:])}<footer><p>&copy; {word()}</p></footer></body></html>"
+            out.append((len(out), f"https://h{h}.example/{word()}/{n}", html, (tag, name)))
+    return out
+
+
+def page_text(html, story):
+    """The plain version's text of a page of random_pages."""
+    gone = {"ad", "cookie", "sidebar", "comments"}
+    plain = PlainPage(html, lambda t, c: (t, c) == story, lambda t, c: t in ("nav", "aside", "form", "footer", "header", "script", "style") or c in gone)
+    return "\n".join(plain.lines)

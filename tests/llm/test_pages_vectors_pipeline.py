@@ -1,3 +1,5 @@
+import time
+
 import brute
 import numpy as np
 import pytest
@@ -75,6 +77,42 @@ def test_consensus_of_every_template_of_a_host(spark):
         assert len(got) == len(rows) and {got[90 + k] for k in range(5)} == {"Short."} and {got[i] for i in got if i < 90} == {TEXT.strip()}
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_pages_against_a_plain_parser(spark, seed):
+    """The story's text as the library's own HTML parser gives it, told which element is the story."""
+    pages = brute.random_pages(seed)
+    df = spark.createDataFrame([p[:3] for p in pages], "page_id long, url string, html string").repartition(3)
+    expected = {p[0]: brute.page_text(p[2], p[3]) for p in pages}
+    for hosts in (50_000, 0):
+        got = {r["page_id"]: r["text"] for r in html_text.extract_text(df, broadcast_hosts=hosts).collect()}
+        assert got == expected
+
+
+AWKWARD = {
+    "nested": "<div>" * 200_000 + TEXT,
+    "nested inline": "<b><i>" * 100_000 + TEXT + "</b>" * 1000,
+    "open quotes": '<a b="x ' * 125_000 + TEXT,
+    "open tags": "<p " * 300_000 + TEXT,
+    "end inside quotes": '<a b=">"' * 120_000 + TEXT,
+    "closing nothing": "<div>" * 16_000 + "</section>" * 60_000 + TEXT,
+    "closing far above": "<b><div>" + "<i>" * 50_000 + "</b>" * 100_000 + TEXT,
+    "scripts": "<script>" + "</script " * 100_000,
+    "comments": "<!--" * 250_000,
+    "classes": f'<div class="{" ".join(f"a{k}b" for k in range(100_000))}">{TEXT}',
+}
+
+
+@pytest.mark.parametrize("kind", AWKWARD)
+def test_pages_of_a_megabyte_take_linear_time(kind):
+    start = time.perf_counter()
+    assert isinstance(html_text.page_text(AWKWARD[kind], []), str)
+    assert time.perf_counter() - start < 10  # 0.1 to 4 seconds alone
+
+
+def test_unclosed_quotes_cost_one_tag():
+    assert html_text.page_text(f'<article><p>{TEXT}<a href="x>link</a></p><p class=\'y>two</p></article>', []).split("\n") == [TEXT + "link", "two"]
+
+
 def clustered(seed, n, dims=16, spread=0.12):
     dice = np.random.default_rng(seed)
     centers = dice.normal(size=(n // 8, dims))
