@@ -2,8 +2,9 @@
 
 A sketch has a register for each of 128 buckets of the shingle hash: the leading-zero count of the bucket's smallest
 hash and the mantissa bits behind its first one. Empty buckets borrow another's register along a fixed probe sequence.
-25 bands of 5 registers give a pair of Jaccard similarity s a common band with probability 1 - (1 - s^5)^25: it misses
-fewer than 5 in 10 million pairs at 0.85.
+Bands of r registers give a pair of Jaccard similarity s a common band with probability 1 - (1 - s^r)^(128 / r); r is the
+largest with which fewer than one in a million pairs at the threshold is missed: 5 at 0.85 (4 in 10 million), 4 at 0.80
+(1 in 10 million).
 
 1. Documents with one shingle set are one class; its smallest doc_id stands for it.
 2. In each band bucket every class is held against the bucket's smallest doc_id (linear in the bucket), after the
@@ -35,7 +36,8 @@ from .wordbytes import column_bytes, mixed, shingle_sets
 
 BUCKET_BITS, MANTISSA_BITS = 7, 10
 REGISTERS = 1 << BUCKET_BITS
-BANDS, ROWS = 25, 5
+#: Share of the pairs at the threshold that may share no band.
+MISSED = 1e-6
 #: Documents of a block in which all pairs are estimated.
 BLOCK = 256
 #: Chance that two registers of unrelated sets agree: cells are a 2^-10th part of an octave, on average ln 2 of it, and
@@ -86,11 +88,18 @@ def sketch(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return out, own
 
 
-def band_keys(registers: np.ndarray) -> np.ndarray:
-    """(sets, BANDS) 64-bit keys of each band's registers."""
-    parts = registers[:, : BANDS * ROWS].reshape(-1, BANDS, ROWS).astype(np.uint64)
-    key = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64), (len(parts), 1))
-    for k in range(ROWS):
+def band_rows(percent: int) -> int:
+    """Registers to a band for pairs at `percent`."""
+    s = percent / 100
+    return max((r for r in range(1, 17) if (1 - s**r) ** (REGISTERS // r) <= MISSED), default=1)
+
+
+def band_keys(registers: np.ndarray, rows: int) -> np.ndarray:
+    """(sets, bands) 64-bit keys of each band's registers."""
+    bands = REGISTERS // rows
+    parts = registers[:, : bands * rows].reshape(-1, bands, rows).astype(np.uint64)
+    key = np.tile(np.arange(1, bands + 1, dtype=np.uint64), (len(parts), 1))
+    for k in range(rows):
         key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + parts[:, :, k] + np.uint64(1))
     return key
 
@@ -130,14 +139,14 @@ def matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, REGISTERS)
 
 
-def bands(classes: DataFrame) -> DataFrame:
+def bands(classes: DataFrame, per_band: int) -> DataFrame:
     """key, doc_id of every class and band."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                keys = band_keys(matrix(batch.column("regs")))
-                ids = np.repeat(batch.column("doc_id").to_numpy(), BANDS)
+                keys = band_keys(matrix(batch.column("regs")), per_band)
+                ids = np.repeat(batch.column("doc_id").to_numpy(), keys.shape[1])
                 yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64).reshape(-1)), pa.array(ids)], names=["key", "doc_id"])
 
     return classes.select("doc_id", "regs").mapInArrow(rows, "key long, doc_id long")
@@ -197,7 +206,7 @@ def blocks(members: DataFrame) -> DataFrame:
 
 def residual_links(members: DataFrame, classes: DataFrame, texts: DataFrame, words: int, percent: int, partitions: int) -> DataFrame:
     """Links between different components inside buckets: members are key, doc_id, n (of the bucket), component."""
-    least = percent / 100
+    least, per_band = percent / 100, band_rows(percent)
 
     def allowed(table: pa.Table) -> np.ndarray:
         comp, side = table.column("component").to_numpy(), table.column("side").to_numpy()
@@ -219,7 +228,7 @@ def residual_links(members: DataFrame, classes: DataFrame, texts: DataFrame, wor
             ok = passing(table, regs, table.column("own").to_numpy())
             if ok.any():  # a pair is taken up in the first band that it shares
                 r, c = np.nonzero(ok)
-                keys = band_keys(regs).astype(np.int64)
+                keys = band_keys(regs, per_band).astype(np.int64)
                 ok[r, c] = keys[r, (keys[r] == keys[c]).argmax(axis=1)] == table.column("key").to_numpy()[r]
                 hit = ok.any(axis=0) | ok.any(axis=1)
                 if hit.any():
@@ -253,7 +262,7 @@ def residual_links(members: DataFrame, classes: DataFrame, texts: DataFrame, wor
     return full.repartition(partitions, "g").sortWithinPartitions("g", "doc_id").mapInArrow(confirm, "src long, dst long")
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 85) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row; percent is the least Jaccard similarity of a link."""
     need(docs, "doc_id", "text")
     spark = docs.sparkSession
@@ -265,7 +274,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 85) -> DataF
     sets = staged(known.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep")), "classes")
     classes = known.join(sets.select(F.col("s1").alias("_1"), F.col("s2").alias("_2"), "rep"), (F.col("s1") == F.col("_1")) & (F.col("s2") == F.col("_2")) & (F.col("doc_id") == F.col("rep")))
     classes = staged(classes.select("doc_id", "n_shingles", "own", "regs").where(F.col("n_shingles") >= limit if limit is not None else F.lit(False)).dropDuplicates(["doc_id", "regs"]), "class-sketches")
-    keys = staged(bands(classes), "bands")
+    keys = staged(bands(classes, band_rows(percent)), "bands")
     shared = keys.groupBy("key").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("_last"), F.count("*").alias("n")).where("pivot < _last")
     members = staged(keys.join(shared.select(F.col("key").alias("_key"), "pivot", "n"), F.col("key") == F.col("_key")).select("key", "doc_id", "pivot", "n"), "members")
 
@@ -306,7 +315,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 85) -> DataF
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 85) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs, all columns, but for those of a document that is not its group's smallest doc_id."""
     name = unused(docs, "_near_gone")
     gone = near_duplicates(docs, words, percent).where("not kept").select(F.col("doc_id").alias(name)).distinct().hint("shuffle_hash")

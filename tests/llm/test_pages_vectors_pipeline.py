@@ -165,7 +165,7 @@ def test_pipeline_stages_on_small_tables(spark, tmp_path):
 
     kept = corpus_pipeline.lines(spark, docs, str(tmp_path))
     assert kept.columns == docs.columns and all(r["n_chars"] == len(r["text"] or "") for r in kept.collect())
-    expected = brute.near_duplicates(rows)
+    expected = brute.near_duplicates(rows, 80)
     left = corpus_pipeline.near_duplicates(spark, docs, str(tmp_path))
     assert {r["doc_id"] for r in left.collect()} == {i for i, v in expected.items() if v[1] == i}
     hit = brute.contamination(rows, [(0, item)])

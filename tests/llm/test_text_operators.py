@@ -176,16 +176,32 @@ def test_lines_edge_cases(spark):
     assert lines.kept_lines(lines.pack_bitmap(np.array([0, 9])), 12).tolist() == [False] + [True] * 8 + [False] + [True] * 2
 
 
-def test_near_duplicates(docs):
-    got = {r["doc_id"]: r for r in near_dups.near_duplicates(docs).collect()}
-    assert {i: (r["n_shingles"], r["component_id"]) for i, r in got.items()} == brute.near_duplicates(ROWS)
+@pytest.mark.parametrize("percent", [85, 80])
+def test_near_duplicates(docs, percent):
+    got = {r["doc_id"]: r for r in near_dups.near_duplicates(docs, percent=percent).collect()}
+    assert {i: (r["n_shingles"], r["component_id"]) for i, r in got.items()} == brute.near_duplicates(ROWS, percent)
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got.values())
-    left = near_dups.drop_near_duplicates(docs)
+    left = near_dups.drop_near_duplicates(docs, percent=percent)
     assert left.columns == docs.columns and {r["doc_id"] for r in left.collect()} == {i for i, r in got.items() if r["kept"]}
 
 
-def test_near_duplicates_of_one_large_family(spark, monkeypatch):
-    """Links that no pivot sees: members near 0.85 from each other, in blocks of a few rows."""
+def test_bands_miss_few_pairs_at_the_threshold():
+    for percent, rows in ((80, 4), (85, 5), (90, 6)):
+        assert near_dups.band_rows(percent) == rows and (1 - (percent / 100) ** rows) ** (128 // rows) < 1e-6
+
+
+def test_pairs_between_eighty_and_eighty_five(spark):
+    """One changed word of 50 leaves 41 of 51 shingles, 0.804: linked by default, not at 85."""
+    words = ["w%d" % k for k in range(50)]
+    rows = [(7, " ".join(words)), (3, " ".join(words[:25] + ["new"] + words[26:]))]
+    docs = documents(spark, rows)
+    assert {r["component_id"] for r in near_dups.near_duplicates(docs).collect()} == {3}
+    assert {r["component_id"] for r in near_dups.near_duplicates(docs, percent=85).collect()} == {3, 7}
+
+
+@pytest.mark.parametrize("percent", [85, 80])
+def test_near_duplicates_of_one_large_family(spark, monkeypatch, percent):
+    """Links that no pivot sees: members near the threshold from each other, in blocks of a few rows."""
     monkeypatch.setattr(near_dups, "BLOCK", 16)
     dice = random.Random(4)
     base = ["w%d" % k for k in range(60)]
@@ -195,8 +211,8 @@ def test_near_duplicates_of_one_large_family(spark, monkeypatch):
         for _ in range(dice.randint(0, 3)):
             w[dice.randrange(60)] = "z%d" % dice.randint(0, 3)
         rows.append((i, " ".join(w)))
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dups.near_duplicates(documents(spark, rows)).collect()}
-    assert got == brute.near_duplicates(rows)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dups.near_duplicates(documents(spark, rows), percent=percent).collect()}
+    assert got == brute.near_duplicates(rows, percent)
 
 
 def test_near_duplicates_edge_cases(spark):
