@@ -24,13 +24,21 @@ def vocabulary() -> str:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go; it learns from the labels that are not held out."""
+    """Documents that the classifier rejects go; it learns from the labels that are not held out.
+
+    A score of one half stays. Null and empty texts are scored like others; repeated rows get one score each. Without
+    labels of both kinds the score is label 1's share (one half without any, so all stay). An empty table gives an empty one.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col("quality").alias("label"))
     return filter_quality(docs, labels, least=0.5, train_on=F.crc32(F.col("doc_id").cast("string")) % 3 != 1)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that ten documents or more hold go; n_chars follows the text. A document that is left empty stays."""
+    """Lines that ten documents or more hold go; n_chars follows the text. A document that is left empty stays.
+
+    A null text stays null, with its n_chars. Repeated rows of one doc_id count as one document. An empty table gives an
+    empty one; without a column n_chars none is added.
+    """
     out = dedup_lines(docs, min_docs=10, min_chars=1)
     if "n_chars" not in docs.columns:
         return out
@@ -39,17 +47,27 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, the one with the smallest doc_id."""
-    return drop_near_duplicates(docs, words=5, percent=85)
+    """One document of each group of near copies stays, the one with the smallest doc_id.
+
+    Near copies share four fifths of their five-word shingles. Null and empty texts and null doc_ids are copies of nothing
+    and stay; all rows of the doc_id that stays remain, repeats among them. An empty table gives an empty one.
+    """
+    return drop_near_duplicates(docs, words=5, percent=80)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which a twentieth or more are benchmark windows go."""
+    """Documents of which a twentieth or more are benchmark windows go.
+
+    Null and empty texts have no words and stay; an empty benchmark contaminates nothing; repeated rows go or stay alike.
+    """
     return remove_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), window=13, share=20)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 2048 tokens, a row for each piece."""
+    """Sequences of at most 2048 tokens, a row for each piece.
+
+    Null and empty texts are the end id alone; repeated rows are packed each; no documents give no rows.
+    """
     return pack_documents(docs, vocabulary(), capacity=2048, end_id=0)
 
 
