@@ -20,7 +20,7 @@ def format_of(path: str) -> str:
     name = path.rstrip("/").rsplit("/", 1)[-1].lower()
     extension = name[name.rfind(".") :] if "." in name else ""
     if extension not in EXTENSIONS:
-        raise ValueError(f"Unable to infer file format from extension '{extension}'. Specify input_format explicitly.")
+        raise ValueError(f"no table format is known for the extension {extension or '(none)'} of {path}; name one with input_format")
     return EXTENSIONS[extension]
 
 
@@ -40,7 +40,7 @@ def read_table(spark: SparkSession, path: str, input_format: str | None = None,
         return spark.read.option("multiLine", True).json(path)
     if kind in ("fasta", "fastq"):
         raise ValueError(f"{kind} needs germline annotation first; annotate the sequences and read the annotated table")
-    raise ValueError(f"Unsupported input format: {kind}")
+    raise ValueError(f"Unsupported table format to read: {kind}")
 
 
 def write_table(df: DataFrame, path: str, output_format: str | None = None, single_file: bool = False, mode: str = "overwrite") -> None:
@@ -48,7 +48,7 @@ def write_table(df: DataFrame, path: str, output_format: str | None = None, sing
     kind = (output_format or format_of(path)).lower()
     kind = ALIASES.get(kind, kind)
     if kind not in ("csv", "tsv", "parquet", "ndjson", "json"):
-        raise ValueError(f"Unsupported output format derived from path: {path}")
+        raise ValueError(f"Unsupported table format to write: {kind} ({path})")
     target = path + ".parts" if single_file else path
     writer = (df.coalesce(1) if single_file else df).write.mode(mode)
     if kind in ("csv", "tsv"):
