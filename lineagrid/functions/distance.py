@@ -18,9 +18,10 @@ def hamming(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: (x != y).cast("int")), F.lit(0), lambda t, d: t + d)
 
 
-def edit_distance(a: Column, b: Column) -> Column:
-    """Hamming distance for equal lengths, else Levenshtein."""
-    return F.when(F.length(a) == F.length(b), hamming(a, b)).otherwise(F.levenshtein(a, b))
+def edit_distance(a: Column, b: Column, most: int | None = None) -> Column:
+    """Hamming distance for equal lengths, else Levenshtein; with `most`, null for a Levenshtein distance over it."""
+    far = F.levenshtein(a, b) if most is None else F.nullif(F.levenshtein(a, b, most), F.lit(-1))
+    return F.when(F.length(a) == F.length(b), hamming(a, b)).otherwise(far)
 
 
 def shared_mutations(a: Column, b: Column) -> Column:
@@ -48,35 +49,61 @@ def letters(sequences: list[str]) -> np.ndarray:
     return np.frombuffer("".join(sequences).encode("utf-32-le"), "<u4").reshape(len(sequences), -1)
 
 
-def hamming_matrix(sequences: list[str]) -> np.ndarray:
-    """All distances between sequences of one length, by a product of 0/1 matrices for each letter."""
-    x = letters(sequences)
-    same = np.zeros((len(x), len(x)), np.float32)
-    for letter in np.unique(x):
-        hot = (x == letter).astype(np.float32)
-        same += hot @ hot.T
-    return x.shape[1] - same.astype(np.int64)
-
-
-def shared_matrix(mutations: list[list[str]]) -> np.ndarray:
-    """All counts of shared distinct mutations."""
-    number: dict[str, int] = {}
-    at = [(r, number.setdefault(m, len(number))) for r, ms in enumerate(mutations) for m in ms or ()]
-    hot = np.zeros((len(mutations), max(1, len(number))), np.float32)
-    if at:
-        hot[tuple(np.array(at).T)] = 1
-    return (hot @ hot.T).astype(np.int64)
+def equal_positions(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How many positions of each row of x and each of y hold one code point: products of 0/1 matrices, some positions each."""
+    same = np.zeros((len(x), len(y)), np.float32)
+    found, number = np.unique(np.concatenate([x, y]), return_inverse=True)
+    number = number.reshape(len(x) + len(y), -1)
+    step = max(1, 1024 // max(1, len(found)))
+    for at in range(0, number.shape[1], step):
+        part = number[:, at : at + step]
+        hot = np.zeros((len(part), part.shape[1] * len(found)), np.float32)
+        np.put_along_axis(hot, part + np.arange(part.shape[1]) * len(found), 1, axis=1)
+        same += hot[: len(x)] @ hot[len(x) :].T
+    return same
+
+
+def hamming_matrix(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """All distances between code points of one length."""
+    return (x.shape[1] - equal_positions(x, y)).astype(np.int64)
+
+
+def shared_matrix(a: list[list[str]], b: list[list[str]]) -> np.ndarray:
+    """All counts of distinct mutations in both lists, some mutations at a time."""
+    number = {m: k for k, m in enumerate(sorted({m for ms in a for m in ms or ()} & {m for ms in b for m in ms or ()}))}
+    places = [np.array([(r, number[m]) for r, ms in enumerate(lists) for m in ms or () if m in number], np.int64).reshape(-1, 2) for lists in (a, b)]
+    shared = np.zeros((len(a), len(b)), np.float32)
+    for at in range(0, len(number), 1024):
+        hot = []
+        for lists, p in zip((a, b), places, strict=True):
+            p = p[(p[:, 1] >= at) & (p[:, 1] < at + 1024)]
+            hot.append(np.zeros((len(lists), min(1024, len(number) - at)), np.float32))
+            hot[-1][p[:, 0], p[:, 1] - at] = 1
+        shared += hot[0] @ hot[1].T
+    return shared.astype(np.int64)
+
+
+def levenshtein_pairs(a: list[str], b: list[str], most: int = 100_000) -> np.ndarray:
+    """Unit-cost edit distances of a[k] and b[k]: a table row at a time, for all pairs of one pair of lengths at once."""
+    out = np.zeros(len(a), np.int64)
+    sizes = np.array([(len(x), len(y)) for x, y in zip(a, b, strict=True)], np.int64).reshape(-1, 2)
+    for n, m in np.unique(sizes, axis=0).tolist():
+        rows = np.flatnonzero((sizes == (n, m)).all(axis=1))
+        for part in np.array_split(rows, -(-len(rows) // most)):
+            x, y = (letters([side[k] for k in part]).T for side in (a, b))
+            row = np.tile(np.arange(m + 1, dtype=np.int32)[:, None], (1, len(part)))
+            for i in range(n):
+                best = np.minimum(row[1:] + 1, row[:-1] + (y != x[i]))
+                row[0] = i + 1
+                for j in range(m):
+                    row[j + 1] = np.minimum(best[j], row[j] + 1)
+            out[part] = row[-1]
+    return out
 
 
 def levenshtein(a: str, b: str) -> int:
-    """Unit-cost edit distance, a row of the table at a time."""
-    x, y = letters([a])[0], letters([b])[0]
-    row = np.arange(len(y) + 1)
-    steps = np.arange(len(y) + 1)
-    for i, c in enumerate(x, 1):
-        best = np.minimum(row[1:] + 1, row[:-1] + (y != c))
-        row = np.minimum.accumulate(np.concatenate([[i], best]) - steps) + steps
-    return int(row[-1])
+    """Unit-cost edit distance."""
+    return int(levenshtein_pairs([a], [b])[0])
 
 
 def score_matrix(v: list, j: list, cdr3: list[str], mutations: list[list[str]], bonus: float, multiplier: float) -> np.ndarray:
@@ -85,10 +112,12 @@ def score_matrix(v: list, j: list, cdr3: list[str], mutations: list[list[str]],
     distance = np.zeros((len(cdr3), len(cdr3)), np.int64)
     for n in np.unique(length):
         rows = np.flatnonzero(length == n)
-        distance[np.ix_(rows, rows)] = hamming_matrix([cdr3[r] for r in rows]) if n else 0
-    for a, b in np.argwhere(np.triu(length[:, None] != length[None, :])):
-        distance[a, b] = distance[b, a] = levenshtein(cdr3[a], cdr3[b])
-    shared = shared_matrix(mutations)
+        x = letters([cdr3[r] for r in rows])
+        distance[np.ix_(rows, rows)] = hamming_matrix(x, x)
+    for r in range(len(cdr3)):  # a row of pairs at a time
+        others = r + 1 + np.flatnonzero(length[r + 1 :] != length[r])
+        distance[r, others] = distance[others, r] = levenshtein_pairs([cdr3[r]] * len(others), [cdr3[k] for k in others])
+    shared = shared_matrix(mutations, mutations)
     number = {}
     vs, js = (np.array([number.setdefault((k, g), len(number)) for g in genes]) for k, genes in enumerate((v, j)))
     germline = np.where(vs[:, None] != vs[None, :], V_PENALTY, 0.0) + np.where(js[:, None] != js[None, :], J_PENALTY, 0.0)

@@ -2,15 +2,17 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lineagrid.functions import distance, naming
+from lineagrid.operators import linkage
 from lineagrid.operators.components import connected_components
 from lineagrid.operators.essences import canonical_mutations, cluster_numbers, essences, megaclusters, nearest_centers
-from lineagrid.operators.linkage import average_clusters, forest
+from lineagrid.operators.linkage import average_clusters
 
 
 @given(st.text("ABC", max_size=8), st.text("ABC", max_size=8))
@@ -73,11 +75,42 @@ def test_components_against_union_find(spark):
     assert connected_components(spark.createDataFrame([], "src long, dst long")).count() == 0
 
 
-def test_forest_connects_what_is_adjacent():
-    near = np.zeros((5, 5), bool)
-    for a, b in ((0, 3), (3, 4)):
-        near[a, b] = near[b, a] = True
-    assert {frozenset(e) for e in forest(near)} == {frozenset((0, 3)), frozenset((3, 4))}
+def table_of(rows):
+    return pa.table({c: [r[k] for r in rows] for k, c in enumerate(("rep", "v", "j", "cdr3", "muts"))})
+
+
+@pytest.mark.parametrize("tile", [1024, 3])
+def test_forest_connects_what_is_within_the_cutoff(monkeypatch, tile):
+    """Blocks against themselves and each other, with shared mutations that decide, against single pair scores."""
+    monkeypatch.setattr(linkage, "TILE", tile)
+    dice = random.Random(7)
+    rows = [(f"r{k // 2:02}", dice.choice("VW"), "J", "", [f"M{m}" for m in range(6) if dice.random() < 0.4]) for k in range(40)]
+    essence = {}
+    rows = [(r, *essence.setdefault(r, (v, j, "".join(dice.choice("ACD") for _ in range(9)))), m) for r, v, j, _, m in rows]
+    near = {(a[0], b[0]) for a in rows for b in rows if a[0] != b[0] and distance.score_matrix([a[1], b[1]], [a[2], b[2]], [a[3], b[3]], [a[4], b[4]], 0.35, 2.0)[0, 1] <= 0.3}
+    genes = {}
+    left, right = linkage.Block.of(table_of(rows[:24]), genes), linkage.Block.of(table_of(rows[24:]), genes)
+    for a, b in ((left, left), (right, right), (left, right)):
+        found = list(linkage.forest(a, b, 0.3, 0.35))
+        meet = {(x, y) for x, y in near if (x in a.reps and y in b.reps)}
+        graphs = [parts(a.reps + b.reps, links) for links in (found, meet)]
+        assert set(found) <= meet | {(y, x) for x, y in meet} and graphs[0] == graphs[1] and len(found) == len({*a.reps, *b.reps}) - len(graphs[0])
+
+
+def parts(nodes, links):
+    """The sets of connected nodes."""
+    groups = {n: {n} for n in nodes}
+    for a, b in links:
+        both = groups[a] | groups[b]
+        groups.update({n: both for n in both})
+    return {frozenset(g) for g in groups.values()}
+
+
+@given(st.lists(st.tuples(st.text("ABC", max_size=6), st.text("ABC", max_size=6)), max_size=12))
+@settings(max_examples=60, deadline=None)
+def test_levenshtein_of_many_pairs(pairs):
+    a, b = [x for x, _ in pairs], [y for _, y in pairs]
+    assert distance.levenshtein_pairs(a, b, most=3).tolist() == [distance.levenshtein(x, y) for x, y in pairs]
 
 
 def test_weights_move_an_average():
