@@ -8,6 +8,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..storage import fresh_path, shared_folder, staged  # noqa: F401
 
@@ -30,6 +31,17 @@ def quoted(*names: str) -> list[Column]:
     return [F.col("`" + n.replace("`", "``") + "`") for n in names]
 
 
+def numbered(df: DataFrame) -> tuple[DataFrame, list[str]]:
+    """df with its columns called c0, c1, ... and their names: Arrow maps cannot take names that hold dots."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]), df.columns
+
+
+def numbered_schema(schema: T.StructType, *names: str) -> T.StructType:
+    """The schema with columns c0, c1, ..., the last ones called `names`."""
+    fields, n = schema.fields, len(schema.fields) - len(names)
+    return T.StructType([T.StructField(f"c{i}" if i < n else names[i - n], f.dataType) for i, f in enumerate(fields)])
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Cuts batches between rows so that `column` holds at most about most_bytes in each; one longer row stands alone."""
     for batch in batches:

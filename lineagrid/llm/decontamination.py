@@ -4,29 +4,35 @@ Texts are normalised to words (letters, digits and all non-ASCII characters, A-Z
 consecutive item words is a pattern, an item of fewer words is one pattern; the automaton runs over word numbers, so each
 text is scanned once however many patterns there are, and word numbers map back to byte offsets of the original.
 
-Items are collected to build the automaton while their text is under `automaton_bytes`; a larger benchmark is cut into
-groups of items under that size, and the documents are scanned once for each group. Null and empty texts have no words
-and hit nothing; items without words have no window. Repeated items with one id count as one. Repeated documents are
-returned each. Extra columns are ignored; an empty benchmark contaminates nothing.
+An automaton has at most `automaton_nodes` nodes (about 100 bytes each in a Python worker). A benchmark with more is cut
+into groups of windows, however long its items are; the groups are read one at a time, and for each the documents are
+scanned and the hits of those that have any are stored under a hash of the text, so that no more than one automaton is
+alive anywhere. The hits are then added up and joined to the documents. The rows are the same.
+
+Null and empty texts have no words and hit nothing; a text of any length is one row and scanned whole; items without
+words have no window. Repeated items with one id count as one; an item with a null id hits words like any other and is
+not listed or counted among the items. Repeated documents are returned each. All columns are handed on, whatever their
+names; an empty benchmark contaminates nothing, an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import need, quoted, slices, unused
+from .common import need, numbered, numbered_schema, quoted, slices, staged, unused
 
-#: Item text of one automaton; a pattern node takes about 50 bytes of each Python worker.
-AUTOMATON_BYTES = 8 << 20
+#: The columns that a scan adds.
+ADDED = ("n_words", "n_hit", "items", "spans")
+#: Nodes of one automaton: about 100 MB of each Python worker.
+AUTOMATON_NODES = 1 << 20
 
 
 def normalising_table() -> bytes:
@@ -53,18 +59,17 @@ def word_places(text: bytes) -> np.ndarray:
 
 
 class Benchmark:
-    """Items and the automaton of their windows; it is rebuilt in each Python worker that asks for it."""
+    """Words of items and the automaton of their windows; it is built in each Python worker that asks for it."""
 
-    def __init__(self, items: list[tuple[object, str]], window: int):
-        self.window = window
-        self.names = sorted({str(i) for i, _ in items})
+    def __init__(self, items: list[tuple[str | None, list[bytes]]], window: int):
+        self.names = sorted({i for i, _ in items if i is not None})
         number = {n: k for k, n in enumerate(self.names)}
         self.words: dict[bytes, int] = {}
         owners: dict[tuple[int, ...], set[int]] = defaultdict(set)
-        for item, text in items:
-            ids = [self.words.setdefault(w, len(self.words) + 1) for w in normal_words((text or "").encode())]
+        for item, words in items:
+            ids = [self.words.setdefault(w, len(self.words) + 1) for w in words]
             for at in range(max(1, len(ids) - window + 1) if ids else 0):
-                owners[tuple(ids[at : at + window])].add(number[str(item)])
+                owners[tuple(ids[at : at + window])].update([] if item is None else [number[item]])
         self.patterns = [(p, sorted(o)) for p, o in owners.items()]
         self.automaton = None
 
@@ -79,8 +84,8 @@ class Benchmark:
             self.automaton.make_automaton()
         return self.automaton
 
-    def scan(self, words: list[bytes]) -> tuple[np.ndarray, set[int]]:
-        """Which words are hit, and the numbers of the items found."""
+    def scan(self, words: list[bytes]) -> tuple[np.ndarray, list[str]]:
+        """Which words are hit, and the names of the items found."""
         hit, items = np.zeros(len(words) + 1, np.int32), set()
         if (automaton := self.build()) and words:
             look = self.words.get
@@ -89,56 +94,110 @@ class Benchmark:
                 hit[end - len(pattern) + 1] += 1
                 hit[end + 1] -= 1
                 items.update(owners)
-        return np.cumsum(hit[:-1]) > 0, items
+        return np.cumsum(hit[:-1]) > 0, [self.names[k] for k in sorted(items)]
 
 
-def item_groups(benchmark: DataFrame, id_column: str, most_bytes: int) -> Iterator[list[tuple[object, str]]]:
-    """Items in groups of bounded text, one group at a time on the driver."""
+def window_groups(benchmark: DataFrame, id_column: str, window: int, most_nodes: int) -> Iterator[list[tuple[str | None, list[bytes]]]]:
+    """Items' words in groups whose windows need at most most_nodes nodes, one group at a time on the driver.
+
+    A longer item goes in pieces that overlap by one word less than a window, so that each window is in one piece.
+    """
     group, held = [], 0
-    for row in benchmark.select(id_column, "text").where(F.col("text").isNotNull()).toLocalIterator():
-        if group and held + len(row[1]) > most_bytes:
-            yield group
-            group, held = [], 0
-        group.append((row[0], row[1]))
-        held += len(row[1])
+    per = max(1, most_nodes // window)
+    for item, text in benchmark.select(F.col(id_column).cast("string"), "text").where(F.col("text").isNotNull()).toLocalIterator():
+        words = normal_words(text.encode())
+        for at in range(0, max(1, len(words) - window + 1) if words else 0, per):
+            piece = words[at : at + per + window - 1]
+            nodes = max(1, len(piece) - window + 1) * min(window, len(piece))
+            if group and held + nodes > most_nodes:
+                yield group
+                group, held = [], 0
+            group.append((item, piece))
+            held += nodes
     yield group
 
 
-def scan_documents(docs: DataFrame, benchmark: DataFrame, window: int = 13, id_column: str = "item_id", automaton_bytes: int = AUTOMATON_BYTES) -> DataFrame:
+def word_ranges(hit: np.ndarray) -> list[dict[str, int]]:
+    """Runs of hit words: number of the first, and of the one behind the last."""
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], hit, [False]]).astype(np.int8)))
+    return [{"start": int(a), "end": int(b)} for a, b in edge.reshape(-1, 2)]
+
+
+RANGES = "array<struct<start:long,end:long>>"
+RANGE = pa.struct([("start", pa.int64()), ("end", pa.int64())])
+
+
+def group_hits(docs: DataFrame, group: list, window: int) -> DataFrame:
+    """_h1, _h2, ranges (of words) and items of each different text that windows of the group occur in, stored."""
+    shared = docs.sparkSession.sparkContext.broadcast(Benchmark(group, window))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            told = [shared.value.scan(normal_words(text.as_buffer().to_pybytes())) for text in batch.column("text")]
+            some = [k for k, (hit, _) in enumerate(told) if hit.any()]
+            if some:
+                yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(some)) for c in ("_h1", "_h2")] + [pa.array([word_ranges(told[k][0]) for k in some], pa.list_(RANGE)), pa.array([told[k][1] for k in some], pa.list_(pa.string()))], names=["_h1", "_h2", "ranges", "items"])
+
+    found = docs.where("text is not null").select(*text_keys("text"), "text").mapInArrow(rows, f"_h1 long, _h2 long, ranges {RANGES}, items array<string>")
+    stored = staged(found.dropDuplicates(["_h1", "_h2"]), "group-hits")
+    shared.destroy()
+    return stored
+
+
+def text_keys(text: str, names: tuple[str, str] = ("_h1", "_h2")) -> list[Column]:
+    return [F.xxhash64(F.col(text)).alias(names[0]), F.xxhash64(F.lit(1), F.col(text)).alias(names[1])]
+
+
+def scan_documents(docs: DataFrame, benchmark: DataFrame, window: int = 13, id_column: str = "item_id", automaton_nodes: int = AUTOMATON_NODES) -> DataFrame:
     """All columns of docs and n_words, n_hit, items (sorted strings), spans (hit byte ranges of the original text).
 
     Columns of docs by these four names are replaced.
     """
     need(docs, "text")
     need(benchmark, id_column, "text")
-    context = docs.sparkSession.sparkContext
     out = docs.drop("n_words", "n_hit", "items", "spans")
-    columns = out.columns
-    parts = [context.broadcast(Benchmark(g, window)) for g in item_groups(benchmark, id_column, automaton_bytes)]
+    plain, columns = numbered(out)
+    at = columns.index("text")
+    text = f"c{at}"
+    groups = window_groups(benchmark, id_column, window, automaton_nodes)
+    group, more = next(groups), next(groups, None)
+    if more is None:
+        shared = docs.sparkSession.sparkContext.broadcast(Benchmark(group, window))
+    else:
+        hits = group_hits(docs, group, window)
+        while more is not None:
+            hits = hits.unionByName(group_hits(docs, more, window))
+            more = next(groups, None)
+        hits = hits.groupBy("_h1", "_h2").agg(F.flatten(F.collect_list("ranges")).alias("ranges"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+        keyed = plain.select("*", *text_keys(text, ("_k1", "_k2")))
+        plain = keyed.join(hits, (F.col("_k1") == F.col("_h1")) & (F.col("_k2") == F.col("_h2")) & F.col(text).isNotNull(), "left").drop("_k1", "_k2", "_h1", "_h2")
+
+    def found(batch: pa.RecordBatch, k: int, words: list[bytes]) -> tuple[np.ndarray, list[str]]:
+        if "ranges" not in batch.schema.names:
+            return shared.value.scan(words)
+        hit = np.zeros(len(words), bool)
+        for r in batch.column("ranges")[k].as_py() or ():
+            hit[r["start"] : r["end"]] = True
+        return hit, batch.column("items")[k].as_py() or []
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        benchmarks = [p.value for p in parts]
-        for batch in slices(batches, "text"):
-            n_words, n_hit, found, spans = [], [], [], []
-            for text in batch.column("text"):
-                data = text.as_buffer().to_pybytes() if text.is_valid else b""
+        for batch in slices(batches, text):
+            n_words, n_hit, items, spans = [], [], [], []
+            for k, value in enumerate(batch.column(at)):
+                data = value.as_buffer().to_pybytes() if value.is_valid else b""
                 words = normal_words(data)
-                hit, items = np.zeros(len(words), bool), set()
-                for b in benchmarks:
-                    h, i = b.scan(words)
-                    hit |= h
-                    items.update(b.names[k] for k in i)
+                hit, names = found(batch, k, words)
                 n_words.append(len(words))
                 n_hit.append(int(hit.sum()))
-                found.append(sorted(items))
+                items.append(names)
                 spans.append(hit_spans(data, hit))
-            pair = pa.struct([("start", pa.int64()), ("end", pa.int64())])
-            extra = [pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(found, pa.list_(pa.string())), pa.array(spans, pa.list_(pair))]
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in columns] + extra, names=[*columns, "n_words", "n_hit", "items", "spans"])
+            extra = [pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(spans, pa.list_(RANGE))]
+            names = [f"c{i}" for i in range(len(columns))]
+            yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(columns))] + extra, names=[*names, *ADDED])
 
     span = T.StructType().add("start", "long").add("end", "long")
     schema = T.StructType(list(out.schema.fields)).add("n_words", "long").add("n_hit", "long").add("items", T.ArrayType(T.StringType())).add("spans", T.ArrayType(span))
-    return out.mapInArrow(rows, schema)
+    return plain.mapInArrow(rows, numbered_schema(schema, *ADDED)).toDF(*columns, *ADDED)
 
 
 def hit_spans(text: bytes, hit: np.ndarray) -> list[dict[str, int]]:
@@ -155,12 +214,8 @@ def contaminated(scanned: DataFrame, share: int = 20) -> DataFrame:
     return scanned.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * share >= F.col("n_words")))
 
 
-def item_digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(items).encode()).hexdigest()
-
-
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20) -> DataFrame:
     """The rows of docs that are not contaminated, with docs' own columns."""
-    clash = {c: unused(docs, f"_own_{c}") for c in docs.columns if c in ("n_words", "n_hit", "items", "spans", "contaminated")}
-    marked = contaminated(scan_documents(docs.withColumnsRenamed(clash), benchmark, window), share)
+    clash = {c: unused(docs, f"_own_{c}") for c in docs.columns if c in (*ADDED, "contaminated")}
+    marked = contaminated(scan_documents(docs.toDF(*[clash.get(n, n) for n in docs.columns]), benchmark, window), share)
     return marked.where("not contaminated").select(*[c.alias(n) for c, n in zip(quoted(*[clash.get(n, n) for n in docs.columns]), docs.columns, strict=True)])

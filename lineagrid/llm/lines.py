@@ -5,9 +5,10 @@ documents spreads over many partitions, and sorted by (hash, document, position)
 of one hash that reaches `min_docs` documents loses its lines at once. Only the first and the last hash of a partition
 can go on elsewhere; their counts (two rows a partition at most) are added up and sent to the few lines that wait.
 
-Null and empty texts are one empty line; keys shorter than min_chars code points are never dropped. Rows with equal
-doc_id and text count as one document and get the same bitmap; equal doc_ids with different texts are two documents.
-A null doc_id is an id like any other. Other columns are ignored; an empty table gives no rows.
+Null and empty texts are one empty line; keys shorter than min_chars code points are never dropped; a text of any length
+is one row and is split whole. Rows of one doc_id count as one document, whatever their texts; rows equal in doc_id and
+text get the same bitmap. A null doc_id is an id like any other. The operator hands all columns on, whatever their names;
+an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,11 +24,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import need, slices, staged, unused
+from .common import need, numbered, numbered_schema, quoted, slices, staged, unused
 
 KEY = ["h1", "h2"]
 DOC = ["doc_id", "_text"]
 DROP, WAITS, COUNT = 0, 1, 2
+#: Rows of an undecided line that a task holds.
+WAITING = 100_000
 
 
 def line_key(line: bytes) -> bytes:
@@ -57,19 +60,19 @@ def line_hashes(docs: DataFrame, min_chars: int) -> DataFrame:
     return docs.select("doc_id", F.coalesce(F.xxhash64("text"), F.lit(0)).alias("_text"), "text").mapInArrow(hashed, schema)
 
 
-def frequent_lines(hashes: DataFrame, min_docs: int, partitions: int) -> DataFrame:
+def frequent_lines(hashes: DataFrame, min_docs: int, partitions: int, most_waiting: int = WAITING) -> DataFrame:
     """doc_id, _text, pos of the lines whose key min_docs documents hold at least. `hashes` should be a stored table."""
-    ordered = hashes.repartitionByRange(partitions, *KEY, *DOC).sortWithinPartitions(*KEY, *DOC, "pos")
+    ordered = hashes.repartitionByRange(partitions, *KEY, "doc_id").sortWithinPartitions(*KEY, *DOC, "pos")
     id_type = hashes.schema["doc_id"].dataType.simpleString()
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, n_docs, last, waiting, keys_seen = None, 0, None, [], 0
+        key, n_docs, last, waiting, keys_seen, early = None, 0, None, [], 0, False
 
         def marked(part: pa.RecordBatch, state: int, n: int = 0) -> pa.RecordBatch:
             return part.append_column("state", pa.array(np.full(part.num_rows, state, np.int32))).append_column("n", pa.array(np.full(part.num_rows, n, np.int64)))
 
         def finish(edge: bool) -> Iterator[pa.RecordBatch]:
-            if key is not None and edge:
+            if key is not None and (edge or early):
                 for part in waiting:
                     yield marked(part, WAITS)
                 yield marked(sample.slice(0, 1), COUNT, n_docs).set_column(0, "h1", pa.array([key[0]])).set_column(1, "h2", pa.array([key[1]]))
@@ -78,10 +81,10 @@ def frequent_lines(hashes: DataFrame, min_docs: int, partitions: int) -> DataFra
             if not batch.num_rows:
                 continue
             sample = batch
-            h1, h2, text = (batch.column(c).to_numpy() for c in ("h1", "h2", "_text"))
+            h1, h2 = (batch.column(c).to_numpy() for c in KEY)
             ids = pc.dictionary_encode(batch.column("doc_id"), null_encoding="encode").indices.to_numpy()
             new_key = np.r_[True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])]
-            new_doc = new_key | np.r_[True, (text[1:] != text[:-1]) | (ids[1:] != ids[:-1])]
+            new_doc = new_key | np.r_[True, ids[1:] != ids[:-1]]
             starts = np.flatnonzero(new_key)
             ends = np.r_[starts[1:], batch.num_rows]
             counts = np.add.reduceat(new_doc.astype(np.int64), starts)
@@ -95,18 +98,23 @@ def frequent_lines(hashes: DataFrame, min_docs: int, partitions: int) -> DataFra
                 part, now = batch.slice(first, end - first), (int(h1[first]), int(h2[first]))
                 if now != key:
                     yield from finish(edge=keys_seen == 1)
-                    key, n_docs, last, waiting, keys_seen = now, 0, None, [], keys_seen + 1
-                n_docs += int(counts[i]) - ((part.column("doc_id")[0].as_py(), int(text[first])) == last)
-                last = (part.column("doc_id")[-1].as_py(), int(text[end - 1]))
+                    key, n_docs, last, waiting, keys_seen, early = now, 0, None, [], keys_seen + 1, False
+                n_docs += int(counts[i]) - ((part.column("doc_id")[0].as_py(),) == last)
+                last = (part.column("doc_id")[-1].as_py(),)
                 waiting.append(part)
                 if n_docs >= min_docs:
                     for part in waiting:
                         yield marked(part, DROP)
                     waiting = []
+                elif sum(part.num_rows for part in waiting) > most_waiting:
+                    # few documents repeat the line this often: its count decides behind the run, as at an edge
+                    for part in waiting:
+                        yield marked(part, WAITS)
+                    waiting, early = [], True
         yield from finish(edge=True)
 
     found = staged(ordered.mapInArrow(runs, f"h1 long, h2 long, doc_id {id_type}, _text long, pos int, state int, n long"), "line-runs")
-    # a row for each of a partition's two edges at most, so its size is bounded by the number of partitions
+    # two rows a partition for its edges, and one for WAITING rows at most, whatever the lines are
     edges = found.where(F.col("state") == COUNT).groupBy(*KEY).agg(F.sum("n").alias("n")).where(F.col("n") >= min_docs).select(*KEY)
     late = found.where(F.col("state") == WAITS).join(F.broadcast(edges), KEY, "left_semi")
     return found.where(F.col("state") == DROP).unionByName(late).select(*DOC, "pos")
@@ -157,21 +165,21 @@ def with_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> tuple[DataFrame, str]:
 
 def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> DataFrame:
     """The documents' rows with the frequent lines taken out of `text` (null stays null); all columns are kept."""
-    columns = docs.columns
     joined, bitmap_name = with_bitmaps(docs, keep_bitmaps(docs, min_docs, min_chars))
+    plain, columns = numbered(joined.select(*quoted(*docs.columns, bitmap_name)))
+    at = columns.index("text")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = columns.index("text")
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, f"c{at}"):
             out = []
-            for text, bitmap in zip(batch.column("text").to_pylist(), batch.column(bitmap_name).to_pylist(), strict=True):
+            for text, bitmap in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
                 if text is not None and bitmap is not None:
                     lines = text.split("\n")
                     text = "\n".join([x for x, k in zip(lines, kept_lines(bitmap, len(lines)).tolist(), strict=True) if k])
                 out.append(text)
-            yield batch.select(columns).set_column(at, "text", pa.array(out, pa.string()))
+            yield batch.select(batch.schema.names[:-1]).set_column(at, f"c{at}", pa.array(out, pa.string()))
 
-    return joined.mapInArrow(apply, docs.schema)
+    return plain.mapInArrow(apply, numbered_schema(docs.schema)).toDF(*docs.columns)
 
 
 def line_digest(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> DataFrame:

@@ -5,9 +5,13 @@ of all labelled training rows, added up by Spark; each class covariance is shrun
 identity, and its Cholesky factor is computed once. A score is the logistic function of the difference of the classes'
 log densities (squared Mahalanobis distances and log determinants) plus the log odds.
 
-Null and empty texts have statistics like any other and get a score. Labels that are null count as no label; a doc_id
-with several labels trains with each. Repeated rows are scored each. With fewer than two classes in training the score
-is the share of label 1 (0.5 without labels). Extra columns are ignored; an empty table gives no rows.
+For the fit alone statistics are rounded to multiples of 2^-16, so that sums and products are whole numbers: they are
+added up exactly, in any order, and a score does not depend on which task came first or on a rerun.
+
+Null and empty texts have statistics like any other and get a score; a text of any length is one row and read whole.
+Labels that are null count as no label; a doc_id with several labels trains with each. Rows with a null doc_id are scored
+and never trained on. Repeated rows are scored each. With fewer than two classes in training the score is the share of
+label 1 (0.5 without labels). Extra columns are ignored by scores and kept by the filter; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -19,8 +23,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import need, slices, staged
+from .common import need, numbered, numbered_schema, slices, staged, unused
 from .wordbytes import IS_SPACE, LOWER, column_bytes, mixed, word_hashes, word_spans
 
 FEATURES = (
@@ -139,20 +144,50 @@ class Discriminant:
         return 1 / (1 + np.exp(-np.clip(self.log_odds(x), -500, 500)))
 
 
-def fit(counts: dict[int, int], totals: dict[int, np.ndarray], products: dict[int, np.ndarray], to_pooled: float, to_identity: float) -> Discriminant:
-    """From each class's row count, sum and cross products. to_pooled and to_identity are the shrinkage intensities."""
+#: Statistics are whole multiples of 2^-GRAIN_BITS in the fit; they stay below 2^5.
+GRAIN_BITS = 16
+#: Rows whose products stay exact in one matrix product of doubles: 2 * (GRAIN_BITS + 5) bits each, 53 in all.
+EXACT_ROWS = 1 << (53 - 2 * (GRAIN_BITS + 5))
+
+
+def whole(x: np.ndarray) -> np.ndarray:
+    """(rows, 1 + FEATURES) whole numbers in doubles: one, and the statistics in grains."""
+    grains = np.clip(np.rint(x * (1 << GRAIN_BITS)), -(1 << (GRAIN_BITS + 5)) + 1, (1 << (GRAIN_BITS + 5)) - 1)
+    return np.concatenate([np.ones((len(x), 1)), grains], axis=1)
+
+
+def exact_products(x: np.ndarray) -> np.ndarray:
+    """(1 + FEATURES, 1 + FEATURES) sums of products of whole(x), as Python integers."""
+    z = whole(x)
+    total = np.zeros((z.shape[1], z.shape[1]), object)
+    for at in range(0, len(z), EXACT_ROWS):
+        part = z[at : at + EXACT_ROWS]
+        total = total + (part.T @ part).astype(np.int64).astype(object)
+    return total
+
+
+def moments(sums: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+    """Row count, mean and covariance from exact products: the subtraction is done in whole numbers, nothing cancels."""
+    n, total, product = int(sums[0, 0]), sums[0, 1:], sums[1:, 1:]
+    if not n:
+        return 0, np.zeros(len(total)), np.zeros(product.shape)
+    unit = float(1 << GRAIN_BITS)
+    covariance = (n * product - np.outer(total, total)).astype(np.float64) / (float(n) * n * unit * unit)
+    return n, total.astype(np.float64) / (n * unit), covariance
+
+
+def fit(sums: dict[int, np.ndarray], to_pooled: float, to_identity: float) -> Discriminant:
+    """From each class's exact_products. to_pooled and to_identity are the shrinkage intensities."""
     k = len(FEATURES)
-    n = {c: counts.get(c, 0) for c in (0, 1)}
+    told = {c: moments(sums[c]) for c in (0, 1)}
+    n = {c: t[0] for c, t in told.items()}
     if min(n.values()) < 2:
         share = (n[1] + 1) / (n[0] + n[1] + 2) if sum(n.values()) else 0.5
         return Discriminant(np.zeros(k), np.ones(k), np.zeros((2, k)), np.zeros((2, k, k)), np.zeros(2), share)
-    centre = (totals[0] + totals[1]) / (n[0] + n[1])
-    scale = np.sqrt(np.maximum(np.diag(products[0] + products[1]) / (n[0] + n[1]) - centre**2, 1e-8))
-    means, covariances = [], []
-    for c in (0, 1):
-        mean = totals[c] / n[c]
-        means.append((mean - centre) / scale)
-        covariances.append((products[c] / n[c] - np.outer(mean, mean)) / np.outer(scale, scale))
+    _, centre, spread = moments(sums[0] + sums[1])
+    scale = np.sqrt(np.maximum(np.diag(spread), 1e-8))
+    means = [(told[c][1] - centre) / scale for c in (0, 1)]
+    covariances = [told[c][2] / np.outer(scale, scale) for c in (0, 1)]
     pooled = (n[0] * covariances[0] + n[1] * covariances[1]) / (n[0] + n[1])
     factors, constants = [], []
     for c in (0, 1):
@@ -164,16 +199,19 @@ def fit(counts: dict[int, int], totals: dict[int, np.ndarray], products: dict[in
     return Discriminant(centre, scale, np.stack(means), np.stack(factors), np.array(constants))
 
 
-def featured(docs: DataFrame) -> DataFrame:
-    """doc_id and x, the statistics of each row's text."""
+def featured(docs: DataFrame, name: str = "x") -> DataFrame:
+    """docs' columns (text among them only if it is there) and `name`, the statistics of each row's text."""
+    schema = T.StructType(list(docs.schema.fields)).add(name, T.ArrayType(T.DoubleType()))
+    plain, original = numbered(docs)
+    at = docs.columns.index("text")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            x = statistics(batch.column("text"))
+        for batch in slices(batches, f"c{at}"):
+            x = statistics(batch.column(at))
             values = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1]), pa.int32()), pa.array(x.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), values], names=["doc_id", "x"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, values], names=[*batch.schema.names, "x"])
 
-    return docs.select("doc_id", "text").mapInArrow(rows, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, x array<double>")
+    return plain.mapInArrow(rows, numbered_schema(schema, "x")).toDF(*original, name)
 
 
 def vectors(column: pa.Array) -> np.ndarray:
@@ -185,30 +223,28 @@ def train(features: DataFrame, labels: DataFrame, to_pooled: float, to_identity:
     k = len(FEATURES)
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = {c: np.zeros((k + 1, k + 1)) for c in (0, 1)}
+        held = {c: np.zeros((k + 1, k + 1), object) for c in (0, 1)}
         for batch in batches:
             if batch.num_rows:
                 x, y = vectors(batch.column("x")), batch.column("label").to_numpy()
-                x = np.concatenate([np.ones((len(x), 1)), x], axis=1)
                 for c in (0, 1):
-                    held[c] += x[y == c].T @ x[y == c]
-        yield pa.RecordBatch.from_arrays([pa.array([0, 1], pa.int32()), pa.array([m.reshape(-1).tolist() for m in held.values()], pa.list_(pa.float64()))], names=["label", "m"])
+                    held[c] = held[c] + exact_products(x[y == c])
+        yield pa.RecordBatch.from_arrays([pa.array([0, 1], pa.int32()), pa.array([[str(v) for v in m.reshape(-1)] for m in held.values()], pa.list_(pa.string()))], names=["label", "m"])
 
-    labelled = features.join(labels.where("label in (0, 1)"), "doc_id").select(F.col("label").cast("int"), "x")
-    parts = labelled.mapInArrow(partial, "label int, m array<double>")
-    spread = parts.select("label", F.posexplode("m").alias("i", "v")).groupBy("label", "i").agg(F.sum("v").alias("v"))
-    found = {c: np.zeros((k + 1) ** 2) for c in (0, 1)}
+    labelled = features.select("doc_id", "x").join(labels.where("label in (0, 1)"), "doc_id").select(F.col("label").cast("int"), "x")
+    parts = labelled.mapInArrow(partial, "label int, m array<string>")
+    spread = parts.select("label", F.posexplode("m").alias("i", "v")).groupBy("label", "i").agg(F.sum(F.col("v").cast("decimal(38,0)")).alias("v"))
+    found = {c: np.zeros((k + 1) ** 2, object) for c in (0, 1)}
     for r in spread.collect():  # 2 (k + 1)^2 numbers, whatever the corpus
-        found[r["label"]][r["i"]] = r["v"]
-    m = {c: v.reshape(k + 1, k + 1) for c, v in found.items()}
-    return fit({c: round(m[c][0, 0]) for c in m}, {c: m[c][0, 1:] for c in m}, {c: m[c][1:, 1:] for c in m}, to_pooled, to_identity)
+        found[r["label"]][r["i"]] = int(r["v"])
+    return fit({c: v.reshape(k + 1, k + 1) for c, v in found.items()}, to_pooled, to_identity)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, train_on: Column | None = None, to_pooled: float = 0.1, to_identity: float = 0.02) -> DataFrame:
     """doc_id and score of every row: the probability of label 1. labels: doc_id, label; train_on: which labels to learn."""
     need(docs, "doc_id", "text")
     need(labels, "doc_id", "label")
-    features = staged(featured(docs), "features")
+    features = staged(featured(docs.select("doc_id", "text")).drop("text"), "features")
     model = train(features, (labels if train_on is None else labels.where(train_on)).select("doc_id", "label"), to_pooled, to_identity)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,15 +256,21 @@ def quality_scores(docs: DataFrame, labels: DataFrame, train_on: Column | None =
 
 
 def filter_quality(docs: DataFrame, labels: DataFrame, least: float = 0.5, train_on: Column | None = None, to_pooled: float = 0.1, to_identity: float = 0.02) -> DataFrame:
-    """The rows of docs, all columns, whose score is at least `least`. The texts are read twice, and never shuffled."""
+    """The rows of docs, all columns, whose score is at least `least`.
+
+    Statistics are computed once and stored beside the rows until the model is known; texts are never shuffled.
+    """
     need(docs, "doc_id", "text")
     need(labels, "doc_id", "label")
     labelled = (labels if train_on is None else labels.where(train_on)).select("doc_id", "label")
-    model = train(staged(featured(docs), "features"), labelled, to_pooled, to_identity)
+    name = unused(docs, "x")
+    stored = staged(featured(docs, name), "rows-with-features")
+    model = train(stored.select("doc_id", F.col(name).alias("x")), labelled, to_pooled, to_identity)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in batches:
             if batch.num_rows:
-                yield batch.filter(pa.array(model.scores(statistics(batch.column("text"))) >= least))
+                kept = batch.filter(pa.array(model.scores(vectors(batch.column(batch.num_columns - 1))) >= least))
+                yield kept.select(kept.schema.names[:-1])
 
-    return docs.mapInArrow(rows, docs.schema)
+    return numbered(stored)[0].mapInArrow(rows, numbered_schema(docs.schema)).toDF(*docs.columns)

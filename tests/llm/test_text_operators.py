@@ -168,6 +168,19 @@ def test_lines_over_many_partitions(spark, seed):
         assert {r["doc_id"]: r["count"] for r in dropped} == {i: v[1] for i, v in brute.frequent_lines(rows, 10).items() if v[1]}
 
 
+def test_texts_of_one_doc_id_are_one_document(spark):
+    """Twelve texts of one doc_id hold a line in one document; long runs of few documents are not held in memory."""
+    rows = [(1, f"hot\nx{k}") for k in range(12)] + [(2, "warm"), (3, "warm")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r["n_dropped"] for r in lines.line_digest(docs, min_docs=10).collect()} == {0}
+    assert {r["doc_id"] for r in lines.line_digest(docs, min_docs=2).where("n_dropped > 0").collect()} == {2, 3}
+    hashes = lines.staged(lines.line_hashes(docs.unionByName(spark.createDataFrame([(0, "hot"), (5, "hot")], docs.schema)), 1), "h")
+    for waiting in (0, 3, 100):
+        for n in (1, 4):
+            found = lines.frequent_lines(hashes, 3, n, waiting).collect()
+            assert sorted(r["doc_id"] for r in found) == [0] + [1] * 12 + [5]
+
+
 def test_lines_edge_cases(spark):
     df = spark.createDataFrame([(None, "a\nb"), (1, "a"), (1, "a"), (2, "a")], "doc_id long, text string")
     got = sorted((r["doc_id"] or 0, r["n_lines"], r["n_dropped"]) for r in lines.line_digest(df, min_docs=3).collect())
@@ -245,8 +258,8 @@ ITEMS = [(1, " ".join(ROWS[-1][1].split(" ")[:30]) if ROWS[-1][1] else "x"), (10
 def test_decontamination(spark, docs):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     expected = brute.contamination(ROWS, ITEMS)
-    for size in (1 << 20, 100):  # one automaton, and several groups of items
-        got = decontamination.contaminated(decontamination.scan_documents(docs, items, automaton_bytes=size)).collect()
+    for size in (1 << 20, 200):  # one automaton, and several groups of windows
+        got = decontamination.contaminated(decontamination.scan_documents(docs, items, automaton_nodes=size)).collect()
         assert {r["doc_id"]: (r["n_words"], r["n_hit"], len(r["items"]), hashlib.sha256(",".join(r["items"]).encode()).hexdigest(), r["contaminated"]) for r in got} == expected
     assert any(v[1] for v in expected.values())
     text = dict(ROWS)
@@ -258,6 +271,30 @@ def test_decontamination(spark, docs):
     assert {r["n_words"] for r in left.collect()} == {1}  # the input's own column
 
 
+def test_groups_of_windows_are_bounded(spark):
+    """Every window of every item is in one group, long items in pieces; no group is over the bound."""
+    long = " ".join(f"w{k}" for k in range(500))
+    items = spark.createDataFrame([(1, long), (2, "a b c"), (None, "x " * 40), (3, None), (4, "")], "item_id long, text string")
+    groups = list(decontamination.window_groups(items, "item_id", 13, 650))
+    assert len(groups) > 8
+    windows = []
+    for group in groups:
+        b = decontamination.Benchmark(group, 13)
+        assert sum(len(p) for p, _ in b.patterns) <= 650
+        back = {n: w for w, n in b.words.items()}
+        windows += [(tuple(back[k] for k in p), b.names[o]) for p, owners in b.patterns for o in owners]
+    assert len(windows) == len(set(windows)) == 488 + 1 and {n for _, n in windows} == {"1", "2"}
+
+
+@pytest.mark.parametrize("nodes", [1 << 20, 100])
+def test_items_without_id_hit_words_and_have_no_name(spark, nodes):
+    text = " ".join(f"w{k}" for k in range(20))
+    items = spark.createDataFrame([(None, text), (5, "w3 w4")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, text), (1, text), (2, None), (3, "w3 W4!")], "doc_id long, text string")
+    got = decontamination.contaminated(decontamination.scan_documents(docs, items, automaton_nodes=nodes)).collect()
+    assert sorted((r["doc_id"], r["n_words"], r["n_hit"], r["items"], r["contaminated"]) for r in got) == [(1, 20, 20, ["5"], True), (1, 20, 20, ["5"], True), (2, 0, 0, [], False), (3, 2, 2, ["5"], True)]
+
+
 def test_decontamination_without_items(spark, docs):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontamination.remove_contaminated(docs, none).count() == len(ROWS)
@@ -333,10 +370,35 @@ def test_quality_without_classes(spark):
     assert quality.quality_scores(docs.where("doc_id = 7"), labels).count() == 0
 
 
-def test_partial_sums_equal_one_fit():
-    dice = np.random.default_rng(1)
-    k = len(quality.FEATURES)
-    x, y = dice.normal(size=(200, k)), dice.integers(0, 2, 200)
-    x[y == 1] += 1.5
-    model = quality.fit({c: int((y == c).sum()) for c in (0, 1)}, {c: x[y == c].sum(axis=0) for c in (0, 1)}, {c: x[y == c].T @ x[y == c] for c in (0, 1)}, 0.1, 0.02)
-    assert ((model.scores(x) >= 0.5) == y).mean() > 0.95
+def test_scores_equal_a_dense_discriminant(spark):
+    """The plain formula over plain-Python statistics of the same rows, whatever the partitions."""
+    rows = quality_rows(5, 120)
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, label int")
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    got = [{r["doc_id"]: r["score"] for r in quality.quality_scores(docs.repartition(n), labels).collect()} for n in (1, 7)]
+    assert got[0] == got[1]  # to the last bit
+    expected = brute.discriminant([t for _, t, _ in rows], [y for *_, y in rows], 0.1, 0.02)
+    assert np.abs(np.array([got[0][i] for i, *_ in rows]) - expected).max() < 0.01
+
+
+@pytest.mark.parametrize("text", [None, "", "a", "The cat, the CAT. 42 #1!\n\nThe cat\nthe cat ", "é É ß 日本語\t日本語", "x" * 3000, "?! ... --"])
+def test_statistics_equal_plain_python(text):
+    assert np.allclose(quality.statistics(pa.array([text, "other words"], pa.string()))[0], brute.statistics(text), atol=1e-9)
+
+
+def test_sums_are_exact():
+    x = np.random.default_rng(1).normal(5, 3, size=(5000, len(quality.FEATURES)))
+    parts = quality.exact_products(x[:1234]) + quality.exact_products(x[1234:])
+    assert (parts == quality.exact_products(x[::-1])).all()
+    n, mean, covariance = quality.moments(parts)
+    assert n == 5000 and np.allclose(mean, x.mean(axis=0), atol=1e-5) and np.allclose(covariance, np.cov(x.T, bias=True), atol=1e-3)
+
+
+def test_dotted_column_names(spark):
+    """Operators that hand columns on take names with dots and back-ticks."""
+    docs = spark.createDataFrame([(1, "a b c d e f\nhot", 1), (2, "hot", 2), (3, None, 3)], ["doc_id", "text", "a.b`c"])
+    labels = spark.createDataFrame([(1, 1), (2, 1)], "doc_id long, label int")
+    items = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
+    outs = [quality.filter_quality(docs, labels), lines.dedup_lines(docs, min_docs=2), near_dups.drop_near_duplicates(docs), decontamination.remove_contaminated(docs, items)]
+    for out, n in zip(outs, (3, 3, 3, 2), strict=True):
+        assert out.columns == docs.columns and len(out.collect()) == n
