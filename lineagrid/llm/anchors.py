@@ -10,7 +10,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
-from .wordbytes import mixed, powers
+from .wordbytes import MULTIPLIER, mixed, powers
 
 
 def seed_length(length: int) -> int:
@@ -33,8 +33,8 @@ class Anchors:
 class Rolling:
     """Hashes of byte ranges from one running sum."""
 
-    def __init__(self, data: np.ndarray):
-        self.up, self.down = powers(len(data) + 1)
+    def __init__(self, data: np.ndarray, multiplier: np.uint64 = MULTIPLIER):
+        self.up, self.down = powers(len(data) + 1, multiplier)
         self.total = np.zeros(len(data) + 1, np.uint64)
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * self.up[: len(data)], out=self.total[1:], dtype=np.uint64)
 

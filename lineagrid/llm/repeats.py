@@ -1,17 +1,21 @@
-"""Removal of long byte strings that a document with a smaller doc_id holds already, whole corpus, exact.
+"""Removal of long byte strings that a document with a smaller doc_id holds already, whole corpus.
 
-Suffixes are sorted where they matter: at anchors, places that any window of `length` bytes picks by its own bytes, so
-that equal windows pick the same place. Seeds (the heads of the anchored suffixes) and the hash of all that an anchor's
-windows cover are shuffled in packed blocks and sorted (Spark's shuffle is the disk-backed queue), which tells for most
-anchors at once that all their windows are repeats (a smaller document has the same surroundings) or that none is (no one
-else has the seed). For the few seeds with differing surroundings the windows themselves are induced from the anchor to
-the left and compared: surroundings of small groups by seed, those of hot seeds window by window, each by its own hash.
+Windows are matched by winnowed hashes; no suffix is sorted and there are no common-prefix values (the README says why).
+Anchors are places that any window of `length` bytes picks by its own bytes, so that equal windows pick the same place.
+The anchors' seeds (the bytes at the place, a 64-bit hash) and contexts (all that an anchor's windows cover, 40 bits of a
+hash) go in packed blocks to the cell of their seed, about `cell_bytes` of text each; Spark sorts the blocks of a task by
+cell, and a worker holds one cell. That tells for most anchors at once that all their windows are repeats (a smaller
+document has the same surroundings) or that none is (no one else has the seed). For the few seeds with differing
+surroundings the windows themselves are compared: surroundings of small groups by seed, those of hot seeds window by
+window, each by 96 bits of two hashes.
 
 Skew: repeats that one task sees itself are settled there, so that a task sends a few rows of any window or surroundings
-at most; seeds with many surroundings are salted by them. Decisions are made on 104-bit hashes of the bytes.
+at most; seeds with many surroundings are salted by them. Texts and judgements meet by doc_id and a hash of the text, so
+that a doc_id of many texts, or a null one, spreads over all tasks; rows equal in both stand in one.
 
-Nulls are empty texts; texts under `length` bytes lose nothing. A null doc_id neither loses nor causes anything. Rows of
-one doc_id are one document: they cause nothing to each other. Extra columns are ignored; an empty table gives no rows.
+Nulls are empty texts; texts under `length` bytes lose nothing; a text of any length is one row and read whole. A null
+doc_id neither loses nor causes anything. Rows of one doc_id are one document: they cause nothing to each other. Extra
+columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -35,6 +39,10 @@ HOT_CONTEXTS = 256
 SETTLED = 8
 #: Text bytes whose anchors a task gathers before it sends them.
 FLUSH_BYTES = 48 << 20
+#: Text bytes whose anchors a worker judges at once: about 24 bytes of anchors for 16 of text, some four times over.
+CELL_BYTES = 64 << 20
+#: The multiplier of the second hash of hot windows.
+SECOND = np.uint64(0xD1342543DE82EF95)
 
 
 def anchor_ids(seed: np.ndarray, context: np.ndarray) -> np.ndarray:
@@ -53,28 +61,33 @@ def from_planes(data: memoryview, n: int, width: int) -> np.ndarray:
     return out.view("<u8")[:, 0].astype(np.uint64)
 
 
-def pack_rows(seed: np.ndarray, context: np.ndarray, doc: np.ndarray, hot: np.ndarray) -> bytes:
+def pack_rows(seed: np.ndarray, context: np.ndarray, doc: np.ndarray, part: np.ndarray, hot: np.ndarray) -> bytes:
     """Anchors sorted by seed, with the seeds known to be hot, compressed."""
-    docs, which = np.unique(doc, return_inverse=True)
+    rows = np.lexsort((part, doc))
+    new = runs_of(doc[rows], part[rows])
+    which = np.empty(len(rows), np.int64)
+    which[rows] = np.cumsum(new) - 1
+    docs, parts = doc[rows][new], part[rows][new]
     order = np.argsort(seed, kind="stable")
     head = np.array([len(seed), len(docs), len(hot)], "<u8").tobytes()
-    body = head + planes(docs.astype(np.int64).view(np.uint64), 8) + planes(hot, 8) + planes(seed[order], 8) + planes(context[order] >> np.uint64(24), 5) + planes(which[order].astype(np.uint64), 4)
+    body = head + planes(docs.astype(np.int64).view(np.uint64), 8) + planes(parts.astype(np.int32).view(np.uint32), 4) + planes(hot, 8) + planes(seed[order], 8) + planes(context[order] >> np.uint64(24), 5) + planes(which[order].astype(np.uint64), 4)
     return zstandard.ZstdCompressor(level=1).compress(body)
 
 
-def unpack_rows(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def unpack_rows(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     body = memoryview(zstandard.ZstdDecompressor().decompress(blob))
     n, k, h = (int(v) for v in np.frombuffer(body, "<u8", 3))
     at, out = 24, []
-    for count, width in ((k, 8), (h, 8), (n, 8), (n, 5), (n, 4)):
+    for count, width in ((k, 8), (k, 4), (h, 8), (n, 8), (n, 5), (n, 4)):
         out.append(from_planes(body[at : at + count * width], count, width))
         at += count * width
-    docs, hot, seed, context, which = out
-    return seed, context << np.uint64(24), docs.view(np.int64)[which.astype(np.int64)], hot
+    docs, parts, hot, seed, context, which = out
+    which = which.astype(np.int64)
+    return seed, context << np.uint64(24), docs.view(np.int64)[which], parts.astype(np.uint32).view(np.int32)[which], hot
 
 
-def pack_settled(doc: np.ndarray, code: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(np.concatenate([doc.astype("<i8").view(np.uint64), code]).tobytes())
+def pack_settled(doc: np.ndarray, part: np.ndarray, code: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(np.concatenate([doc.astype("<i8").view(np.uint64), part.astype("<i8").view(np.uint64), code]).tobytes())
 
 
 def runs_of(*columns: np.ndarray) -> np.ndarray:
@@ -89,19 +102,18 @@ def runs_of(*columns: np.ndarray) -> np.ndarray:
 
 
 def shipped(docs: DataFrame, length: int, parts: int, hot_contexts: int, most_equal: int, flush_bytes: int) -> DataFrame:
-    """r, kind, blob: packed anchors (kind 0) and anchors that are settled already (kind 1) for part r."""
+    """r, kind, blob: packed anchors (kind 0) and anchors that are settled already (kind 1) for cell r of `parts`."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
         size, flushes = 0, 0
 
         def flush() -> pa.RecordBatch:
-            seed, context, doc = (np.concatenate(c) for c in zip(*held, strict=True))
+            seed, context, doc, text = (np.concatenate(c) for c in zip(*held, strict=True))
             context &= ~np.uint64(0xFFFFFF)
-            order = np.lexsort((doc, context, seed))
-            seed, context, doc = seed[order], context[order], doc[order]
-            once = runs_of(seed, context, doc)
-            seed, context, doc = seed[once], context[once], doc[once]
+            order = np.lexsort((text, doc, context, seed))
+            order = order[runs_of(seed[order], context[order], doc[order], text[order])]
+            seed, context, doc, text = seed[order], context[order], doc[order], text[order]
             new = runs_of(seed, context)
             group = np.cumsum(new) - 1
             first = np.flatnonzero(new)
@@ -109,8 +121,8 @@ def shipped(docs: DataFrame, length: int, parts: int, hot_contexts: int, most_eq
             later = (counts[group] > most_equal) & (doc > doc[first[group]])
             out: list[tuple[int, int, bytes]] = []
             if later.any():
-                out.append((int(mixed(np.array([doc[0] + 7919 * flushes]).astype(np.uint64))[0] % np.uint64(parts)), 1, pack_settled(doc[later], anchor_ids(seed[later], context[later]) | np.uint64(FULL))))
-                seed, context, doc = seed[~later], context[~later], doc[~later]
+                out.append((int(mixed(np.array([doc[0] + 7919 * flushes]).astype(np.uint64))[0] % np.uint64(parts)), 1, pack_settled(doc[later], text[later], anchor_ids(seed[later], context[later]) | np.uint64(FULL))))
+                seed, context, doc, text = seed[~later], context[~later], doc[~later], text[~later]
             new_seed = runs_of(seed)
             of = np.cumsum(new_seed) - 1
             contexts = np.bincount(of, weights=runs_of(seed, context))
@@ -126,7 +138,7 @@ def shipped(docs: DataFrame, length: int, parts: int, hot_contexts: int, most_eq
             for p in range(parts):
                 chosen = order[bounds[p] : bounds[p + 1]]
                 if len(chosen) or p in hot_in:
-                    out.append((p, 0, pack_rows(seed[chosen], context[chosen], doc[chosen], np.array(sorted(hot_in.get(p, [])), np.uint64))))
+                    out.append((p, 0, pack_rows(seed[chosen], context[chosen], doc[chosen], text[chosen], np.array(sorted(hot_in.get(p, [])), np.uint64))))
             a, b, c = zip(*out, strict=True)
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(c, pa.binary())], names=["r", "kind", "blob"])
 
@@ -134,7 +146,7 @@ def shipped(docs: DataFrame, length: int, parts: int, hot_contexts: int, most_eq
             data, offsets = column_bytes(batch.column("text"))
             anchors, _ = window_anchors(data, offsets, length)
             if len(anchors.row):
-                held.append((anchors.seed, anchors.context, batch.column("doc_id").to_numpy()[anchors.row]))
+                held.append((anchors.seed, anchors.context, *(batch.column(c).to_numpy()[anchors.row] for c in ("doc_id", "part"))))
             size += len(data)
             if size >= flush_bytes and held:
                 yield flush()
@@ -145,27 +157,13 @@ def shipped(docs: DataFrame, length: int, parts: int, hot_contexts: int, most_eq
     return docs.where("doc_id is not null").mapInArrow(rows, "r int, kind int, blob binary")
 
 
-def judged(sent: DataFrame, parts: int, hot_contexts: int) -> DataFrame:
-    """doc_id, code: an anchor's id with its state, for anchors of seeds that others hold."""
+def judged(sent: DataFrame, cells: int, parts: int, hot_contexts: int) -> DataFrame:
+    """doc, part, code: an anchor's id with its state, for anchors of seeds that others hold."""
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, out = [], []
-        for batch in batches:
-            for kind, blob in zip(batch.column("kind").to_pylist(), batch.column("blob").to_pylist(), strict=True):
-                if kind:
-                    both = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint64)
-                    out.append((both[: len(both) // 2].view(np.int64), both[len(both) // 2 :]))
-                else:
-                    held.append(unpack_rows(blob))
-            for doc, code in out:
-                yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(code.view(np.int64))], names=["doc", "code"])
-            out = []
-        if not held:
-            return
-        seed, context, doc, hot = (np.concatenate(c) for c in zip(*held, strict=True))
-        held.clear()
-        order = np.lexsort((doc, context, seed))
-        seed, context, doc = seed[order], context[order], doc[order]
+    def judge(held: list) -> Iterator[pa.RecordBatch]:
+        seed, context, doc, part, hot = (np.concatenate(c) for c in zip(*held, strict=True))
+        order = np.lexsort((part, doc, context, seed))
+        seed, context, doc, part = seed[order], context[order], doc[order], part[order]
         new_seed, new = runs_of(seed), runs_of(seed, context)
         of = np.cumsum(new_seed) - 1
         contexts = np.bincount(of, weights=new)[of] if len(of) else np.zeros(0)
@@ -174,13 +172,32 @@ def judged(sent: DataFrame, parts: int, hot_contexts: int) -> DataFrame:
         is_hot = (contexts > hot_contexts) | np.isin(seed, hot)
         state = np.where(doc > least, FULL, np.where(is_hot, HOT, MIXED)).astype(np.uint64)
         told = (doc > least) | (contexts > 1) | is_hot
-        once = runs_of(seed, context, doc) & told
-        code = anchor_ids(seed[once], context[once]) | state[once]
-        doc = doc[once]
+        once = runs_of(seed, context, doc, part) & told
+        yield from told_rows(doc[once], part[once], anchor_ids(seed[once], context[once]) | state[once])
+
+    def told_rows(doc: np.ndarray, part: np.ndarray, code: np.ndarray) -> Iterator[pa.RecordBatch]:
         for at in range(0, len(doc), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(doc[at : at + 100_000]), pa.array(code[at : at + 100_000].view(np.int64))], names=["doc", "code"])
+            here = slice(at, at + 100_000)
+            yield pa.RecordBatch.from_arrays([pa.array(doc[here]), pa.array(part[here].astype(np.int32)), pa.array(code[here].view(np.int64))], names=["doc", "part", "code"])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, cell = [], None
+        for batch in batches:
+            for r, kind, blob in zip(*(batch.column(c).to_pylist() for c in ("r", "kind", "blob")), strict=True):
+                if kind:
+                    doc, part, code = np.split(np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint64), 3)
+                    yield from told_rows(doc.view(np.int64), part.view(np.int64), code)
+                    continue
+                if held and r != cell:
+                    yield from judge(held)
+                    held = []
+                held.append(unpack_rows(blob))
+                cell = r
+        if held:
+            yield from judge(held)
 
-    return sent.repartitionById(parts, "r").mapInArrow(rows, "doc long, code long")
+    dealt = sent.repartitionById(parts, F.pmod("r", F.lit(parts)))
+    return (dealt if cells == parts else dealt.sortWithinPartitions("r")).mapInArrow(rows, "doc long, part int, code long")
 
 
 def states(anchors: Anchors, column: pa.Array) -> np.ndarray:
@@ -210,8 +227,11 @@ def ranges(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) + first[row], row
 
 
+OPEN = ["key", "key2", "doc", "part", "id", "at", "bytes"]
+
+
 def open_windows(joined: DataFrame, length: int) -> DataFrame:
-    """key, doc, id, at, bytes: surroundings of open anchors by seed, and single windows (no bytes) of hot ones by hash.
+    """key, key2, doc, part, id, at, bytes: surroundings of open anchors by seed, single windows (no bytes) of hot ones by hash.
 
     A row with at = -1 - bit is settled: the bit's window is a repeat, whatever others say.
     """
@@ -221,7 +241,7 @@ def open_windows(joined: DataFrame, length: int) -> DataFrame:
             data, offsets = column_bytes(batch.column("text"))
             anchors, rolling = window_anchors(data, offsets, length)
             state = states(anchors, batch.column("codes"))
-            docs = batch.column("doc_id").fill_null(0).to_numpy()
+            docs, parts = batch.column("doc_id").fill_null(0).to_numpy(), batch.column("part").to_numpy()
             ids = anchor_ids(anchors.seed, anchors.context)
             _, unique = np.unique(np.stack([ids, anchors.row.astype(np.uint64)]), axis=1, return_index=True) if len(ids) else (None, np.zeros(0, np.int64))
             one = np.zeros(len(ids), bool)
@@ -230,28 +250,30 @@ def open_windows(joined: DataFrame, length: int) -> DataFrame:
             if len(m):
                 raw = data.tobytes()
                 around = [raw[a:b] for a, b in zip(anchors.first[m].tolist(), (anchors.last[m] + length).tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(anchors.seed[m].view(np.int64)), pa.array(docs[anchors.row[m]]), pa.array(ids[m].view(np.int64)), pa.array(np.zeros(len(m), np.int32)), pa.array(around, pa.binary())], names=["key", "doc", "id", "at", "bytes"])
+                nothing = pa.array(np.zeros(len(m), np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(anchors.seed[m].view(np.int64)), nothing, pa.array(docs[anchors.row[m]]), pa.array(parts[anchors.row[m]]), pa.array(ids[m].view(np.int64)), nothing, pa.array(around, pa.binary())], names=OPEN)
             h = np.flatnonzero((state == HOT) & one)
             if len(h):
                 start, which = ranges(anchors.first[h], anchors.last[h] - anchors.first[h] + 1)
                 bit = start - anchors.first[h][which]
                 key = rolling.hash(start, start + length) ^ np.uint64(0xC6A4A7935BD1E995)
-                doc, mine = docs[anchors.row[h]][which], ids[h][which]
-                order = np.lexsort((doc, key))
-                key, doc, mine, bit = key[order], doc[order], mine[order], bit[order]
-                new = runs_of(key)
+                key2 = (Rolling(data, SECOND).hash(start, start + length) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                doc, part, mine = docs[anchors.row[h]][which], parts[anchors.row[h]][which], ids[h][which]
+                order = np.lexsort((doc, key2, key))
+                key, key2, doc, part, mine, bit = (x[order] for x in (key, key2, doc, part, mine, bit))
+                new = runs_of(key, key2)
                 least = doc[np.flatnonzero(new)[np.cumsum(new) - 1]]
                 settled = doc > least
                 key = np.where(settled, mixed(mine + bit.astype(np.uint64)), key)
                 at = np.where(settled, -1 - bit, bit).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(doc), pa.array(mine.view(np.int64)), pa.array(at), pa.nulls(len(key), pa.binary())], names=["key", "doc", "id", "at", "bytes"])
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(key2), pa.array(doc), pa.array(part), pa.array(mine.view(np.int64)), pa.array(at), pa.nulls(len(key), pa.binary())], names=OPEN)
 
     # no filter on codes here: it would be pushed below the shuffle, whose result could then not serve both uses
-    return joined.select("doc_id", "text", "codes").mapInArrow(rows, "key long, doc long, id long, at int, bytes binary")
+    return joined.select("doc_id", "part", "text", "codes").mapInArrow(rows, "key long, key2 int, doc long, part int, id long, at int, bytes binary")
 
 
 def repeated_windows(opened: DataFrame, length: int, parts: int) -> DataFrame:
-    """doc, id, mask: bit k says that the anchor's window k from its first is a repeat."""
+    """doc, part, id, mask: bit k says that the anchor's window k from its first is a repeat."""
 
     def surroundings(table: pa.Table) -> pa.RecordBatch | None:
         doc, ids = table.column("doc").to_numpy(), table.column("id").to_numpy()
@@ -267,7 +289,7 @@ def repeated_windows(opened: DataFrame, length: int, parts: int) -> DataFrame:
         mask = np.zeros(len(doc), np.uint64)
         np.bitwise_or.at(mask, which[hit], np.uint64(1) << (start[hit] - (np.cumsum(sizes) - sizes)[which[hit]]).astype(np.uint64))
         some = np.flatnonzero(mask)
-        return pa.RecordBatch.from_arrays([pa.array(doc[some]), pa.array(ids[some]), pa.array(mask[some].view(np.int64))], names=["doc", "id", "mask"]) if len(some) else None
+        return pa.RecordBatch.from_arrays([pa.array(doc[some]), table.column("part").combine_chunks().take(pa.array(some)), pa.array(ids[some]), pa.array(mask[some].view(np.int64))], names=["doc", "part", "id", "mask"]) if len(some) else None
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -278,16 +300,16 @@ def repeated_windows(opened: DataFrame, length: int, parts: int) -> DataFrame:
             single = batch.column("bytes").is_null().to_numpy(zero_copy_only=False)
             s = batch.filter(pa.array(single))
             if s.num_rows:
-                key, doc, ids, at = (s.column(c).to_numpy() for c in ("key", "doc", "id", "at"))
+                key, key2, doc, part, ids, at = (s.column(c).to_numpy() for c in OPEN[:-1])
                 own = at < 0
-                new = runs_of(key)
+                new = runs_of(key, key2)
                 least = doc[np.flatnonzero(new)[np.cumsum(new) - 1]]
-                if last_key == int(key[0]):
-                    least = np.where(key == key[0], last_doc, least)
-                last_key, last_doc = int(key[-1]), int(least[-1])
+                if last_key == (int(key[0]), int(key2[0])):
+                    least = np.where((key == key[0]) & (key2 == key2[0]), last_doc, least)
+                last_key, last_doc = (int(key[-1]), int(key2[-1])), int(least[-1])
                 hit = own | (doc > least)
                 bit = np.where(own, -1 - at, at)[hit].astype(np.uint64)
-                yield pa.RecordBatch.from_arrays([pa.array(doc[hit]), pa.array(ids[hit]), pa.array((np.uint64(1) << bit).view(np.int64))], names=["doc", "id", "mask"])
+                yield pa.RecordBatch.from_arrays([pa.array(doc[hit]), pa.array(part[hit]), pa.array(ids[hit]), pa.array((np.uint64(1) << bit).view(np.int64))], names=["doc", "part", "id", "mask"])
             c = batch.filter(pa.array(~single))
             if c.num_rows:
                 key = c.column("key").to_numpy()
@@ -305,7 +327,7 @@ def repeated_windows(opened: DataFrame, length: int, parts: int) -> DataFrame:
         if held and (found := surroundings(pa.Table.from_batches(held))) is not None:
             yield found
 
-    return opened.repartition(parts, "key").sortWithinPartitions("key", "doc").mapInArrow(rows, "doc long, id long, mask long")
+    return opened.repartition(parts, "key").sortWithinPartitions("key", "key2", "doc").mapInArrow(rows, "doc long, part int, id long, mask long")
 
 
 def removed_bytes(data: np.ndarray, offsets: np.ndarray, length: int, codes: pa.Array, ids: pa.Array, masks: pa.Array) -> np.ndarray:
@@ -338,16 +360,20 @@ def removed_bytes(data: np.ndarray, offsets: np.ndarray, length: int, codes: pa.
     return np.cumsum(mark[:-1]) > 0
 
 
-def repeats(docs: DataFrame, length: int = 50, hot_contexts: int = HOT_CONTEXTS, most_equal: int = SETTLED, flush_bytes: int = FLUSH_BYTES) -> DataFrame:
+def repeats(docs: DataFrame, length: int = 50, hot_contexts: int = HOT_CONTEXTS, most_equal: int = SETTLED, flush_bytes: int = FLUSH_BYTES, cell_bytes: int = CELL_BYTES) -> DataFrame:
     """doc_id, n_bytes, spans (removed byte ranges) and kept (remaining bytes) of every row."""
     need(docs, "doc_id", "text")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
-    told = judged(shipped(docs, length, parts, hot_contexts, most_equal, flush_bytes), parts, hot_contexts).groupBy("doc").agg(F.collect_list("code").alias("codes"))
+    docs = docs.select(F.col("doc_id").cast("long"), F.hash("text").alias("part"), "text")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    cells = max(parts, -(-size // cell_bytes))
+    same = (F.col("doc_id") == F.col("doc")) & (F.col("part") == F.col("of"))
+    by_text = lambda df, *lists: df.withColumnRenamed("part", "of").groupBy("doc", "of").agg(*[F.collect_list(c).alias(f"{c}s") for c in lists]).hint("shuffle_hash")
+    told = by_text(judged(shipped(docs, length, cells, hot_contexts, most_equal, flush_bytes), cells, parts, hot_contexts), "code")
     # one shuffle of the texts (and of the judgements) serves both uses of `joined`: the plan is one query and reuses it
-    joined = docs.repartition(parts, "doc_id").join(told.hint("shuffle_hash"), F.col("doc_id") == F.col("doc"), "left").drop("doc")
-    late = repeated_windows(open_windows(joined, length), length, parts).groupBy("doc").agg(F.collect_list("id").alias("ids"), F.collect_list("mask").alias("masks"))
-    final = joined.join(late.hint("shuffle_hash"), F.col("doc_id") == F.col("doc"), "left").drop("doc")
+    joined = docs.repartition(parts, "doc_id", "part").join(told, same, "left").drop("doc", "of")
+    late = by_text(repeated_windows(open_windows(joined, length), length, parts), "id", "mask")
+    final = joined.join(late, same, "left").drop("doc", "of")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):

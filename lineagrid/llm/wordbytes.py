@@ -7,7 +7,7 @@ import pyarrow as pa
 
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 SPACES = (0x20, *range(0x09, 0x0E))
-_powers: list[np.ndarray] = []
+_powers: dict[int, list[np.ndarray]] = {}
 
 
 def space_table() -> np.ndarray:
@@ -32,13 +32,14 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int, multiplier: np.uint64 = MULTIPLIER) -> tuple[np.ndarray, np.ndarray]:
     """The multiplier's powers 0..n and those of its inverse, modulo 2^64."""
-    if not _powers or len(_powers[0]) <= n:
+    held = _powers.get(int(multiplier))
+    if held is None or len(held[0]) <= n:
         size = max(n + 1, 1 << 16)
-        inverse = np.uint64(pow(int(MULTIPLIER), -1, 1 << 64))
-        _powers[:] = [np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(size, base, np.uint64)])) for base in (MULTIPLIER, inverse)]
-    return _powers[0], _powers[1]
+        inverse = np.uint64(pow(int(multiplier), -1, 1 << 64))
+        held = _powers[int(multiplier)] = [np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(size, base, np.uint64)])) for base in (multiplier, inverse)]
+    return held[0], held[1]
 
 
 def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

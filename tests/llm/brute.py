@@ -67,13 +67,17 @@ def near_duplicates(rows, percent=85):
 
 
 def repeats(rows, length=50):
+    return dict(repeats_of_rows(rows, length))
+
+
+def repeats_of_rows(rows, length=50):
     first = {}
     for i, t in rows:
         b = (t or "").encode()
         for k in range(len(b) - length + 1):
             w = b[k : k + length]
             first[w] = min(first.get(w, i), i)
-    out = {}
+    out = []
     for i, t in rows:
         b = (t or "").encode()
         gone = np.zeros(len(b), bool)
@@ -81,7 +85,7 @@ def repeats(rows, length=50):
             if first[b[k : k + length]] < i:
                 gone[k : k + length] = True
         edges = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(int)))
-        out[i] = (len(b), int(gone.sum()), len(edges) // 2, hashlib.sha256(bytes(np.frombuffer(b, np.uint8)[~gone])).hexdigest())
+        out.append((i, (len(b), int(gone.sum()), len(edges) // 2, hashlib.sha256(bytes(np.frombuffer(b, np.uint8)[~gone])).hexdigest())))
     return out
 
 

@@ -126,11 +126,21 @@ def digest(found):
     return {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in repeated.digest(found).collect()}
 
 
-@pytest.mark.parametrize("skew", [{}, {"hot_contexts": 1, "most_equal": 1, "flush_bytes": 4000}, {"hot_contexts": 3, "most_equal": 2, "flush_bytes": 20000}])
+@pytest.mark.parametrize("skew", [{}, {"hot_contexts": 1, "most_equal": 1, "flush_bytes": 4000}, {"hot_contexts": 3, "most_equal": 2, "flush_bytes": 20000}, {"hot_contexts": 2, "flush_bytes": 9000, "cell_bytes": 1500}])
 def test_repeats(docs, skew):
     assert digest(repeated.repeats(docs, 50, **skew)) == brute.repeats(ROWS)
 
 
+@pytest.mark.parametrize("skew", [{}, {"hot_contexts": 1, "most_equal": 1, "flush_bytes": 4000, "cell_bytes": 2000}])
+def test_repeats_of_one_doc_id_with_most_rows(spark, skew):
+    """Nine rows in ten are texts of one document: they cause nothing to each other and lose what a smaller one holds."""
+    dice = random.Random(11)
+    parts = ["".join(dice.choice("abcdef ") for _ in range(60)) for _ in range(12)]
+    rows = [(5, "".join(dice.choice(parts) for _ in range(dice.randint(1, 4))) + str(k)) for k in range(90)] + [(k, parts[k] + "x" + parts[k + 1]) for k in range(4)] + [(9, parts[11] + parts[0]), (7, "q" + parts[10])]
+    got = sorted((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in repeated.digest(repeated.repeats(documents(spark, rows), **skew)).collect())
+    assert got == sorted((i, *v) for i, v in brute.repeats_of_rows(rows))
+
+
 @pytest.mark.parametrize("length", [8, 100])
 def test_repeats_of_other_lengths(docs, length):
     assert digest(repeated.repeats(docs, length)) == brute.repeats(ROWS, length)
