@@ -2,10 +2,15 @@
 
 Vectors are compared inside a label only. Equal vectors of a label are one class, so a vector repeated over a third of
 the table is one node. The classes of a label are dealt by hash into shards of about `shard_size`; each shard's graph is
-built once and stored. Every shard of a label then meets every block of its classes. A beam search runs on while it finds
-vectors over the threshold, so dense groups are walked whole; each unit is audited by brute force on `audit` of its
-queries and the beam is doubled until the audited recall is reached (at the shard's size the search is exhaustive).
-Cosines are taken in double precision. A unit returns link counts and a spanning forest of its links, never all pairs.
+built once and stored. Every two shards of a label meet once: the vectors of one query the graph of the other, by turns,
+and what is found counts for both sides, as links have no direction. A graph goes to one task and the blocks that query it
+stream past; a shard's vectors go to half of the label's shards, which is quadratic in a label's size over shard_size.
+
+A beam search runs on while it finds vectors over the threshold, so dense groups are walked whole. Each meeting is audited
+by brute force on `audit` of its queries, without the match of a vector with itself: the share of the links found, its
+mean over the queries that have links, and the share of queries whose nearest vector is found must each reach `recall`,
+else the beam is doubled (at the shard's size the search is exhaustive). Cosines are taken in double precision. A meeting
+returns link counts and a spanning forest of its links, never all pairs.
 
 Vectors that are null, empty, zero or hold null or non-finite components, and rows with a null label or vec_id, link with
 nothing: n_links 0, component_id their own vec_id. vec_id is taken to be unique; a repeated row counts as another vector.
@@ -144,16 +149,44 @@ def unit(vectors: np.ndarray) -> np.ndarray:
 def audited_links(index: SmallWorld, queries: np.ndarray, own: bool, least: float, beam: int, audit: int, recall: float) -> tuple[list[list[int]], int]:
     """Linked nodes for each query, and the beam that passed the audit. own: the queries are the index's vectors."""
     sample = np.unique(np.linspace(0, len(queries) - 1, min(audit, len(queries))).astype(int)).tolist()
-    truth = {k: np.flatnonzero(index.x @ queries[k] >= least) for k in sample}
+    truth, nearest = {}, {}
+    for k in sample:
+        similar = index.x @ queries[k]
+        if own:
+            similar[k] = -2.0
+        truth[k] = np.flatnonzero(similar >= least)
+        if len(similar) > own:
+            nearest[k] = (int(similar.argmax()), float(similar.max()))
+    total = sum(map(len, truth.values()))
     while True:
-        got = {k: index.near(queries[k], beam, least, k if own else None) for k in sample}
-        total = sum(len(t) for t in truth.values())
-        found = sum(len(np.intersect1d(truth[k], got[k])) for k in sample)
-        # where the sample has no links its nearest vectors are audited instead
-        nearest = sum(int(np.argmax(index.x @ queries[k])) in index.near(queries[k], beam, float((index.x @ queries[k]).max()), k if own else None) for k in sample) if not total else 0
-        if beam >= len(index.x) or (found >= recall * total if total else nearest >= recall * len(sample)):
-            return [got[k] if k in got else index.near(queries[k], beam, least, k if own else None) for k in range(len(queries))], beam
+        start = lambda k: k if own else None
+        got = {k: index.near(queries[k], beam, least, start(k)) for k in sample}
+        if beam >= len(index.x):
+            break
+        hits = {k: len(np.intersect1d(truth[k], got[k])) for k in sample if len(truth[k])}
+        first = sum(n in index.near(queries[k], beam, s, start(k)) for k, (n, s) in nearest.items())
+        if first >= recall * len(nearest) and sum(hits.values()) >= recall * total and sum(h / len(truth[k]) for k, h in hits.items()) >= recall * len(hits):
+            break
         beam *= 2
+    return [got[k] if k in got else index.near(queries[k], beam, least, start(k)) for k in range(len(queries))], beam
+
+
+def forest(ids: np.ndarray, q_ids: np.ndarray, found: list[list[int]]) -> list[tuple[int, int]]:
+    """A spanning forest of the links between queries and what they found."""
+    root: dict[int, int] = {}
+
+    def find(v: int) -> int:
+        while (up := root.get(v, v)) != v:
+            root[v] = v = root.get(up, up)
+        return v
+
+    out = []
+    for me, nodes in zip(q_ids.tolist(), found, strict=True):
+        for other in ids[nodes].tolist():
+            if (a := find(me)) != (b := find(other)):
+                root[a] = b
+                out.append((me, other))
+    return out
 
 
 def near_vectors(embeddings: DataFrame, least: float = 0.93, shard_size: int = 4096, beam: int = 32, audit: int = 48, recall: float = 0.98) -> DataFrame:
@@ -199,39 +232,42 @@ def near_vectors(embeddings: DataFrame, least: float = 0.93, shard_size: int = 4
 
     spread = placed.select(*group, "shard", "shards", "rep", "n", "v").repartition(partitions, *group, "shard").sortWithinPartitions(*group, "shard", "rep")
     indexes = staged(spread.mapInArrow(build, f"label {label_type}, size int, shard int, shards int, ids binary, counts binary, vectors binary, graph binary"), "small-worlds")
-    each = F.explode(F.sequence(F.lit(0), F.col("shards") - 1))
-    left = indexes.withColumn("block", each).select(*group, "shard", "block", "ids", "counts", "vectors", "graph")
-    right = indexes.withColumn("_shard", each).select(*group, F.col("_shard").alias("shard"), F.col("shard").alias("block"), F.when(F.col("_shard") != F.col("shard"), F.col("ids")).alias("q_ids"), F.when(F.col("_shard") != F.col("shard"), F.col("vectors")).alias("q_vectors"))
-    units = left.join(right, [*group, "shard", "block"]).repartition(partitions, *group, "shard", "block").select("size", "shard", "block", "ids", "counts", "vectors", "graph", "q_ids", "q_vectors")
+    # of two shards the one whose turn it is holds the graph, and the other's vectors go to it; each has half of the turns
+    low, high = F.least("shard", "_other"), F.greatest("shard", "_other")
+    keeper = F.when((low + high) % 2 == 0, low).otherwise(high)
+    meetings = indexes.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).where((F.col("_other") != F.col("shard")) & (keeper == F.col("_other")))
+    queries = meetings.select(*group, F.col("_other").alias("shard"), F.col("shard").alias("block"), "ids", "counts", "vectors", F.lit(None).cast("binary").alias("graph"))
+    graphs = indexes.select(*group, "shard", F.lit(-1).alias("block"), "ids", "counts", "vectors", "graph")
+    units = graphs.unionByName(queries).repartition(partitions, *group, "shard").sortWithinPartitions(*group, "shard", "block").select("size", "ids", "counts", "vectors", "graph")
 
     def query(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, ids, counts = None, None, None
         for batch in batches:
             for k in range(batch.num_rows):
                 row = {c: batch.column(c)[k].as_py() for c in batch.schema.names}
-                ids, counts = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["counts"], np.int64)
-                x = np.frombuffer(row["vectors"]).reshape(-1, row["size"])
-                own = row["q_ids"] is None
-                q_ids, q = (ids, x) if own else (np.frombuffer(row["q_ids"], np.int64), np.frombuffer(row["q_vectors"]).reshape(-1, row["size"]))
-                found, _ = audited_links(SmallWorld.load(x, row["graph"]), q, own, least, beam, audit, recall)
-                root: dict[int, int] = {}
-
-                def find(v: int) -> int:
-                    while (up := root.get(v, v)) != v:  # noqa: B023
-                        root[v] = v = root.get(up, up)  # noqa: B023
-                    return v
-
-                links, src, dst = np.zeros(len(q_ids), np.int64), [], []
-                for j, (me, nodes) in enumerate(zip(q_ids.tolist(), found, strict=True)):
-                    others = ids[nodes].tolist()
-                    links[j] = sum(c for o, c in zip(others, counts[nodes].tolist(), strict=True) if o != me)
-                    for o in others:
-                        if (a := find(me)) != (b := find(o)):
-                            root[a] = b
-                            src.append(me)
-                            dst.append(o)
-                nothing = [None] * len(q_ids)
-                yield pa.RecordBatch.from_arrays([pa.array(q_ids), pa.array(nothing, pa.int64()), pa.array(links)], names=["src", "dst", "links"])
-                if src:
+                own = row["graph"] is not None
+                q_ids, q_counts = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["counts"], np.int64)
+                q = np.frombuffer(row["vectors"]).reshape(-1, row["size"])
+                if own:
+                    index, ids, counts = SmallWorld.load(q, row["graph"]), q_ids, q_counts
+                found, _ = audited_links(index, q, own, least, beam, audit, recall)
+                if own:  # found from one side is a link of both
+                    near = np.zeros((len(ids), len(ids)), bool)
+                    for j, nodes in enumerate(found):
+                        near[j, nodes] = near[nodes, j] = True
+                    np.fill_diagonal(near, False)
+                    links = near @ counts
+                    told = [(ids, links)]
+                else:
+                    theirs, mine = np.zeros(len(q_ids), np.int64), np.zeros(len(ids), np.int64)
+                    for j, nodes in enumerate(found):
+                        theirs[j] = counts[nodes].sum()
+                        mine[nodes] += q_counts[j]
+                    told = [(q_ids, theirs), (ids, mine)]
+                for who, links in told:
+                    yield pa.RecordBatch.from_arrays([pa.array(who), pa.array([None] * len(who), pa.int64()), pa.array(links)], names=["src", "dst", "links"])
+                if edges := forest(ids, q_ids, found):
+                    src, dst = zip(*edges, strict=True)
                     yield pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst), pa.array(np.zeros(len(src), np.int64))], names=["src", "dst", "links"])
 
     found = staged(units.mapInArrow(query, "src long, dst long, links long"), "vector-links")

@@ -28,7 +28,11 @@ def words_are_independent(config: dict) -> bool:
     split = first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") is True
     exact = not any(t.get("lstrip") or t.get("rstrip") for t in config.get("added_tokens", []))
     model = config.get("model") or {}
-    return bool(model.get("type") == "BPE" and not model.get("ignore_merges") and not model.get("dropout") and split and exact and (first.get("pattern") or {}).get("Regex") in SPACELESS and not config.get("truncation") and not config.get("padding"))
+    # words are lower-cased and composed, and their bytes written as letters, before the model sees them
+    steps = config.get("normalizer") or {}
+    named = [n.get("type") for n in steps.get("normalizers") or [steps]]
+    plain = named == ["NFC", "Replace", "Lowercase"] and any(p.get("type") == "ByteLevel" and not p.get("add_prefix_space") for p in parts[1:])
+    return bool(plain and model.get("type") == "BPE" and not model.get("ignore_merges") and not model.get("dropout") and split and exact and (first.get("pattern") or {}).get("Regex") in SPACELESS and not config.get("truncation") and not config.get("padding"))
 
 
 def byte_letters() -> dict[int, str]:

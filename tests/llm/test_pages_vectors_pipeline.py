@@ -152,6 +152,18 @@ def test_near_vectors(spark):
     assert near_vectors(df.where("vec_id = -1")).count() == 0
 
 
+def test_near_vectors_with_the_query_parameters(spark):
+    """Defaults but for small shards: recall against brute force, no wrong link, and counts that agree from both sides."""
+    v = clustered(9, 900)
+    df = spark.createDataFrame([(i, x.tolist(), int(i % 2)) for i, x in enumerate(v)], "vec_id long, embedding array<float>, label int")
+    got = {r["vec_id"]: r["n_links"] for r in near_vectors(df, least=0.93, shard_size=100).collect()}
+    x, label = unit(v), np.arange(900) % 2
+    near = (x @ x.T >= 0.93) & (label[:, None] == label[None, :])
+    np.fill_diagonal(near, False)
+    found, truth = np.array([got[i] for i in range(900)]), near.sum(axis=1)
+    assert (found <= truth).all() and found.sum() >= 0.98 * truth.sum() and found.sum() % 2 == 0
+
+
 def test_pipeline_stages_on_small_tables(spark, tmp_path):
     import corpus_pipeline
 

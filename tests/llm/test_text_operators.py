@@ -1,4 +1,5 @@
 import hashlib
+import json
 import random
 import zlib
 
@@ -55,6 +56,16 @@ def test_special_tokens_and_other_tokenizers():
     assert not other.by_word and other.encode(["a  b"]) == other.whole(["a  b"])
 
 
+@pytest.mark.parametrize("change", [{"normalizer": None}, {"normalizer": {"type": "Lowercase"}}])
+def test_same_vocabulary_with_another_normalizer(tmp_path, change):
+    """The shortcut lower-cases and composes words itself, so a tokenizer that does not is asked for whole texts."""
+    config = json.loads(open(PATH, encoding="utf-8").read()) | change
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(config), encoding="utf-8")
+    e, texts = tokens.Encoder(str(path)), ["The CAT sat.", "E\u0301t\u00e9", "a  b"]
+    assert not e.by_word and e.encode(texts) == e.whole(texts)
+
+
 @given(st.lists(st.integers(1, 20), max_size=60))
 @settings(max_examples=150, deadline=None)
 def test_plan_is_best_fit_decreasing(sizes):
