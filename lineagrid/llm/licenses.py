@@ -69,11 +69,14 @@ def word_array(text: Column) -> Column:
     return F.when(plain == "", F.array().cast("array<string>")).otherwise(F.split(plain, " "))
 
 
-def grams(k: int) -> Column:
-    """gram (a hash) and said (the words) of each k words of the column `_said`, in order; none of fewer words."""
-    words = lambda i: [F.get("_said", i + j) for j in range(k)]
-    every = F.transform(F.sequence(F.lit(0), F.size("_said") - k), lambda i: F.struct(F.xxhash64(*words(i)).alias("gram"), F.concat_ws(" ", *words(i)).alias("said")))
-    return F.when(F.size("_said") >= k, every)
+def grams(k: int, with_words: bool = True) -> Column:
+    """gram (a hash) and said (the words), or the hash alone, of each k words of the column `_said`, in order."""
+
+    def one(i: Column) -> Column:
+        words = [F.get("_said", i + j) for j in range(k)]
+        return F.struct(F.xxhash64(*words).alias("gram"), F.concat_ws(" ", *words).alias("said")) if with_words else F.xxhash64(*words)
+
+    return F.when(F.size("_said") >= k, F.transform(F.sequence(F.lit(0), F.size("_said") - k), one))
 
 
 def template_positions(templates: DataFrame, k: int, common: frozenset[str]) -> DataFrame:
@@ -94,12 +97,16 @@ def scan_licenses(docs: DataFrame, templates: DataFrame | None = None, k: int =
     templates = default_templates(spark) if templates is None else templates
     need(templates, "label", "text")
     spots = template_positions(templates, k, common)
-    if spots.agg(F.coalesce(F.sum(F.size("spots")), F.lit(0))).first()[0] <= broadcast_positions:
-        spots = F.broadcast(spots)
+    small = spots.agg(F.coalesce(F.sum(F.size("spots")), F.lit(0))).first()[0] <= broadcast_positions
 
     words = docs.select("doc_id", F.coalesce(F.xxhash64("text"), F.lit(0)).alias("_text"), word_array(F.col("text")).alias("_said"))
-    rolled = words.select("doc_id", "_text", F.size("_said").cast("long").alias("n_words"), F.posexplode_outer(grams(k)).alias("i", "g"))
-    at = rolled.select("doc_id", "_text", "n_words", "i", F.col("g.gram").alias("gram"), F.col("g.said").alias("said")).join(spots, "gram", "left")
+    words = words.select("doc_id", "_text", F.size("_said").cast("long").alias("n_words"), "_said", grams(k, with_words=not small).alias("_grams"))
+    if small:  # the words of a hit are looked up where it is found, in the same pass over the row
+        rolled = words.select("doc_id", "_text", "n_words", "_said", F.posexplode_outer("_grams").alias("i", "gram"))
+        at = rolled.join(F.broadcast(spots), "gram", "left").withColumn("said", F.concat_ws(" ", *[F.get("_said", F.col("i") + j) for j in range(k)]))
+    else:  # they travel with the hash
+        rolled = words.select("doc_id", "_text", "n_words", F.posexplode_outer("_grams").alias("i", "g"))
+        at = rolled.select("doc_id", "_text", "n_words", "i", F.col("g.gram").alias("gram"), F.col("g.said").alias("said")).join(spots, "gram", "left")
     # besides the hits each row keeps its first position, so that rows without a hit are counted too
     first = F.coalesce("i", F.lit(0)) == 0
     hits = at.where(F.col("spots").isNotNull() | first).select("doc_id", "_text", "n_words", "i", "said", first.alias("first"), F.posexplode_outer("spots").alias("nth", "spot"))
