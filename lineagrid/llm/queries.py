@@ -104,6 +104,58 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+OP2 = """
+WITH rows AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS x FROM documents),
+spots AS (SELECT r, doc_id, x, unnest(generate_series(1, octet_length(x) - 49)) AS i FROM rows WHERE octet_length(x) >= 50),
+windows AS (SELECT r, doc_id, i, x[i:i + 49] AS w FROM spots),
+firsts AS (SELECT w, min(doc_id) AS least FROM windows GROUP BY w HAVING count(*) > 1),
+hits AS (SELECT a.r, a.i FROM windows a JOIN firsts f ON a.w = f.w WHERE f.least < a.doc_id),
+steps AS (SELECT r, i, coalesce(i > lag(i) OVER (PARTITION BY r ORDER BY i) + 50, TRUE) AS opens FROM hits),
+numbered AS (SELECT r, i, sum(CAST(opens AS INTEGER)) OVER (PARTITION BY r ORDER BY i) AS span FROM steps),
+spans AS (SELECT r, span, min(i) AS a, max(i) + 50 AS b FROM numbered GROUP BY r, span),
+cuts AS (SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 1) AS since FROM spans),
+kept AS (SELECT r, sum(c.b - c.a) AS n_removed, count(*) AS n_spans, max(c.b) AS last, string_agg(hex(x[c.since:c.a - 1]), '' ORDER BY c.a) AS k
+         FROM cuts c JOIN rows USING (r) GROUP BY r)
+SELECT doc_id, octet_length(x) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(k, '') || hex(x[coalesce(last, 1):]))) AS kept_sha256
+FROM rows LEFT JOIN kept USING (r)
+"""
+
+
+OP4 = r"""
+WITH RECURSIVE rows AS (SELECT row_number() OVER () AS r, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+spots AS (SELECT r, w, unnest(generate_series(1, greatest(1, len(w) - 4))) AS i FROM rows WHERE len(w) > 0),
+shingles AS (SELECT DISTINCT r, list_slice(w, i, least(len(w), i + 4)) AS g FROM spots),
+sizes AS (SELECT r, count(*) AS n FROM shingles GROUP BY r),
+common AS (SELECT a.r AS a, b.r AS b, count(*) AS n FROM shingles a JOIN shingles b ON a.g = b.g AND a.r < b.r GROUP BY a.r, b.r),
+near AS (SELECT p.doc_id AS a, q.doc_id AS b FROM common c JOIN sizes s ON c.a = s.r JOIN sizes t ON c.b = t.r JOIN rows p ON c.a = p.r JOIN rows q ON c.b = q.r
+         WHERE 100 * c.n >= 85 * (s.n + t.n - c.n) AND p.doc_id <> q.doc_id),
+links AS (SELECT a, b FROM near UNION SELECT b, a FROM near),
+reach(node, root) AS (SELECT doc_id, doc_id FROM rows WHERE doc_id IS NOT NULL
+         UNION SELECT l.b, x.root FROM reach x JOIN links l ON x.node = l.a WHERE l.b > x.root),
+found AS (SELECT node, min(root) AS component_id FROM reach GROUP BY node)
+SELECT doc_id, coalesce(s.n, 0) AS n_shingles, component_id, coalesce(doc_id = component_id, TRUE) AS kept
+FROM rows LEFT JOIN sizes s USING (r) LEFT JOIN found ON doc_id = node
+"""
+
+
+OP5 = """
+WITH RECURSIVE rows AS (SELECT vec_id, label, len(embedding) AS size, list_filter(CAST(embedding AS DOUBLE[]), lambda x: x IS NOT NULL AND isfinite(x)) AS e FROM embeddings),
+squares AS (SELECT vec_id, label, size, e, list_dot_product(e, e) AS square FROM rows),
+units AS (SELECT vec_id, label, size, list_transform(e, lambda x: x / sqrt(square)) AS u FROM squares WHERE label IS NOT NULL AND len(e) = size AND square > 0),
+near AS (SELECT a.vec_id AS a, b.vec_id AS b FROM units a JOIN units b ON a.label = b.label AND a.size = b.size AND a.vec_id < b.vec_id
+         WHERE list_dot_product(a.u, b.u) >= 0.93),
+links AS (SELECT a, b FROM near UNION SELECT b, a FROM near),
+counts AS (SELECT a, count(*) AS n FROM links GROUP BY a),
+reach(node, root) AS (SELECT vec_id, vec_id FROM rows WHERE vec_id IS NOT NULL
+         UNION SELECT l.b, x.root FROM reach x JOIN links l ON x.node = l.a WHERE l.b > x.root),
+found AS (SELECT node, min(root) AS component_id FROM reach GROUP BY node)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, coalesce(vec_id = component_id, TRUE) AS kept
+FROM rows LEFT JOIN counts ON vec_id = a LEFT JOIN found ON vec_id = node
+"""
+
+
 OP9 = """
 WITH rows AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM rows),
@@ -134,4 +186,11 @@ FROM docs d LEFT JOIN words h ON d.doc_id = h.doc_id LEFT JOIN found f ON d.doc_
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_decontamination": OP6.strip(), "op8_license_diagonals": license_sql(), "op9_line_dedup": OP9.strip()}
+    return {
+        "op2_repeated_strings": OP2.strip(),
+        "op4_hyperminhash_near_dups": OP4.strip(),
+        "op5_small_world_near_dups": OP5.strip(),
+        "op6_decontamination": OP6.strip(),
+        "op8_license_diagonals": license_sql(),
+        "op9_line_dedup": OP9.strip(),
+    }
