@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import decode_ids, encode_texts
 from .common import fresh_path, staged
 from .decontamination import contaminated, scan_documents
 from .embeddings import near_vectors
+from .fill_middle import fill_in_middle, restored
 from .html_text import extract_text
 from .licenses import oracle_sql as license_sql
 from .licenses import scan_licenses
@@ -82,6 +84,24 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_global_start(read).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = fill_in_middle(table(spark, sf_dir, "documents"), seed=7, rate=100, suffix_first=50)
+    exact = F.sha2(restored(F.col("output"), F.col("form")), 256)
+    return told.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), exact.alias("restored_sha256"))
+
+
+def byte_vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op12_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = encode_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), byte_vocabulary())
+    told = encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), "ids")
+    return decode_ids(told, byte_vocabulary()).select("doc_id", "n_tokens", "ids_sha256", F.sha2("text", 256).alias("decoded_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -100,6 +120,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_license_diagonals": op8_license_diagonals,
         "op9_line_dedup": op9_line_dedup,
         "op10_token_files": op10_token_files,
+        "op11_fill_in_middle": op11_fill_in_middle,
+        "op12_byte_pairs": op12_byte_pairs,
         "pipeline": pipeline,
     }
 
@@ -185,6 +207,19 @@ FROM docs d LEFT JOIN words h ON d.doc_id = h.doc_id LEFT JOIN found f ON d.doc_
 """
 
 
+OP11 = r"""
+WITH rows AS (SELECT doc_id, coalesce(text, '') AS text, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS s FROM documents),
+drawn AS (SELECT doc_id, text, regexp_extract_all(text, '[^\n]*\n|[^\n]+') AS u, CAST('0x' || s[1:8] AS BIGINT) AS h1, CAST('0x' || s[9:16] AS BIGINT) AS h2,
+          CAST('0x' || s[17:24] AS BIGINT) AS h3, CAST('0x' || s[25:32] AS BIGINT) AS h4 FROM rows),
+cuts AS (SELECT *, CAST(len(u) AS BIGINT) AS n, least(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS a, greatest(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS b,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 100 THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM drawn),
+parts AS (SELECT *, array_to_string(list_slice(u, 1, a), '') AS p, array_to_string(list_slice(u, a + 1, b), '') AS m, array_to_string(list_slice(u, b + 1, n), '') AS x FROM cuts)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || x || '<M>' || m ELSE '<S>' || x || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(text) AS restored_sha256
+FROM parts
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_repeated_strings": OP2.strip(),
@@ -193,4 +228,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_decontamination": OP6.strip(),
         "op8_license_diagonals": license_sql(),
         "op9_line_dedup": OP9.strip(),
+        "op11_fill_in_middle": OP11.strip(),
     }
