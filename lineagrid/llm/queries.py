@@ -20,6 +20,7 @@ from .near_dups import near_duplicates
 from .packing import pack_documents
 from .quality import quality_scores
 from .repeats import digest, repeats
+from .spelling import spelling_forms, word_counts
 from .token_file import read_token_files, with_global_start, write_token_files
 
 
@@ -102,6 +103,11 @@ def op12_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decode_ids(told, byte_vocabulary()).select("doc_id", "n_tokens", "ids_sha256", F.sha2("text", 256).alias("decoded_sha256"))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = word_counts(table(spark, sf_dir, "documents"), every=97)
+    return spelling_forms(counts, least_n=3, least_length=5, ratio=2).select("word", "form", "root", "n", "n_near", "form_n")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -122,6 +128,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_token_files": op10_token_files,
         "op11_fill_in_middle": op11_fill_in_middle,
         "op12_byte_pairs": op12_byte_pairs,
+        "op13_spelling_variants": op13_spelling_variants,
         "pipeline": pipeline,
     }
 
@@ -220,6 +227,23 @@ FROM parts
 """
 
 
+OP13 = r"""
+WITH RECURSIVE crc AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS v FROM range(256) r(i))),
+runs AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS d, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{C0}-\x{FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+counted AS (SELECT run, count(*) AS n, hex(encode(d || ':' || run)) AS x FROM runs GROUP BY d, run),
+hashed AS (SELECT run, n, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(len(x) // 2), lambda k: CAST('0x' || x[2 * k + 1:2 * k + 2] AS BIGINT))), lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8))) AS h FROM counted, crc),
+words AS (SELECT CASE WHEN h % 97 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, CAST(sum(n) AS BIGINT) AS n FROM hashed GROUP BY 1 HAVING length(word) >= 5 AND sum(n) >= 3),
+cut AS (SELECT word, n, left(word, i) AS l, substr(word, i + 2) AS r FROM (SELECT word, n, unnest(range(length(word))) AS i FROM words) s),
+near AS (SELECT a.word, b.word AS other, b.n FROM cut a JOIN cut b ON a.l = b.l AND a.r = b.r WHERE a.word <> b.word
+         UNION SELECT a.word, b.word, b.n FROM cut a JOIN words b ON b.word = a.l || a.r
+         UNION SELECT b.word, a.word, a.n FROM cut a JOIN words b ON b.word = a.l || a.r),
+best AS (SELECT word, other, n, count(*) OVER (PARTITION BY word) AS n_near, row_number() OVER (PARTITION BY word ORDER BY n DESC, other) AS place FROM near),
+forms AS (SELECT w.word, w.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN b.n >= 2 * w.n THEN b.other END AS form, CASE WHEN b.n >= 2 * w.n THEN b.n END AS form_n FROM words w LEFT JOIN best b ON w.word = b.word AND b.place = 1),
+reach(word, node) AS (SELECT word, word FROM forms UNION ALL SELECT r.word, f.form FROM reach r JOIN forms f ON r.node = f.word WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, r.node AS root, f.n, f.n_near, f.form_n FROM forms f JOIN reach r ON r.word = f.word JOIN forms e ON e.word = r.node AND e.form IS NULL
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_repeated_strings": OP2.strip(),
@@ -229,4 +253,5 @@ def oracle_sql() -> dict[str, str]:
         "op8_license_diagonals": license_sql(),
         "op9_line_dedup": OP9.strip(),
         "op11_fill_in_middle": OP11.strip(),
+        "op13_spelling_variants": OP13.strip(),
     }
