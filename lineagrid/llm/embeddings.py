@@ -32,6 +32,10 @@ from ..operators.components import connected_components
 from .common import need, staged
 
 
+#: Products of one vector with some or with all others differ in their last bits; the audit looks past that.
+ROUNDING = 1e-9
+
+
 class SmallWorld:
     """A navigable small-world graph over unit vectors; similarity is the dot product."""
 
@@ -154,9 +158,9 @@ def audited_links(index: SmallWorld, queries: np.ndarray, own: bool, least: floa
         similar = index.x @ queries[k]
         if own:
             similar[k] = -2.0
-        truth[k] = np.flatnonzero(similar >= least)
+        truth[k] = np.flatnonzero(similar >= least + ROUNDING)
         if len(similar) > own:
-            nearest[k] = (int(similar.argmax()), float(similar.max()))
+            nearest[k] = (int(similar.argmax()), float(similar.max()) - ROUNDING)
     total = sum(map(len, truth.values()))
     while True:
         start = lambda k: k if own else None

@@ -35,8 +35,9 @@ from .common import need, slices, staged, unused
 TAG = re.compile(r"""<(/?+)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
 OPEN_QUOTES = re.compile(r"<(/?+)([a-zA-Z][^\s/>]*+)([^>]*+)>")
 NAME_START = re.compile(r"</?[a-zA-Z]")
-#: Tags with quotes that never close which a page may have before the quotes of its later tags are not looked at.
-PATIENCE = 8
+TAG_NAME = re.compile(r"</?+[a-zA-Z][^\s/>]*+")
+QUOTE_OR_END = re.compile("[>\"']")
+COMMENT_END = re.compile("--!?>")
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 #: Element names by how they are treated.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -81,6 +82,33 @@ def named_by(name: str, classes: str, identity: str) -> tuple[str, frozenset[str
     return step, words, NO_WORDS if name in ("html", "body", "article", "main") else marks(classes, identity)
 
 
+def comment_end(html: str, start: int) -> int:
+    """Where the comment that begins at `start` is over: behind -->, --!>, or at once for <!--> and <!--->."""
+    for short in ("<!-->", "<!--->"):
+        if html.startswith(short, start):
+            return start + len(short)
+    found = COMMENT_END.search(html, start + 4)
+    return found.end() if found else len(html)
+
+
+def tag_end(html: str, at: int, dead: set[int]) -> int:
+    """Behind the first > outside quotes from `at` on, or -1.
+
+    The opening quotes of a scan without end go to `dead`: a later scan that opens one of them has no end either, so each
+    quote of a page is passed once by scans in vain, however many tags leave theirs open.
+    """
+    passed = []
+    while (m := QUOTE_OR_END.search(html, at)) and m.start() not in dead:
+        if m[0] == ">":
+            return m.end()
+        passed.append(m.start())
+        at = html.find(m[0], m.end()) + 1
+        if not at:
+            break
+    dead.update(passed)
+    return -1
+
+
 class Page:
     """Elements in document order and the page's texts and block edges between them.
 
@@ -103,7 +131,8 @@ class Page:
         self._spare()
 
     def _read(self, html: str) -> None:
-        stack, at, text_at, patience = [0], 0, 0, PATIENCE
+        stack, at, text_at = [0], 0, 0
+        dead: set[int] | None = None  # quotes from which a scan met no end of its tag, once there is one
         last = html.rfind(">")
 
         def text(end: int) -> None:
@@ -113,8 +142,7 @@ class Page:
         while (start := html.find("<", at)) >= 0:
             if html.startswith("<!--", start):
                 text(start)
-                end = html.find("-->", start + 4)
-                at = text_at = end + 3 if end >= 0 else len(html)
+                at = text_at = comment_end(html, start)
                 continue
             if start > last:
                 at = start + 1
@@ -126,10 +154,11 @@ class Page:
                 else:
                     at = start + 1
                 continue
-            m = TAG.match(html, start) if patience else None
+            m = TAG.match(html, start) if dead is None else None
             if not m:
-                patience = max(0, patience - 1)
-                m = OPEN_QUOTES.match(html, start)
+                dead = set() if dead is None else dead
+                end = tag_end(html, TAG_NAME.match(html, start).end(), dead)
+                m = TAG.match(html, start, end) if end >= 0 else OPEN_QUOTES.match(html, start)
             text(start)
             at, name = m.end(), m[2].lower()
             if m[1]:

@@ -98,6 +98,8 @@ AWKWARD = {
     "closing far above": "<b><div>" + "<i>" * 50_000 + "</b>" * 100_000 + TEXT,
     "scripts": "<script>" + "</script " * 100_000,
     "comments": "<!--" * 250_000,
+    "open quotes of two kinds": "<a b='x\" c=\"y' <i d=\"z>" * 50_000 + TEXT,
+    "quotes in vain": "<i x='>' " * 120_000 + "'" + TEXT,
     "classes": f'<div class="{" ".join(f"a{k}b" for k in range(100_000))}">{TEXT}',
 }
 
@@ -113,6 +115,18 @@ def test_unclosed_quotes_cost_one_tag():
     assert html_text.page_text(f'<article><p>{TEXT}<a href="x>link</a></p><p class=\'y>two</p></article>', []).split("\n") == [TEXT + "link", "two"]
 
 
+@pytest.mark.parametrize("opened", [1, 7, 8, 9, 400])
+def test_tags_behind_unclosed_quotes_keep_their_own(opened):
+    html = "<article><p>" + "<i x='>' " * opened + f'\' <b title="5 > 3" class="x">bold</b></p><p>{TEXT}</p></article>'
+    assert html_text.page_text(html, []).split("\n") == [" ".join(["'"] * (opened + 1)) + " bold", TEXT.strip()]
+
+
+@pytest.mark.parametrize("comment", ["<!-->", "<!--->", "<!-- x --!>", "<!-- > -->", "<!---->", "<!--x--->"])
+def test_comments_end_as_in_html(comment):
+    assert html_text.page_text(f"<article><p>one</p>{comment}<p>two</p></article>", []).split("\n") == ["one", "two"]
+    assert html_text.page_text(f"<article><p>one{comment}</p><p>{TEXT}</p></article>", []).split("\n") == ["one", TEXT.strip()]
+
+
 def clustered(seed, n, dims=16, spread=0.12):
     dice = np.random.default_rng(seed)
     centers = dice.normal(size=(n // 8, dims))
@@ -128,6 +142,15 @@ def test_small_world_finds_what_brute_force_finds():
     assert all((x[f] @ q >= 0.93).all() for f, q in zip(found, x, strict=True))
 
 
+@pytest.mark.parametrize("dims", [16, 64, 128])
+def test_clustered_shards_end_far_below_their_size(dims):
+    """The audit's own rounding must not widen a beam: it would end in brute force."""
+    x = unit(clustered(3, 2000, dims, 0.02))
+    found, beam = audited_links(SmallWorld(x), x, True, 0.93, 32, 48, 0.98)
+    truth = [np.flatnonzero(x @ q >= 0.93) for q in x]
+    assert beam <= 128 and sum(map(len, found)) >= 0.98 * sum(map(len, truth))
+
+
 def test_audit_widens_a_narrow_beam():
     x = unit(np.random.default_rng(2).normal(size=(400, 64)))
     _, beam = audited_links(SmallWorld(x, degree=2, build_beam=2), unit(np.random.default_rng(3).normal(size=(60, 64))), False, 0.3, 1, 48, 0.98)
