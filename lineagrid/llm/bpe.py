@@ -68,16 +68,15 @@ class Vocabulary:
         for token, i in [*ids.items(), *added.items()]:
             self.bytes_of[i] = as_bytes(token)
         self.rank: dict[tuple[int, int], int] = {}
-        self.made = {i: -1 for i in ids.values()}
+        self.made = {i: -1 for i in ids.values() if len(self.bytes_of[i]) == 1}
         parts: dict[int, tuple[int, int]] = {}
         for at, merge in enumerate(config["model"]["merges"]):
             left, right = merge.split(" ") if isinstance(merge, str) else merge
             a, b, whole = ids[left], ids[right], ids[left + right]
-            if (a, b) in self.rank or whole in parts or max(self.made[a], self.made[b]) >= at:
+            if a not in self.made or b not in self.made or whole in self.made:
                 raise ValueError("the vocabulary's merges are not in the order in which tokens are made")
             self.rank[a, b], self.made[whole], parts[whole] = at, at, (a, b)
-        single = {self.bytes_of[i] for i in ids.values() if i not in parts}
-        if not {bytes([b]) for b in range(256)} <= single or any(len(t) > 1 for t in single):
+        if len({self.bytes_of[i] for i in self.made if i not in parts}) < 256 or not self.made.keys() >= set(ids.values()):
             raise ValueError("the vocabulary does not hold all bytes, or a token that no merge makes")
         #: for each token, what stands at its right and left end from the last merge back, each with the merge that ends it
         self.right_end: dict[int, tuple[tuple[int, int], ...]] = {}
