@@ -7,10 +7,11 @@ and what is found counts for both sides, as links have no direction. A graph goe
 stream past; a shard's vectors go to half of the label's shards, which is quadratic in a label's size over shard_size.
 
 A beam search runs on while it finds vectors over the threshold, so dense groups are walked whole. Each meeting is audited
-by brute force on `audit` of its queries, without the match of a vector with itself: the share of the links found, its
-mean over the queries that have links, and the share of queries whose nearest vector is found must each reach `recall`,
-else the beam is doubled (at the shard's size the search is exhaustive). Cosines are taken in double precision. A meeting
-returns link counts and a spanning forest of its links, never all pairs.
+by brute force on `audit` of its queries, without the match of a vector with itself, and on as many of the graph's vectors
+turned away until their cosine is the threshold's: the share of the links found, its mean over the queries that have
+links, and its mean over the turned ones must each reach `recall`, else the beam is doubled (at the shard's size the
+search is exhaustive). Cosines are taken in double precision. A meeting returns link counts and a spanning forest of its
+links, never all pairs.
 
 Vectors that are null, empty, zero or hold null or non-finite components, and rows with a null label or vec_id, link with
 nothing: n_links 0, component_id their own vec_id. vec_id is taken to be unique; a repeated row counts as another vector.
@@ -150,26 +151,36 @@ def unit(vectors: np.ndarray) -> np.ndarray:
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
+def turned(vectors: np.ndarray, cosine: float, seed: int = 2) -> np.ndarray:
+    """Unit vectors at the given cosine from unit vectors, each in a direction of its own."""
+    away = np.random.default_rng(seed).normal(size=vectors.shape)
+    away -= (away * vectors).sum(axis=1, keepdims=True) * vectors
+    length = np.linalg.norm(away, axis=1, keepdims=True)
+    return cosine * vectors + np.sqrt(max(0.0, 1 - cosine * cosine)) * away / np.where(length > 0, length, 1)
+
+
 def audited_links(index: SmallWorld, queries: np.ndarray, own: bool, least: float, beam: int, audit: int, recall: float) -> tuple[list[list[int]], int]:
     """Linked nodes for each query, and the beam that passed the audit. own: the queries are the index's vectors."""
-    sample = np.unique(np.linspace(0, len(queries) - 1, min(audit, len(queries))).astype(int)).tolist()
-    truth, nearest = {}, {}
+    spread = lambda n: np.unique(np.linspace(0, n - 1, min(audit, n)).astype(int))
+    sample = spread(len(queries)).tolist()
+    truth = {}
     for k in sample:
         similar = index.x @ queries[k]
         if own:
             similar[k] = -2.0
         truth[k] = np.flatnonzero(similar >= least + ROUNDING)
-        if len(similar) > own:
-            nearest[k] = (int(similar.argmax()), float(similar.max()) - ROUNDING)
     total = sum(map(len, truth.values()))
+    # links may be too rare for the sample to hold any, so vectors turned to the threshold must find what is near them too
+    probes = turned(index.x[spread(len(index.x))], min(1.0, least + 1e-6))
+    around = [np.flatnonzero(index.x @ q >= least + ROUNDING) for q in probes]
     while True:
         start = lambda k: k if own else None
         got = {k: index.near(queries[k], beam, least, start(k)) for k in sample}
         if beam >= len(index.x):
             break
         hits = {k: len(np.intersect1d(truth[k], got[k])) for k in sample if len(truth[k])}
-        first = sum(n in index.near(queries[k], beam, s, start(k)) for k, (n, s) in nearest.items())
-        if first >= recall * len(nearest) and sum(hits.values()) >= recall * total and sum(h / len(truth[k]) for k, h in hits.items()) >= recall * len(hits):
+        told = [len(np.intersect1d(t, index.near(q, beam, least))) / len(t) for q, t in zip(probes, around, strict=True) if len(t)]
+        if sum(told) >= recall * len(told) and sum(hits.values()) >= recall * total and sum(h / len(truth[k]) for k, h in hits.items()) >= recall * len(hits):
             break
         beam *= 2
     return [got[k] if k in got else index.near(queries[k], beam, least, start(k)) for k in range(len(queries))], beam
