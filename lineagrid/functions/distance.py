@@ -106,21 +106,60 @@ def levenshtein(a: str, b: str) -> int:
     return int(levenshtein_pairs([a], [b])[0])
 
 
+def levenshtein_block(x: np.ndarray, y: np.ndarray, most: int = 2_000_000) -> np.ndarray:
+    """All unit-cost edit distances of code points of one length (rows of x) and of another (rows of y)."""
+    out = np.zeros((len(x), len(y)), np.int64)
+    step = max(1, most // max(1, len(y) * (y.shape[1] + 1)))
+    for at in range(0, len(x), step):
+        part = x[at : at + step]
+        row = [np.full((len(part), len(y)), j, np.int32) for j in range(y.shape[1] + 1)]
+        for i in range(x.shape[1]):
+            before, row[0] = row[0], row[0] + 1
+            for j in range(y.shape[1]):
+                best = np.minimum(np.minimum(row[j], row[j + 1]) + 1, before + (part[:, i, None] != y[None, :, j]))
+                before, row[j + 1] = row[j + 1], best
+        out[at : at + step] = row[-1]
+    return out
+
+
+def distance_block(a: list[str], b: list[str]) -> np.ndarray:
+    """All distances of a and b: Hamming for equal lengths, else Levenshtein. Equal texts are compared once."""
+    (left, from_left), (right, from_right) = (np.unique(np.array(x, object).astype(str) if x else np.zeros(0, "<U1"), return_inverse=True) for x in (a, b))
+    lengths = [np.array([len(t) for t in side], np.int64) for side in (left, right)]
+    found = np.zeros((len(left), len(right)), np.int64)
+    same = len(left) == len(right) and bool((left == right).all())
+    for n in np.unique(lengths[0]).tolist():
+        rows = np.flatnonzero(lengths[0] == n)
+        x = letters([left[r] for r in rows])
+        for m in np.unique(lengths[1]).tolist():
+            if same and m < n:
+                continue
+            columns = np.flatnonzero(lengths[1] == m)
+            y = letters([right[c] for c in columns])
+            part = hamming_matrix(x, y) if n == m else levenshtein_block(x, y)
+            found[np.ix_(rows, columns)] = part
+            if same and n != m:
+                found[np.ix_(columns, rows)] = part.T
+    return found[np.ix_(from_left.ravel(), from_right.ravel())]
+
+
+Side = tuple[list, list, list[str], list[list[str]]]
+
+
+def score_block(a: Side, b: Side, bonus: float, multiplier: float) -> np.ndarray:
+    """All scores of two sides, each V genes, J genes, CDR3s and mutation lists."""
+    number: dict = {}
+    genes = [[np.array([number.setdefault((k, g), len(number)) for g in side[k]], np.int64) for k in (0, 1)] for side in (a, b)]
+    germline = np.where(genes[0][0][:, None] != genes[1][0][None, :], V_PENALTY, 0.0) + np.where(genes[0][1][:, None] != genes[1][1][None, :], J_PENALTY, 0.0)
+    length = [np.array([len(t) for t in side[2]], np.int64) for side in (a, b)]
+    out = shared_matrix(a[3], b[3]) * -float(bonus)
+    out += np.abs(length[0][:, None] - length[1][None, :]) * float(multiplier)
+    out += distance_block(a[2], b[2])
+    out /= np.maximum(np.minimum(length[0][:, None], length[1][None, :]), 1)
+    out += germline
+    return np.maximum(out, LEAST_SCORE, out=out)
+
+
 def score_matrix(v: list, j: list, cdr3: list[str], mutations: list[list[str]], bonus: float, multiplier: float) -> np.ndarray:
     """All pair scores; sequences may differ in length."""
-    length = np.array([len(s) for s in cdr3])
-    distance = np.zeros((len(cdr3), len(cdr3)), np.int64)
-    for n in np.unique(length):
-        rows = np.flatnonzero(length == n)
-        x = letters([cdr3[r] for r in rows])
-        distance[np.ix_(rows, rows)] = hamming_matrix(x, x)
-    for r in range(len(cdr3)):  # a row of pairs at a time
-        others = r + 1 + np.flatnonzero(length[r + 1 :] != length[r])
-        distance[r, others] = distance[others, r] = levenshtein_pairs([cdr3[r]] * len(others), [cdr3[k] for k in others])
-    shared = shared_matrix(mutations, mutations)
-    number = {}
-    vs, js = (np.array([number.setdefault((k, g), len(number)) for g in genes]) for k, genes in enumerate((v, j)))
-    germline = np.where(vs[:, None] != vs[None, :], V_PENALTY, 0.0) + np.where(js[:, None] != js[None, :], J_PENALTY, 0.0)
-    penalty = np.abs(length[:, None] - length[None, :]) * float(multiplier)
-    shorter = np.maximum(np.minimum(length[:, None], length[None, :]), 1)
-    return np.maximum(germline + (distance + penalty - shared * float(bonus)) / shorter, LEAST_SCORE)
+    return score_block((v, j, cdr3, mutations), (v, j, cdr3, mutations), bonus, multiplier)

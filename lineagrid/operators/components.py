@@ -70,3 +70,13 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", f
         edges = staged(moved.where("s <> d").select(F.least("s", "d").alias("src"), F.greatest("s", "d").alias("dst")).distinct(), "edges")
     least = labels.groupBy("label").agg(F.min("node").alias("component"))
     return labels.join(least, "label").select("node", "component")
+
+
+def followed(links: DataFrame, node: str = "node", parent: str = "parent") -> DataFrame:
+    """node, root: where the links of a forest (one parent a node) lead in the end, by doubling what each link spans."""
+    steps = staged(links.select(F.col(node).alias("at"), F.col(parent).alias("to"), F.lit(True).alias("moved")), "steps")
+    while not steps.where("moved").isEmpty():
+        further = steps.select(F.col("at").alias("_at"), F.col("to").alias("_to"))
+        jumped = steps.join(further, F.col("to") == F.col("_at"), "left")
+        steps = staged(jumped.select("at", F.coalesce("_to", "to").alias("to"), F.col("_to").isNotNull().alias("moved")), "steps")
+    return steps.select(F.col("at").alias("node"), F.col("to").alias("root"))

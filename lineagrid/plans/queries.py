@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 
 from ..functions import distance
 from ..operators import candidates, prepare
+from ..operators.dendrogram import average_tree, cut_tree
 from ..operators.essences import canonical_mutations, cluster_numbers, essences, megaclusters, nearest_centers
+from ..operators.segment_index import near_edges
 from ..options import LineageOptions
+from ..storage import staged
 from . import lineages
 
 IGH_ONLY = "WHERE locus = 'IGH'"
@@ -92,6 +95,21 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return candidates.edges_within_cutoff(candidates.candidate_pairs(rows(spark, sf_dir)), CUTOFF, BONUS, MULTIPLIER)
 
 
+def average_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_edges(staged(rows(spark, sf_dir), "sequences"), CUTOFF, BONUS, MULTIPLIER)
+
+
+HEIGHTS = (0.35, 0.2, 0.05)
+
+
+def average_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One tree, cut at several heights."""
+    found = staged(rows(spark, sf_dir), "sequences")
+    tree = staged(average_tree(found, CUTOFF, BONUS, MULTIPLIER, int(spark.conf.get("spark.sql.shuffle.partitions"))), "tree")
+    cuts = [cut_tree(found, tree, h).select(F.lit(h).alias("height"), F.col("node").alias("sequence_id"), "component") for h in HEIGHTS]
+    return cuts[0].unionByName(cuts[1]).unionByName(cuts[2])
+
+
 def progressive(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
     found = lineages.lineage_table(airr(spark, sf_dir), LineageOptions.of(PLAIN, mnemonic_names=False, **options))
     return found.select(F.col("id").alias("sequence_id"), "component", "lineage_size")
@@ -155,6 +173,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "lineage_digest": lineage_digest,
         "lineage_names_random": lambda s, d: lineage_names(s, d, False),
         "lineage_names_mnemonic": lambda s, d: lineage_names(s, d, True),
+        "average_edges": average_edges,
+        "average_cuts": average_cuts,
         "lineages_average": lambda s, d: progressive(s, d, mode="average"),
         "essence_weights": essence_weights,
         "canonical_mutations": canonical,
@@ -184,6 +204,37 @@ g AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
 cc(id, l) AS (SELECT id, id FROM used UNION SELECT g.y, cc.l FROM cc JOIN g ON g.x = cc.id WHERE cc.l < g.y),
 placed AS (SELECT id, min(l) AS component FROM cc GROUP BY id)"""
 
+    apart = "(CASE WHEN a.n = b.n THEN hamming(a.cdr3, b.cdr3) ELSE levenshtein(a.cdr3, b.cdr3) END)"
+    average = f"greatest({germline} + ({apart} + abs(a.n - b.n) * 2.0::DOUBLE - {shared} * 0.35::DOUBLE) / greatest(least(a.n, b.n), 1), 0.001::DOUBLE)"
+    # average linkage: in each step all pairs of clusters that are each other's nearest merge; kind m are the merges, kind p the pairs left
+    tree = f"""WITH RECURSIVE {base},
+kinds AS (SELECT min(id) AS id, v, j, cdr3, n, list_sort(muts) AS muts, CAST(count(*) AS DOUBLE) AS w FROM rows GROUP BY v, j, cdr3, n, list_sort(muts)),
+e AS (SELECT a.id AS x, b.id AS y FROM kinds a JOIN kinds b ON a.v = b.v AND a.j = b.j AND a.id < b.id AND abs(a.n - b.n) <= 8 WHERE {average} <= 0.35::DOUBLE),
+g AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+cc(id, l) AS (SELECT id, id FROM kinds UNION SELECT g.y, cc.l FROM cc JOIN g ON g.x = cc.id WHERE cc.l < g.y),
+parts AS (SELECT id, min(l) AS l FROM cc GROUP BY id),
+members AS (SELECT k.*, l FROM kinds k JOIN parts p ON k.id = p.id),
+state(kind, a, b, total, na, nb) AS (
+  SELECT 'p', a.id, b.id, a.w * b.w * {average}, a.w, b.w FROM members a JOIN members b ON a.l = b.l AND a.id < b.id
+  UNION ALL (
+  WITH p AS MATERIALIZED (SELECT *, round(total / (na * nb), 12) AS mean FROM state WHERE kind = 'p'),
+  ends AS (SELECT a AS e, na AS w, a, b, mean FROM p UNION ALL SELECT b, nb, a, b, mean FROM p),
+  best AS (SELECT e, w, a, b, mean FROM (SELECT *, row_number() OVER (PARTITION BY e ORDER BY mean, a, b) AS r FROM ends) q WHERE r = 1),
+  m AS MATERIALIZED (SELECT a, b, min(mean) AS h FROM best WHERE mean <= 0.35::DOUBLE GROUP BY a, b HAVING count(*) = 2),
+  size AS (SELECT coalesce(m.a, e) AS c, sum(w) AS w FROM best LEFT JOIN m ON e = m.b GROUP BY 1),
+  moved AS (SELECT least(coalesce(x.a, p.a), coalesce(y.a, p.b)) AS a, greatest(coalesce(x.a, p.a), coalesce(y.a, p.b)) AS b, total FROM p LEFT JOIN m x ON x.b = p.a LEFT JOIN m y ON y.b = p.b),
+  pairs AS (SELECT a, b, sum(total) AS total FROM moved WHERE a <> b GROUP BY a, b)
+  SELECT 'm', a, b, h, 0, 0 FROM m UNION ALL
+  SELECT 'p', a, b, total, s.w, t.w FROM pairs JOIN size s ON a = s.c JOIN size t ON b = t.c WHERE EXISTS (SELECT 1 FROM m))),
+tree AS (SELECT b AS node, a AS parent, total AS height FROM state WHERE kind = 'm'
+         UNION ALL SELECT r.id, k.id, 0.001::DOUBLE FROM rows r JOIN kinds k ON r.v = k.v AND r.j = k.j AND r.cdr3 = k.cdr3 AND list_sort(r.muts) = k.muts WHERE r.id <> k.id)"""
+
+    def cut(heights: str) -> str:
+        return f"""{tree},
+heights(height) AS (VALUES {heights}),
+reach(height, id, node) AS (SELECT height, id, id FROM rows, heights UNION ALL SELECT r.height, r.id, t.parent FROM reach r JOIN tree t ON r.node = t.node AND t.height <= r.height),
+placed AS (SELECT height, id, min(node) AS component FROM reach GROUP BY height, id)"""
+
     placed = "SELECT id AS sequence_id, component, count(*) OVER (PARTITION BY component) AS lineage_size FROM placed"
     mutated = "exploded AS (SELECT v, j, cdr3, id, unnest(muts) AS mutation FROM (SELECT *, row_number() OVER (PARTITION BY v, j, cdr3 ORDER BY id) AS r FROM rows) q WHERE r <= 17)"
     near = "ranked AS (SELECT a.v, a.j, a.cdr3, b.cdr3 AS center, (levenshtein(a.cdr3, b.cdr3) + abs(a.n - b.n) * 2.0::DOUBLE) / least(a.n, b.n) AS distance FROM essences a JOIN essences b ON a.v = b.v AND a.j = b.j AND b.weight >= 3), nearest AS (SELECT v, j, cdr3, min(center) AS center FROM (SELECT *, min(distance) OVER (PARTITION BY v, j, cdr3) AS best FROM ranked) q WHERE distance = best GROUP BY v, j, cdr3)"
@@ -204,6 +255,9 @@ placed AS (SELECT id, min(l) AS component FROM cc GROUP BY id)"""
         "lineages_igh_only": f"{linked(base, same, IGH_ONLY)} {placed}",
         "lineage_sizes": f"{linked(base, same)}, sizes AS (SELECT component, count(*) AS lineage_size FROM placed GROUP BY component) SELECT lineage_size, sum(lineage_size)::BIGINT AS n_sequences, count(*) AS n_lineages FROM sizes GROUP BY lineage_size",
         "lineage_digest": f"{linked(base, same)} SELECT component, sha256('7' || string_agg(chr(0) || id, '' ORDER BY id)) AS digest, count(*) AS lineage_size FROM placed GROUP BY component",
+        "average_edges": f"WITH {base} SELECT * FROM (SELECT a.id AS id_a, b.id AS id_b, {average} AS score FROM rows a JOIN rows b ON a.v = b.v AND a.j = b.j AND a.id < b.id) p WHERE score <= 0.35::DOUBLE",
+        "average_cuts": f"{cut(', '.join(f'({h}::DOUBLE)' for h in HEIGHTS))} SELECT height, id AS sequence_id, component FROM placed",
+        "lineages_average": f"{cut('(0.35::DOUBLE)')} {placed}",
         "essence_weights": f"WITH {base} SELECT v, j, cdr3, count(*) AS weight FROM rows GROUP BY v, j, cdr3",
         "canonical_mutations": f"WITH {base}, {mutated}, sizes AS (SELECT v, j, cdr3, least(count(*), 17) AS p FROM rows GROUP BY v, j, cdr3) SELECT e.v, e.j, e.cdr3, mutation, count(*) AS n FROM exploded e JOIN sizes s ON e.v = s.v AND e.j = s.j AND e.cdr3 = s.cdr3 GROUP BY e.v, e.j, e.cdr3, mutation HAVING 2 * count(*) >= any_value(p)",
         "cluster_numbers": f"{linked(base, same)} SELECT id AS sequence_id, dense_rank() OVER (ORDER BY component) - 1 AS cluster_no FROM placed",

@@ -60,3 +60,12 @@ def average_linkage(rows, cutoff, together):
             return {frozenset(r[0] for r in c) for c in clusters}
         _, i, j = best
         clusters[i] += clusters.pop(j)
+
+
+def components(edges):
+    """The sets of nodes that edges join."""
+    groups = {}
+    for a, b in edges:
+        both = groups.get(a, {a}) | groups.get(b, {b})
+        groups.update({n: both for n in both})
+    return {frozenset(g) for g in groups.values()}

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from lineagrid.functions import distance, naming
 from lineagrid.operators import linkage
-from lineagrid.operators.components import connected_components
+from lineagrid.operators.components import connected_components, followed
+from lineagrid.operators.dendrogram import average_clusters
 from lineagrid.operators.essences import canonical_mutations, cluster_numbers, essences, megaclusters, nearest_centers
-from lineagrid.operators.linkage import average_clusters
 
 
 @given(st.text("ABC", max_size=8), st.text("ABC", max_size=8))

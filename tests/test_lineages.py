@@ -5,7 +5,7 @@ import lineage_cases
 import pytest
 from lineage_cases import SCHEMA, average_linkage, partition, single_linkage, table
 
-from lineagrid.operators import linkage
+from lineagrid.operators import dendrogram, linkage
 from lineagrid.options import LineageOptions
 from lineagrid.plans.lineages import assign, assign_lineages, assignments
 
@@ -156,10 +156,11 @@ def test_average_linkage_against_brute_force(spark, seed):
     assert partition(lineages(spark, rows, distance_cutoff=0.55, mode="average")) == average_linkage(rows, 0.55, reachable)
 
 
-@pytest.mark.parametrize("dense", [0, 6, 2000])
+@pytest.mark.parametrize("dense", [1, 6, 2000])
 def test_average_linkage_of_a_large_component(spark, monkeypatch, dense):
-    """Components over DENSE merge in rounds; copies of a row weigh by their number."""
-    monkeypatch.setattr(linkage, "DENSE", dense)
+    """Components over DENSE merge in rounds of tiles; copies of a row weigh by their number."""
+    monkeypatch.setattr(dendrogram, "DENSE", dense)
+    monkeypatch.setattr(dendrogram, "BLOCK", 5)
     dice = random.Random(31)
     kinds = [("V", "J", "".join(dice.choice("ACDE") for _ in range(dice.choice((11, 13)))), "|".join(dice.sample([f"M{m}" for m in range(6)], dice.randint(0, 3)))) for _ in range(22)]
     rows = [(f"s{k:02}", *dice.choice(kinds)) for k in range(36)]
