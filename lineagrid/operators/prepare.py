@@ -70,7 +70,10 @@ def group_key(keys: Keys, options: LineageOptions) -> Column:
 
 
 def compared_rows(df: DataFrame, keys: Keys, options: LineageOptions) -> DataFrame:
-    """id, grp, v, j, cdr3, muts, igh: the only columns that later steps read."""
+    """id, grp, v, j, cdr3, muts, igh (and identity, where preclustering asks for it): the only columns that later steps read."""
+    if options.precluster and options.preclustering_key is not None and options.preclustering_key not in df.columns:
+        raise ValueError(f"Missing column: {options.preclustering_key}")
+    identity = [quoted(options.preclustering_key or keys.cdr3).cast("string").alias("identity")] * options.precluster
     igh = F.coalesce(quoted(keys.locus) == "IGH", F.lit(False)) if keys.locus else F.lit(True)
     return df.select(
         quoted(keys.id).cast("string").alias("id"),
@@ -80,6 +83,7 @@ def compared_rows(df: DataFrame, keys: Keys, options: LineageOptions) -> DataFra
         quoted(keys.cdr3).cast("string").alias("cdr3"),
         mutation_list(quoted(keys.mutations), df.schema[keys.mutations].dataType, options.mutation_delimiter).alias("muts"),
         igh.alias("igh"),
+        *identity,
     )
 
 

@@ -9,7 +9,11 @@ MODES = ("progressive", "average")
 
 @dataclass(frozen=True)
 class LineageOptions:
-    """Distances, grouping, column names and naming. Column keys that are None are looked up (X:0, then X)."""
+    """Distances, grouping, column names and naming. Column keys that are None are looked up (X:0, then X).
+
+    precluster groups the sequences of a group around centroids of at least preclustering_threshold identity first;
+    preclustering_key is the column that is compared (None: the CDR3). Only sequences of one precluster are linked.
+    """
 
     distance_cutoff: float = 0.35
     shared_mutation_bonus: float = 0.35
@@ -30,6 +34,9 @@ class LineageOptions:
     allelic_variant_threshold: float = 0.35
     min_seqs_for_allelic_variants: int = 200
     restrict_to_igh: bool = False
+    precluster: bool = False
+    preclustering_threshold: float = 0.65
+    preclustering_key: str | None = None
     mnemonic_names: bool = True
     name_seed: int | None = None
     word_list: str | None = None
@@ -46,6 +53,8 @@ class LineageOptions:
             raise ValueError("mutation_delimiter must not be empty")
         if self.max_pairs_per_bucket is not None and self.max_pairs_per_bucket < 1:
             raise ValueError("max_pairs_per_bucket must be positive")
+        if not 0 <= self.preclustering_threshold <= 1:
+            raise ValueError("preclustering_threshold must be between 0 and 1")
         if self.length_penalty_multiplier <= 0 and self.mode == "average":
             raise ValueError("average mode needs a positive length_penalty_multiplier")
 

@@ -11,6 +11,7 @@ from ..functions import distance
 from ..operators import candidates, prepare
 from ..operators.dendrogram import average_tree, cut_tree
 from ..operators.essences import canonical_mutations, cluster_numbers, essences, megaclusters, nearest_centers
+from ..operators.preclusters import identity_clusters
 from ..operators.segment_index import near_edges
 from ..options import LineageOptions
 from ..storage import staged
@@ -99,6 +100,11 @@ def average_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_edges(staged(rows(spark, sf_dir), "sequences"), CUTOFF, BONUS, MULTIPLIER)
 
 
+def preclusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = identity_clusters(staged(rows(spark, sf_dir), "sequences"), 0.65)
+    return found.select(F.array_join("grp", "/").alias("genes"), F.col("text").alias("cdr3"), "centroid")
+
+
 HEIGHTS = (0.35, 0.2, 0.05)
 
 
@@ -175,6 +181,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "lineage_names_mnemonic": lambda s, d: lineage_names(s, d, True),
         "average_edges": average_edges,
         "average_cuts": average_cuts,
+        "preclusters": preclusters,
+        "lineages_preclustered": lambda s, d: progressive(s, d, precluster=True),
         "lineages_average": lambda s, d: progressive(s, d, mode="average"),
         "essence_weights": essence_weights,
         "canonical_mutations": canonical,
@@ -229,6 +237,20 @@ state(kind, a, b, total, na, nb) AS (
 tree AS (SELECT b AS node, a AS parent, total AS height FROM state WHERE kind = 'm'
          UNION ALL SELECT r.id, k.id, 0.001::DOUBLE FROM rows r JOIN kinds k ON r.v = k.v AND r.j = k.j AND r.cdr3 = k.cdr3 AND list_sort(r.muts) = k.muts WHERE r.id <> k.id)"""
 
+    identity = "(CASE WHEN a.n = b.n THEN hamming(a.t, b.t) ELSE levenshtein(a.t, b.t) END)"
+    # open: what no centroid has taken yet; a step's centroids are the open ones without an open one before them
+    clustered = f"""{base},
+texts AS (SELECT v, j, cdr3 AS t, n, row_number() OVER (ORDER BY v, j, n DESC, cdr3) AS k FROM rows GROUP BY v, j, cdr3, n),
+alike AS MATERIALIZED (SELECT a.k AS x, b.k AS y FROM texts a JOIN texts b ON a.v = b.v AND a.j = b.j AND a.k < b.k WHERE greatest({identity} / least(a.n, b.n), 0.001::DOUBLE) <= 1 - 0.65::DOUBLE),
+state(step, k, open, taken) AS (SELECT 0, k, TRUE, FALSE FROM texts UNION ALL (
+  WITH s AS MATERIALIZED (SELECT * FROM state), left_open AS MATERIALIZED (SELECT k FROM s WHERE open),
+  held AS (SELECT DISTINCT y FROM alike JOIN left_open ON x = k), fresh AS MATERIALIZED (SELECT k FROM left_open WHERE k NOT IN (SELECT y FROM held)),
+  hit AS MATERIALIZED (SELECT DISTINCT y FROM alike JOIN fresh ON x = k)
+  SELECT step + 1, k, open AND k NOT IN (SELECT k FROM fresh) AND k NOT IN (SELECT y FROM hit), taken OR (open AND k IN (SELECT y FROM hit)) FROM s WHERE EXISTS (SELECT 1 FROM left_open))),
+ended AS (SELECT k, taken FROM state WHERE step = (SELECT max(step) FROM state)),
+chosen AS (SELECT y AS k, min(x) AS c FROM alike JOIN ended e ON x = e.k AND NOT e.taken JOIN ended f ON y = f.k AND f.taken GROUP BY y),
+centroids AS (SELECT t.v, t.j, t.t, c.t AS centroid FROM texts t LEFT JOIN chosen h ON t.k = h.k JOIN texts c ON c.k = coalesce(h.c, t.k))"""
+
     def cut(heights: str) -> str:
         return f"""{tree},
 heights(height) AS (VALUES {heights}),
@@ -258,6 +280,12 @@ placed AS (SELECT height, id, min(node) AS component FROM reach GROUP BY height,
         "average_edges": f"WITH {base} SELECT * FROM (SELECT a.id AS id_a, b.id AS id_b, {average} AS score FROM rows a JOIN rows b ON a.v = b.v AND a.j = b.j AND a.id < b.id) p WHERE score <= 0.35::DOUBLE",
         "average_cuts": f"{cut(', '.join(f'({h}::DOUBLE)' for h in HEIGHTS))} SELECT height, id AS sequence_id, component FROM placed",
         "lineages_average": f"{cut('(0.35::DOUBLE)')} {placed}",
+        "preclusters": f"WITH RECURSIVE {clustered} SELECT v || '/' || j AS genes, t AS cdr3, centroid FROM centroids",
+        "lineages_preclustered": f"""WITH RECURSIVE {clustered}, used AS (SELECT r.*, centroid FROM rows r JOIN centroids c ON r.v = c.v AND r.j = c.j AND r.cdr3 = c.t),
+e AS (SELECT a.id AS x, b.id AS y FROM used a JOIN used b ON {same} AND a.centroid = b.centroid WHERE {score} <= 0.35::DOUBLE),
+g AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+cc(id, l) AS (SELECT id, id FROM used UNION SELECT g.y, cc.l FROM cc JOIN g ON g.x = cc.id WHERE cc.l < g.y),
+placed AS (SELECT id, min(l) AS component FROM cc GROUP BY id) {placed}""",
         "essence_weights": f"WITH {base} SELECT v, j, cdr3, count(*) AS weight FROM rows GROUP BY v, j, cdr3",
         "canonical_mutations": f"WITH {base}, {mutated}, sizes AS (SELECT v, j, cdr3, least(count(*), 17) AS p FROM rows GROUP BY v, j, cdr3) SELECT e.v, e.j, e.cdr3, mutation, count(*) AS n FROM exploded e JOIN sizes s ON e.v = s.v AND e.j = s.j AND e.cdr3 = s.cdr3 GROUP BY e.v, e.j, e.cdr3, mutation HAVING 2 * count(*) >= any_value(p)",
         "cluster_numbers": f"{linked(base, same)} SELECT id AS sequence_id, dense_rank() OVER (ORDER BY component) - 1 AS cluster_no FROM placed",
