@@ -112,7 +112,7 @@ def indexed(k: int, at: int, until: int, shorter: int, more: int, rows: int, var
         yield "segments", k, at, until, 0, [[a + 1, b - a] for a, b in zip(cuts[:-1], cuts[1:], strict=True)], -((k - more) // 2), (k + more) // 2
 
 
-def index_plan(texts: DataFrame, cutoff: float, bonus: float, multiplier: float) -> DataFrame:
+def index_plan(texts: DataFrame, cutoff: float, bonus: float, multiplier: float, one_length: bool = False) -> DataFrame:
     """A row for each group, two lengths and level; some rows for each bucket, whatever the bucket's size."""
     letters = texts.select("grp", "n", F.posexplode(F.split("cdr3", "")).alias("at", "letter")).where("letter <> ''")
     counts = letters.groupBy("grp", "n", "at", "letter").agg(F.count("*").cast("double").alias("c"))
@@ -122,7 +122,7 @@ def index_plan(texts: DataFrame, cutoff: float, bonus: float, multiplier: float)
     sizes = texts.groupBy("grp", "n").agg(F.count("*").alias("rows"), F.max("m").alias("most"))
     own = staged(sizes.join(chances, ["grp", "n"]).join(ends, "grp"), "buckets")
     other = own.select("grp", F.col("n").alias("n_b"), F.col("most").alias("most_b"))
-    widest = (F.lit(float(cutoff)) * F.col("n") + F.lit(max(0.0, float(bonus))) * F.least("most", "most_b")) / F.lit(1.0 + float(multiplier)) + 1e-6
+    widest = F.lit(0) if one_length else (F.lit(float(cutoff)) * F.col("n") + F.lit(max(0.0, float(bonus))) * F.least("most", "most_b")) / F.lit(1.0 + float(multiplier)) + 1e-6
     met = own.join(other, "grp").where((F.col("n_b") >= F.col("n")) & (F.col("n_b") - F.col("n") <= widest))
 
     def plan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,14 +156,14 @@ def rare_first(kinds: DataFrame) -> DataFrame:
     return ranked.select("grp", "cdr3", F.col("_r.mutation").alias("muts"))
 
 
-def candidate_texts(kinds: DataFrame, cutoff: float, bonus: float, multiplier: float) -> tuple[DataFrame, DataFrame]:
+def candidate_texts(kinds: DataFrame, cutoff: float, bonus: float, multiplier: float, one_length: bool = False) -> tuple[DataFrame, DataFrame]:
     """All candidates, repeats included, and the pairs (grp, cdr3_a, cdr3_b) of different CDR3s that pass their level's bound.
 
     Every pair of kinds with different CDR3s within the cutoff is among them. cdr3_a is not longer than cdr3_b.
     """
     texts = kinds.where("cdr3 <> ''").groupBy("grp", "cdr3").agg(F.max(F.size("muts")).alias("m")).withColumn("n", F.length("cdr3"))
     texts = staged(texts, "texts")
-    plan = staged(index_plan(texts, cutoff, bonus, multiplier), "index-plan")
+    plan = staged(index_plan(texts, cutoff, bonus, multiplier, one_length), "index-plan")
     level = ["kind", "k", "m_from", "m_until", "need", "shorter", "more", "starts", "first", "last"]
     joined = lambda rows, n: rows.join(plan.select(F.col("grp").alias("_grp"), *level), (F.col("grp") == F.col("_grp")) & (F.col("n") == n) & (F.col("m") >= F.col("m_from"))).drop("_grp")
     short, long = joined(texts, F.col("shorter")), joined(texts, F.col("shorter") + F.col("more"))
@@ -196,18 +196,19 @@ def candidate_texts(kinds: DataFrame, cutoff: float, bonus: float, multiplier: f
     return met, met.where(near).select("grp", "cdr3_a", "cdr3_b").distinct()
 
 
-def near_edges(kinds: DataFrame, cutoff: float, bonus: float, multiplier: float, spanning: bool = False) -> DataFrame:
+def near_edges(kinds: DataFrame, cutoff: float, bonus: float, multiplier: float, spanning: bool = False, one_length: bool = False) -> DataFrame:
     """id_a, id_b, score of the pairs of kinds (id, grp, v, j, cdr3, muts) within the cutoff, once each.
 
     spanning leaves out pairs of one group, genes and CDR3 that a star of the others joins: they score the least whatever
-    they share, so components stay the same and a frequent sequence costs no square. Rows without CDR3 have no edges.
+    they share, so components stay the same and a frequent sequence costs no square. one_length leaves out pairs of different
+    lengths, which the default mode never links. Rows without CDR3 have no edges.
     """
     none = kinds.sparkSession.createDataFrame([], "id_a string, id_b string, score double")
     if cutoff < distance.LEAST_SCORE:
         return none
     rows = kinds.where("cdr3 <> ''").select("id", "grp", "v", "j", "cdr3", "muts")
     side = lambda c: rows.select(F.col("grp").alias(f"g_{c}"), *[F.col(x).alias(f"{x}_{c}") for x in ("id", "v", "j", "cdr3", "muts")])
-    texts = staged(candidate_texts(rows, cutoff, bonus, multiplier)[1].withColumnsRenamed({"cdr3_a": "_a", "cdr3_b": "_b"}), "near-texts")
+    texts = staged(candidate_texts(rows, cutoff, bonus, multiplier, one_length)[1].withColumnsRenamed({"cdr3_a": "_a", "cdr3_b": "_b"}), "near-texts")
     far = F.levenshtein("_a", "_b")
     # once for each pair of texts, however many rows have them
     apart = staged(texts.withColumn("apart", F.when(F.length("_a") == F.length("_b"), distance.hamming(F.col("_a"), F.col("_b"))).otherwise(far)), "distances")

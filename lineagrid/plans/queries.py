@@ -74,7 +74,7 @@ def light_chain_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pair_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = candidates.scored(candidates.candidate_pairs(rows(spark, sf_dir)), BONUS, MULTIPLIER)
+    scored = candidates.packed_scores(staged(rows(spark, sf_dir), "sequences"), BONUS, MULTIPLIER)
     return scored.groupBy(F.col("v_a").alias("v_gene"), F.col("j_a").alias("j_gene"), F.length("cdr3_a").alias("cdr3_length")).agg(
         F.count("*").alias("n_pairs"), F.sum("distance").alias("sum_hamming"), F.sum("shared").alias("sum_shared"), F.min("score").alias("min_score"), F.max("score").alias("max_score"), F.count_if(F.col("score") <= CUTOFF).alias("n_within")
     )
@@ -93,7 +93,7 @@ def length_band(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return candidates.edges_within_cutoff(candidates.candidate_pairs(rows(spark, sf_dir)), CUTOFF, BONUS, MULTIPLIER)
+    return near_edges(staged(rows(spark, sf_dir), "sequences"), CUTOFF, BONUS, MULTIPLIER, one_length=True)
 
 
 def average_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
