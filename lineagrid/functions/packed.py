@@ -7,11 +7,13 @@ rarer ones keep those as a list beside. Both give the numbers that the plain col
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import staged
 from . import distance
 
 #: Words for letters at most (longer sequences are compared letter by letter), and words for a group's mutations.
@@ -41,11 +43,39 @@ def common_bits(a: Column, b: Column, words: int) -> Column:
     return reduce(lambda x, y: x + y, [F.bit_count(F.get(a, F.lit(k)).bitwiseAND(F.get(b, F.lit(k)))) for k in range(words)])
 
 
-def with_words(rows: DataFrame, words: int = MUTATION_WORDS) -> tuple[DataFrame, int]:
-    """rows (grp, cdr3, muts ...) with `letters`, `bits` and `rest`, and the number of words for letters.
+@dataclass(frozen=True)
+class Words:
+    """Rows with `letters`, `bits` and `rest`, how many words those are, and whether each tells all that there is."""
 
-    A group's dictionary holds its 64 * words commonest mutations; all others stay in `rest`.
-    """
+    rows: DataFrame
+    letters: int
+    mutations: int
+    all_letters: bool
+    all_mutations: bool
+
+    def distance(self) -> Column:
+        """Hamming distance of the sides a and b for equal lengths, else Levenshtein.
+
+        Functions of arrays stay out where no row needs them: they would keep the whole join from being compiled.
+        """
+        fast = differing_letters(F.col("letters_a"), F.col("letters_b"), self.letters)
+        one_length = F.length("cdr3_a") == F.length("cdr3_b")
+        if self.all_letters:
+            return F.when(one_length, fast).otherwise(F.levenshtein("cdr3_a", "cdr3_b"))
+        both = F.col("letters_a").isNotNull() & F.col("letters_b").isNotNull()
+        return F.when(one_length & both, fast).otherwise(distance.edit_distance(F.col("cdr3_a"), F.col("cdr3_b")))
+
+    def shared(self) -> Column:
+        """Distinct mutations that the sides a and b share."""
+        common = common_bits(F.col("bits_a"), F.col("bits_b"), self.mutations)
+        if self.all_mutations:
+            return common
+        rare = (F.size("rest_a") > 0) & (F.size("rest_b") > 0)
+        return common + F.when(rare, distance.shared_mutations(F.col("rest_a"), F.col("rest_b"))).otherwise(0)
+
+
+def with_words(rows: DataFrame, words: int = MUTATION_WORDS) -> Words:
+    """rows (grp, cdr3, muts ...) as words. A group's dictionary holds its 64 * words commonest mutations, the rest is `rest`."""
     longest = rows.agg(F.max(F.length("cdr3"))).first()[0] or 0
     letters = max(1, min(MOST_LETTER_WORDS, -(-longest // 8)))
     often = rows.select("grp", F.explode("muts").alias("mutation")).groupBy("grp", "mutation").agg(F.count("*").alias("n"))
@@ -62,17 +92,6 @@ def with_words(rows: DataFrame, words: int = MUTATION_WORDS) -> tuple[DataFrame,
         return F.aggregate(inside, F.lit(0).cast("long"), lambda x, p: x.bitwiseOR(F.call_function("shiftleft", one, p % 64)))
 
     told = joined.withColumn("_at", at).select(*rows.columns, letter_words(F.col("cdr3"), letters).alias("letters"), F.array(*[word(k) for k in range(words)]).alias("bits"), F.array_except("muts", known).alias("rest"))
-    return told, letters
-
-
-def distance_of(letters: int) -> Column:
-    """Hamming distance of the sides a and b for equal lengths, else Levenshtein."""
-    both = F.col("letters_a").isNotNull() & F.col("letters_b").isNotNull()
-    plain = distance.edit_distance(F.col("cdr3_a"), F.col("cdr3_b"))
-    return F.when((F.length("cdr3_a") == F.length("cdr3_b")) & both, differing_letters(F.col("letters_a"), F.col("letters_b"), letters)).otherwise(plain)
-
-
-def shared_of(words: int = MUTATION_WORDS) -> Column:
-    """Distinct mutations that the sides a and b share."""
-    rare = (F.size("rest_a") > 0) & (F.size("rest_b") > 0)
-    return common_bits(F.col("bits_a"), F.col("bits_b"), words) + F.when(rare, distance.shared_mutations(F.col("rest_a"), F.col("rest_b"))).otherwise(0)
+    told = staged(told, "words")
+    odd = told.agg(F.max(F.col("letters").isNull() & F.col("cdr3").isNotNull()).alias("letters"), F.max(F.size("rest") > 0).alias("rest")).first()
+    return Words(told, letters, words, not odd["letters"], not odd["rest"])
