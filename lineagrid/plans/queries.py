@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import distance
 from ..operators import candidates, prepare
 from ..operators.dendrogram import average_tree, cut_tree
+from ..operators.essence_scores import essence_scores
 from ..operators.essences import canonical_mutations, cluster_numbers, essences, megaclusters, nearest_centers
 from ..operators.preclusters import identity_clusters
 from ..operators.segment_index import near_edges
@@ -154,6 +155,13 @@ def mega(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sizes.drop("megacluster")
 
 
+def scored_essences(spark: SparkSession, sf_dir: str, variant: str) -> DataFrame:
+    """Pairs of essences of one V family and J gene, each score to twelve decimals."""
+    family = F.array(F.regexp_extract("v", "^[^-*]*", 0), "j")
+    found = essence_scores(staged(rows(spark, sf_dir).withColumn("grp", family), "sequences"), variant, 0.35, BONUS, MULTIPLIER)
+    return found.withColumn("score", F.round("score", 12))
+
+
 def numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = lineages.components_of(lineages.staged(rows(spark, sf_dir), "sequences"), PLAIN)
     return cluster_numbers(placed, int(spark.conf.get("spark.sql.shuffle.partitions"))).select(F.col("id").alias("sequence_id"), "cluster_no")
@@ -189,6 +197,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "nearest_centers": centers,
         "megaclusters": mega,
         "cluster_numbers": numbers,
+        "essence_scores_canonical": lambda s, d: scored_essences(s, d, "canonical"),
+        "essence_scores_fast": lambda s, d: scored_essences(s, d, "fast"),
+        "essence_scores_full": lambda s, d: scored_essences(s, d, "full"),
     }
 
 
@@ -259,6 +270,18 @@ placed AS (SELECT height, id, min(node) AS component FROM reach GROUP BY height,
 
     placed = "SELECT id AS sequence_id, component, count(*) OVER (PARTITION BY component) AS lineage_size FROM placed"
     mutated = "exploded AS (SELECT v, j, cdr3, id, unnest(muts) AS mutation FROM (SELECT *, row_number() OVER (PARTITION BY v, j, cdr3 ORDER BY id) AS r FROM rows) q WHERE r <= 17)"
+    gene = lambda c: f"(7 * CAST(split_part(a.{c}, '*', 1) <> split_part(b.{c}, '*', 1) AS INT) + CAST(a.{c} <> b.{c} AS INT))"
+    basic = f"({apart} + {gene('v')} + {gene('j')})"
+    lengths = "abs(a.n - b.n) * 2.0::DOUBLE"
+    met = "split_part(a.v, '-', 1) = split_part(b.v, '-', 1) AND a.j = b.j AND (a.v, a.j, a.cdr3) < (b.v, b.j, b.cdr3)"
+    named = "a.v AS v_a, a.j AS j_a, a.cdr3 AS cdr3_a, b.v AS v_b, b.j AS j_b, b.cdr3 AS cdr3_b"
+    canonical_lists = f"{mutated}, sizes AS (SELECT v, j, cdr3, n, least(count(*), 17) AS p FROM rows GROUP BY v, j, cdr3, n), often AS (SELECT e.v, e.j, e.cdr3, mutation FROM exploded e JOIN sizes s ON e.v = s.v AND e.j = s.j AND e.cdr3 = s.cdr3 GROUP BY e.v, e.j, e.cdr3, mutation HAVING 2 * count(*) >= any_value(p)), lists AS (SELECT s.v, s.j, s.cdr3, s.n, list(mutation) FILTER (WHERE mutation IS NOT NULL) AS muts FROM sizes s LEFT JOIN often o ON s.v = o.v AND s.j = o.j AND s.cdr3 = o.cdr3 GROUP BY s.v, s.j, s.cdr3, s.n)"
+    fast = f"(greatest({basic} - 0.35::DOUBLE * coalesce({shared}, 0), 0.001::DOUBLE) + {lengths}) / least(a.n, b.n)"
+
+    def essence_sql(score: str) -> str:
+        return f"WITH {base}, {canonical_lists} SELECT * REPLACE (round(score, 12) AS score) FROM (SELECT {named}, {score} AS score FROM lists a JOIN lists b ON {met}) q WHERE score < 0.35::DOUBLE"
+
+    full = f"WITH {base}, lists AS (SELECT v, j, cdr3, n, list_sort(muts) AS muts, count(*) AS w FROM rows GROUP BY ALL), pairs AS (SELECT {named}, least(a.n, b.n) AS shorter, {lengths} AS penalty, {basic} AS basic, least({basic} / 0.35::DOUBLE - 0.001::DOUBLE / 0.35::DOUBLE, {shared}) * a.w * b.w AS part, a.w * b.w AS w FROM lists a JOIN lists b ON {met}), means AS (SELECT v_a, j_a, cdr3_a, v_b, j_b, cdr3_b, (basic - 0.35::DOUBLE * (sum(part) / sum(w)) + penalty) / shorter AS score FROM pairs GROUP BY v_a, j_a, cdr3_a, v_b, j_b, cdr3_b, basic, penalty, shorter) SELECT * REPLACE (round(score, 12) AS score) FROM means WHERE score < 0.35::DOUBLE"
     near = "ranked AS (SELECT a.v, a.j, a.cdr3, b.cdr3 AS center, (levenshtein(a.cdr3, b.cdr3) + abs(a.n - b.n) * 2.0::DOUBLE) / least(a.n, b.n) AS distance FROM essences a JOIN essences b ON a.v = b.v AND a.j = b.j AND b.weight >= 3), nearest AS (SELECT v, j, cdr3, min(center) AS center FROM (SELECT *, min(distance) OVER (PARTITION BY v, j, cdr3) AS best FROM ranked) q WHERE distance = best GROUP BY v, j, cdr3)"
     return {
         "airr_view": f"WITH {view} SELECT * FROM airr",
@@ -289,6 +312,9 @@ placed AS (SELECT id, min(l) AS component FROM cc GROUP BY id) {placed}""",
         "essence_weights": f"WITH {base} SELECT v, j, cdr3, count(*) AS weight FROM rows GROUP BY v, j, cdr3",
         "canonical_mutations": f"WITH {base}, {mutated}, sizes AS (SELECT v, j, cdr3, least(count(*), 17) AS p FROM rows GROUP BY v, j, cdr3) SELECT e.v, e.j, e.cdr3, mutation, count(*) AS n FROM exploded e JOIN sizes s ON e.v = s.v AND e.j = s.j AND e.cdr3 = s.cdr3 GROUP BY e.v, e.j, e.cdr3, mutation HAVING 2 * count(*) >= any_value(p)",
         "cluster_numbers": f"{linked(base, same)} SELECT id AS sequence_id, dense_rank() OVER (ORDER BY component) - 1 AS cluster_no FROM placed",
+        "essence_scores_canonical": essence_sql(f"CASE WHEN {lengths} >= least(a.n, b.n) * 0.35::DOUBLE THEN 0.35::DOUBLE ELSE {fast} END"),
+        "essence_scores_fast": essence_sql(fast),
+        "essence_scores_full": full,
         "megaclusters": f"WITH RECURSIVE {base}, essences AS (SELECT v, j, cdr3, n, count(*) AS weight FROM rows GROUP BY v, j, cdr3, n), {near}, c AS (SELECT v, j, cdr3, n FROM essences WHERE weight >= 3), g AS (SELECT a.v, a.j, a.cdr3 AS x, b.cdr3 AS y FROM c a JOIN c b ON a.v = b.v AND a.j = b.j AND a.cdr3 <> b.cdr3 WHERE (levenshtein(a.cdr3, b.cdr3) + abs(a.n - b.n) * 2.0::DOUBLE) / least(a.n, b.n) < 0.4::DOUBLE), cc(v, j, id, l) AS (SELECT v, j, cdr3, cdr3 FROM c UNION SELECT g.v, g.j, g.y, cc.l FROM cc JOIN g ON g.v = cc.v AND g.j = cc.j AND g.x = cc.id WHERE cc.l < g.y), named AS (SELECT v, j, id, min(l) AS l FROM cc GROUP BY v, j, id) SELECT n.v, n.j, count(*) AS n_essences, min(p.cdr3) AS least_cdr3, max(p.cdr3) AS largest_cdr3 FROM nearest p JOIN named n ON n.v = p.v AND n.j = p.j AND n.id = p.center GROUP BY n.v, n.j, n.l",
         "nearest_centers": f"WITH {base}, essences AS (SELECT v, j, cdr3, n, count(*) AS weight FROM rows GROUP BY v, j, cdr3, n), ranked AS (SELECT a.v, a.j, a.cdr3, b.cdr3 AS center, (levenshtein(a.cdr3, b.cdr3) + abs(a.n - b.n) * 2.0::DOUBLE) / least(a.n, b.n) AS distance FROM essences a JOIN essences b ON a.v = b.v AND a.j = b.j AND b.weight >= 3) SELECT v, j, cdr3, min(center) AS center, distance FROM (SELECT *, min(distance) OVER (PARTITION BY v, j, cdr3) AS best FROM ranked) q WHERE distance = best GROUP BY v, j, cdr3, distance",
     }

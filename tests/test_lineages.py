@@ -185,3 +185,24 @@ def test_capped_buckets_are_an_option(spark):
     rows = [(f"s{k}", "V", "J", "CARAAA", None) for k in range(6)]
     assert len(partition(lineages(spark, rows))) == 1
     assert len(partition(lineages(spark, rows, max_pairs_per_bucket=2))) == 4  # pairs (0, 1) and (0, 2)
+
+
+def test_one_tree_cut_at_several_heights(spark):
+    """Cuts of one tree equal assignments of their own; parents are never lower, and roots stay."""
+    from lineagrid.operators.dendrogram import average_tree, cut_tree
+    from lineagrid.operators.prepare import prepared_rows
+
+    rows = sample(21, 60, lengths=(7, 8))
+    found, _ = prepared_rows(table(spark, rows), LineageOptions())
+    tree = average_tree(found, 0.5, 0.35, 2.0, 4).cache()
+    heights = {r["node"]: (r["parent"], r["height"]) for r in tree.collect()}
+    assert all(p not in heights or heights[p][1] >= h - 1e-9 for p, h in heights.values())
+    sizes = []
+    for height in (0.05, 0.2, 0.5):
+        groups = {}
+        for r in cut_tree(found, tree, height).collect():
+            groups.setdefault(r["component"], set()).add(r["node"])
+        assert {frozenset(g) for g in groups.values()} == average_linkage(rows, height, lambda a, b: a[1:3] == b[1:3])
+        assert all(min(g) == name for name, g in groups.items())
+        sizes.append(len(groups))
+    assert sizes == sorted(sizes, reverse=True) and sizes[0] > sizes[2]
