@@ -37,6 +37,9 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--allelic-variant-threshold", type=float, default=0.35)
     p.add_argument("--min-seqs-for-allelic-variants", type=int, default=200)
     p.add_argument("--restrict-to-igh", action=flag, default=False)
+    p.add_argument("--precluster", action=flag, default=False, help="group sequences by identity before distances")
+    p.add_argument("--preclustering-threshold", type=float, default=0.65)
+    p.add_argument("--preclustering-key", help="column that preclustering compares; the CDR3 by default")
     p.add_argument("--mnemonic-names", action=flag, default=True)
     p.add_argument("--name-seed", type=int)
     p.add_argument("--word-list", help="file of words for mnemonic names")
