@@ -230,7 +230,7 @@ def decode_ids(df: DataFrame, path: str, column: str = "ids", output: str = "tex
         decode = vocabulary(path).decode
         for batch in batches:
             for part in parts_of(batch, f"c{at}"):
-                found = [decode([i for i in ids if i is not None]) if None in ids else decode(ids) for ids in part.column(f"c{at}").to_pylist()]
+                found = [decode(ids) for ids in id_lists(part.column(f"c{at}"))]
                 yield part.set_column(at, f"c{at}", pa.array(found, pa.string()))
 
     schema = numbered_schema(others.schema)
@@ -238,6 +238,16 @@ def decode_ids(df: DataFrame, path: str, column: str = "ids", output: str = "tex
     return plain.mapInArrow(decoded, T.StructType(schema.fields)).toDF(*[output if k == at else n for k, n in enumerate(names)])
 
 
+def id_lists(column: pa.ListArray) -> Iterator[list[int]]:
+    """The ids of each row without its nulls."""
+    if column.values.null_count or column.null_count:
+        yield from ([i for i in ids or () if i is not None] for ids in column.to_pylist())
+        return
+    values, ends = column.values.to_numpy(), column.offsets.to_numpy().tolist()
+    for a, b in zip(ends[:-1], ends[1:], strict=True):
+        yield values[a:b].tolist()
+
+
 def parts_of(batch: pa.RecordBatch, column: str, most: int = 500_000) -> Iterator[pa.RecordBatch]:
     """Cuts a batch between rows so that `column` holds at most about `most` ids in each."""
     sizes = pa.compute.list_value_length(batch.column(column)).to_numpy(zero_copy_only=False)
