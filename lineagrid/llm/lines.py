@@ -7,7 +7,8 @@ can go on elsewhere; their counts (two rows a partition at most) are added up an
 
 Null and empty texts are one empty line; keys shorter than min_chars code points are never dropped; a text of any length
 is one row and is split whole. Rows of one doc_id count as one document, whatever their texts; rows equal in doc_id and
-text get the same bitmap. A null doc_id is an id like any other. The operator hands all columns on, whatever their names;
+text get the same bitmap: a task hashes such a row once (of the last REMEMBERED different rows it saw), and a position is
+gathered once, so a row that makes up a third of the table neither fills one partition nor one list. A null doc_id is an id like any other. The operator hands all columns on, whatever their names;
 an empty table gives no rows.
 """
 
@@ -31,6 +32,8 @@ DOC = ["doc_id", "_text"]
 DROP, WAITS, COUNT = 0, 1, 2
 #: Rows of an undecided line that a task holds.
 WAITING = 100_000
+#: Different rows that a task remembers, to hash repeated ones once.
+REMEMBERED = 100_000
 
 
 def line_key(line: bytes) -> bytes:
@@ -39,13 +42,20 @@ def line_key(line: bytes) -> bytes:
 
 
 def line_hashes(docs: DataFrame, min_chars: int) -> DataFrame:
-    """h1, h2, doc_id, _text (the text's hash) and pos of every line whose key is long enough."""
+    """h1, h2, doc_id, _text (the text's hash) and pos of every line whose key is long enough; a task leaves repeated rows out."""
     schema = f"h1 long, h2 long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, _text long, pos int"
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
         for batch in slices(batches, "text"):
             digests, rows, places = [], [], []
-            for row, text in enumerate(batch.column("text")):
+            keys = zip(batch.column("doc_id").to_pylist(), batch.column("_text").to_pylist(), strict=True)
+            for row, (key, text) in enumerate(zip(keys, batch.column("text"), strict=True)):
+                if key in seen:
+                    continue
+                if len(seen) >= REMEMBERED:
+                    seen.clear()
+                seen.add(key)
                 for place, line in enumerate((text.as_buffer().to_pybytes() if text.is_valid else b"").split(b"\n")):
                     key = line_key(line)
                     if len(key) >= min_chars and (min_chars < 2 or len(key.decode("utf-8", "replace")) >= min_chars):
@@ -141,7 +151,7 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, partit
     need(docs, "doc_id", "text")
     hashes = staged(line_hashes(docs, min_chars), "line-hashes")
     n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dropped = frequent_lines(hashes, min_docs, n).groupBy(*DOC).agg(F.collect_list("pos").alias("dropped"))
+    dropped = frequent_lines(hashes, min_docs, n).groupBy(*DOC).agg(F.collect_set("pos").alias("dropped"))
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -202,6 +202,17 @@ def test_texts_of_one_doc_id_are_one_document(spark):
             assert sorted(r["doc_id"] for r in found) == [0] + [1] * 12 + [5]
 
 
+def test_lines_of_one_row_many_times(spark):
+    other = spark.createDataFrame([(1, "hot\nown"), (2, "HOT"), (3, None)], "doc_id long, text string")
+    df = spark.range(100_000).select(F.lit(0).cast("long").alias("doc_id"), F.lit("hot\n\nhot").alias("text")).unionByName(other)
+    hashes = lines.staged(lines.line_hashes(df, 1), "h")
+    assert hashes.count() <= 2 * df.rdd.getNumPartitions() + 3
+    maps = {r["doc_id"]: r["keep_bitmap"] for r in lines.keep_bitmaps(df, min_docs=3).collect()}
+    assert lines.kept_lines(maps[0], 3).tolist() == [False, True, False] and set(maps) == {0, 1, 2}
+    got = lines.line_digest(df, min_docs=3).groupBy("doc_id", "n_lines", "n_dropped").count().collect()
+    assert {tuple(r) for r in got} == {(0, 3, 2, 100_000), (1, 2, 1, 1), (2, 1, 1, 1), (3, 1, 0, 1)}
+
+
 def test_lines_edge_cases(spark):
     df = spark.createDataFrame([(None, "a\nb"), (1, "a"), (1, "a"), (2, "a")], "doc_id long, text string")
     got = sorted((r["doc_id"] or 0, r["n_lines"], r["n_dropped"]) for r in lines.line_digest(df, min_docs=3).collect())
