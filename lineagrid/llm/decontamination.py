@@ -5,9 +5,12 @@ consecutive item words is a pattern, an item of fewer words is one pattern; the
 text is scanned once however many patterns there are, and word numbers map back to byte offsets of the original.
 
 An automaton has at most `automaton_nodes` nodes (about 100 bytes each in a Python worker). A benchmark with more is cut
-into groups of windows, however long its items are; the groups are read one at a time, and for each the documents are
-scanned and the hits of those that have any are stored under a hash of the text, so that no more than one automaton is
-alive anywhere. The hits are then added up and joined to the documents. The rows are the same.
+into groups of windows, however long its items are. The corpus is then read once for all groups: hashes of each text's
+word windows are looked up in a Bloom filter of the benchmark's windows, and texts that can hold one are stored, each
+different text once. The groups are read one at a time and scan these candidates only; hits are stored under a hash of
+the text, so that no more than one automaton is alive anywhere. The hits are then added up and joined to the documents.
+The filter has FILTER_BITS bits a window, MOST_BITS at most; a fuller filter lets more texts through, the rows are the
+same.
 
 Null and empty texts have no words and hit nothing; a text of any length is one row and scanned whole; items without
 words have no window. Repeated items with one id count as one; an item with a null id hits words like any other and is
@@ -28,11 +31,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import need, numbered, numbered_schema, quoted, slices, staged, unused
+from .wordbytes import column_bytes, mixed, powers, word_hashes, word_spans
 
 #: The columns that a scan adds.
 ADDED = ("n_words", "n_hit", "items", "spans")
 #: Nodes of one automaton: about 100 MB of each Python worker.
 AUTOMATON_NODES = 1 << 20
+#: The window filter: bits for each window, bits in all (64 MB of each Python worker), places looked at.
+FILTER_BITS, MOST_BITS, PROBES = 64, 1 << 29, 4
 
 
 def normalising_table() -> bytes:
@@ -45,6 +51,8 @@ def normalising_table() -> bytes:
 
 
 NORMAL = normalising_table()
+NORMAL_BYTES = np.frombuffer(NORMAL, np.uint8)
+IS_BLANK = np.arange(256) == 0x20
 
 
 def normal_words(text: bytes) -> list[bytes]:
@@ -127,9 +135,74 @@ RANGES = "array<struct<start:long,end:long>>"
 RANGE = pa.struct([("start", pa.int64()), ("end", pa.int64())])
 
 
-def group_hits(docs: DataFrame, group: list, window: int) -> DataFrame:
-    """_h1, _h2, ranges (of words) and items of each different text that windows of the group occur in, stored."""
-    shared = docs.sparkSession.sparkContext.broadcast(Benchmark(group, window))
+def window_hashes(column: pa.Array, lengths: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each length: hashes of the texts' windows of so many words, the text's row, and how many words that text has."""
+    data, offsets = column_bytes(column)
+    data = NORMAL_BYTES[data]
+    starts, ends, first = word_spans(data, offsets, IS_BLANK)
+    up, down = powers(len(starts))
+    total = np.concatenate([[np.uint64(0)], np.cumsum(word_hashes(data, starts, ends) * up[: len(starts)], dtype=np.uint64)])
+    row = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    for n in lengths:
+        at = np.flatnonzero(np.arange(len(starts)) + n <= first[row + 1])
+        yield mixed((total[at + n] - total[at]) * down[at] + np.uint64(n)), row[at], np.diff(first)[row[at]]
+
+
+def probe(hashes: np.ndarray, k: int, bits: int) -> np.ndarray:
+    """The k-th place of each hash in a filter; bits is a power of two."""
+    return mixed(hashes + np.uint64(k) * ((hashes >> np.uint64(32)) | np.uint64(1))) & np.uint64(bits - 1)
+
+
+def window_filter(benchmark: DataFrame, window: int, most_bits: int = MOST_BITS) -> tuple[np.ndarray, list[int]]:
+    """The filter's 64-bit words, and the lengths that the benchmark's windows have. Its size is bounded by most_bits."""
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            for n, (h, _, words) in zip(range(1, window + 1), window_hashes(batch.column("text"), list(range(1, window + 1))), strict=True):
+                h = h[words == n] if n < window else h  # an item of fewer words is one window
+                if len(h):
+                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(len(h), n, np.int32))], names=["h", "n"])
+
+    hashes = staged(benchmark.select("text").where("text is not null").mapInArrow(hashed, "h long, n int").distinct(), "benchmark-windows")
+    counts = {r["n"]: r["count"] for r in hashes.groupBy("n").count().collect()}
+    bits = min(most_bits, max(64, 1 << (FILTER_BITS * sum(counts.values()) - 1).bit_length()))
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(PROBES):
+                at = probe(batch.column("h").to_numpy().view(np.uint64), k, bits)
+                yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).view(np.int64)), pa.array((np.uint64(1) << (at & np.uint64(63))).view(np.int64))], names=["word", "bit"])
+
+    filled = hashes.select("h").mapInArrow(placed, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    words = np.zeros(bits // 64, np.uint64)
+    words[filled.column("word").to_numpy()] = filled.column("bits").to_numpy().view(np.uint64)
+    return words, sorted(counts)
+
+
+def candidates(docs: DataFrame, benchmark: DataFrame, window: int, most_bits: int = MOST_BITS) -> DataFrame:
+    """_h1, _h2 and text of each different text that can hold a window of the benchmark, stored; one pass over docs."""
+    words, lengths = window_filter(benchmark, window, most_bits)
+    shared, bits = docs.sparkSession.sparkContext.broadcast(words), 64 * len(words)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            can = np.zeros(batch.num_rows, bool)
+            for hashes, row, _ in window_hashes(batch.column("text"), lengths):
+                left = np.arange(len(hashes))
+                for k in range(PROBES):
+                    at = probe(hashes[left], k, bits)
+                    left = left[(shared.value[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) != 0]
+                can[row[left]] = True
+            if can.any():
+                yield batch.filter(pa.array(can))
+
+    able = docs.where("text is not null").select(*text_keys("text"), "text").mapInArrow(rows, "_h1 long, _h2 long, text string")
+    return staged(able.dropDuplicates(["_h1", "_h2"]), "candidates")
+
+
+def group_hits(texts: DataFrame, group: list, window: int) -> DataFrame:
+    """_h1, _h2, ranges (of words) and items of each of the (different) texts that windows of the group occur in, stored."""
+    shared = texts.sparkSession.sparkContext.broadcast(Benchmark(group, window))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -138,8 +211,7 @@ def group_hits(docs: DataFrame, group: list, window: int) -> DataFrame:
             if some:
                 yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(some)) for c in ("_h1", "_h2")] + [pa.array([word_ranges(told[k][0]) for k in some], pa.list_(RANGE)), pa.array([told[k][1] for k in some], pa.list_(pa.string()))], names=["_h1", "_h2", "ranges", "items"])
 
-    found = docs.where("text is not null").select(*text_keys("text"), "text").mapInArrow(rows, f"_h1 long, _h2 long, ranges {RANGES}, items array<string>")
-    stored = staged(found.dropDuplicates(["_h1", "_h2"]), "group-hits")
+    stored = staged(texts.mapInArrow(rows, f"_h1 long, _h2 long, ranges {RANGES}, items array<string>"), "group-hits")
     shared.destroy()
     return stored
 
@@ -164,9 +236,10 @@ def scan_documents(docs: DataFrame, benchmark: DataFrame, window: int = 13, id_c
     if more is None:
         shared = docs.sparkSession.sparkContext.broadcast(Benchmark(group, window))
     else:
-        hits = group_hits(docs, group, window)
+        texts = candidates(docs, benchmark, window)
+        hits = group_hits(texts, group, window)
         while more is not None:
-            hits = hits.unionByName(group_hits(docs, more, window))
+            hits = hits.unionByName(group_hits(texts, more, window))
             more = next(groups, None)
         hits = hits.groupBy("_h1", "_h2").agg(F.flatten(F.collect_list("ranges")).alias("ranges"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
         keyed = plain.select("*", *text_keys(text, ("_k1", "_k2")))

@@ -318,6 +318,27 @@ def test_groups_of_windows_are_bounded(spark):
     assert len(windows) == len(set(windows)) == 488 + 1 and {n for _, n in windows} == {"1", "2"}
 
 
+def test_candidates_hold_every_hit_and_few_others(spark, docs):
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    expected = brute.contamination(ROWS, ITEMS)
+    hit = {t for i, t in ROWS if expected[i][1]}
+    texts = {t for _, t in ROWS if t is not None}
+    found = [r["text"] for r in decontamination.candidates(docs, items, 13).collect()]
+    assert len(found) == len(set(found)) and hit <= set(found) and len(found) <= len(hit) + 1 < len(texts)
+    full = {r["text"] for r in decontamination.candidates(docs, items, 13, most_bits=64).collect()}  # lets others through, loses none
+    assert hit <= full and len(full) > len(found)
+    none = spark.createDataFrame([(1, None), (2, "?")], "item_id long, text string")
+    assert decontamination.candidates(docs, none, 13).count() == 0
+
+
+def test_window_hashes_tell_rows_and_lengths():
+    texts = ["a b c", None, "", "A, b", "x a b"]
+    (one, row, words), (two, row2, _) = decontamination.window_hashes(pa.array(texts), [1, 2])
+    assert row.tolist() == [0, 0, 0, 3, 3, 4, 4, 4] and words.tolist() == [3, 3, 3, 2, 2, 3, 3, 3]
+    assert row2.tolist() == [0, 0, 3, 4, 4] and two[0] == two[2] == two[4] and len(set(two.tolist())) == 3
+    assert one[0] == one[3] == one[6] and not set(one.tolist()) & set(two.tolist())
+
+
 @pytest.mark.parametrize("nodes", [1 << 20, 100])
 def test_items_without_id_hit_words_and_have_no_name(spark, nodes):
     text = " ".join(f"w{k}" for k in range(20))
