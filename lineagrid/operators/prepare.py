@@ -69,8 +69,8 @@ def group_key(keys: Keys, options: LineageOptions) -> Column:
     return F.array(*[quoted(n).cast("string") for n in names]) if names else F.array().cast("array<string>")
 
 
-def compared_rows(df: DataFrame, keys: Keys, options: LineageOptions) -> DataFrame:
-    """id, grp, v, j, cdr3, muts, igh (and identity, where preclustering asks for it): the only columns that later steps read."""
+def compared_rows(df: DataFrame, keys: Keys, options: LineageOptions, *more: Column) -> DataFrame:
+    """id, grp, v, j, cdr3, muts, igh (identity, where preclustering asks for it, and `more`): the only columns that later steps read."""
     if options.precluster and options.preclustering_key is not None and options.preclustering_key not in df.columns:
         raise ValueError(f"Missing column: {options.preclustering_key}")
     identity = [quoted(options.preclustering_key or keys.cdr3).cast("string").alias("identity")] * options.precluster
@@ -84,6 +84,7 @@ def compared_rows(df: DataFrame, keys: Keys, options: LineageOptions) -> DataFra
         mutation_list(quoted(keys.mutations), df.schema[keys.mutations].dataType, options.mutation_delimiter).alias("muts"),
         igh.alias("igh"),
         *identity,
+        *more,
     )
 
 
@@ -108,9 +109,10 @@ def masked_rows(rows: DataFrame, variants: DataFrame) -> DataFrame:
     return joined.withColumn("muts", F.array_except("muts", F.coalesce("_allelic", F.array().cast("array<string>")))).drop("_v", "_allelic")
 
 
-def prepared_rows(df: DataFrame, options: LineageOptions) -> tuple[DataFrame, Keys]:
+def prepared_rows(df: DataFrame, options: LineageOptions, *more: Column) -> tuple[DataFrame, Keys]:
+    """The rows that are compared, with the columns `more` of df, and the keys."""
     keys = resolve_keys(df, options)
-    rows = compared_rows(df, keys, options)
+    rows = compared_rows(df, keys, options, *more)
     if options.ignore_likely_allelic_variants:
         seen = rows.where("igh") if keys.locus else rows
         rows = masked_rows(rows, allelic_variants(seen, options.allelic_variant_threshold, options.min_seqs_for_allelic_variants))

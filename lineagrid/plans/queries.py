@@ -122,6 +122,15 @@ def progressive(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
     return found.select(F.col("id").alias("sequence_id"), "component", "lineage_size")
 
 
+def grown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of other loci arrive when those of IGH are placed: the same lineages as all rows at once have."""
+    options, all_rows = LineageOptions.of(PLAIN, mnemonic_names=False), airr(spark, sf_dir)
+    first = staged(lineages.assign_lineages(all_rows.where("locus = 'IGH'"), options), "assigned")
+    both = first.drop("lineage_size").unionByName(all_rows.where("locus <> 'IGH'"), allowMissingColumns=True)
+    found = lineages.lineage_table(both, options, F.col("lineage"))
+    return found.select(F.col("id").alias("sequence_id"), "component", "lineage_size")
+
+
 def lineage_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = lineages.assign_lineages(airr(spark, sf_dir), LineageOptions.of(PLAIN, mnemonic_names=False))
     return found.groupBy("lineage_size").agg(F.count("*").alias("n_sequences"), F.count_distinct("lineage").alias("n_lineages"))
@@ -183,6 +192,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "lineages_masked": lambda s, d: progressive(s, d, ignore_likely_allelic_variants=True, allelic_variant_threshold=0.05),
         "lineages_no_grouping": lambda s, d: progressive(s, d, group_by_v=False, group_by_j=False),
         "lineages_igh_only": lambda s, d: progressive(s, d, restrict_to_igh=True),
+        "lineages_grown": grown,
         "lineage_sizes": lineage_sizes,
         "lineage_digest": lineage_digest,
         "lineage_names_random": lambda s, d: lineage_names(s, d, False),
@@ -295,6 +305,7 @@ placed AS (SELECT height, id, min(node) AS component FROM reach GROUP BY height,
         "length_band_pairs": f"WITH {base} SELECT a.v AS v_gene, a.j AS j_gene, b.n - a.n AS length_difference, count(*) AS n_pairs, sum(levenshtein(a.cdr3, b.cdr3))::BIGINT AS sum_levenshtein FROM rows a JOIN rows b ON a.v = b.v AND a.j = b.j AND (a.n < b.n OR (a.n = b.n AND a.id < b.id)) AND b.n - a.n <= floor((0.35::DOUBLE * b.n + 0.35::DOUBLE * len(b.muts)) / 2.0::DOUBLE) GROUP BY a.v, a.j, b.n - a.n",
         "edges_within_cutoff": f"WITH {base} SELECT * FROM (SELECT a.id AS id_a, b.id AS id_b, {score} AS score FROM rows a JOIN rows b ON {same}) p WHERE score <= 0.35::DOUBLE",
         "lineages_progressive": f"{linked(base, same)} {placed}",
+        "lineages_grown": f"{linked(base, same)} {placed}",
         "lineages_masked": f"{linked(masked, same)} {placed}",
         "lineages_no_grouping": f"{linked(base, bands)} {placed}",
         "lineages_igh_only": f"{linked(base, same, IGH_ONLY)} {placed}",

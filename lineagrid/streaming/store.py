@@ -2,8 +2,8 @@
 
 The table lies in parts, store/data/part_batch=<n>/part_family=<f>/part_bucket=<b>; all rows of a group are in one part. A
 manifest for each batch says which batch's files hold each part. A batch reads the parts of its own groups by the manifest
-before it, assigns the groups it has rows of anew, copies the other groups of those parts, and writes its own files and
-manifest. Nothing is changed in place, so a batch that is replayed after a failure gives the same again, and readers of
+before it, adds its rows to the groups it has rows of (comparing them with those and with each other, not those among
+themselves), copies the other groups of those parts, and writes its own files and manifest. Nothing is changed in place, so a batch that is replayed after a failure gives the same again, and readers of
 an older manifest are undisturbed; `forget` removes what no manifest that is kept refers to.
 """
 
@@ -17,7 +17,7 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from ..operators.prepare import Keys, group_key, quoted, resolve_keys
 from ..options import LineageOptions
-from ..plans.lineages import assign_lineages
+from ..plans.lineages import assign_lineages, grown_lineages
 from ..storage import dropped, staged
 
 PARTS = ("part_family", "part_bucket")
@@ -85,7 +85,7 @@ def placed(df: DataFrame, keys: Keys, options: LineageOptions, buckets: int) ->
 
 
 def assign_batch(batch: DataFrame, store: str, number: int, options: LineageOptions, buckets: int = 64) -> None:
-    """Adds a batch's rows to the store under its number and assigns the groups it touches anew."""
+    """Adds a batch's rows to the store under its number and renews the lineages of the groups it touches."""
     spark = batch.sparkSession
     if taken := {*PARTS, "part_batch"} & {c.lower() for c in batch.columns}:
         raise ValueError(f"the store needs these column names for itself: {', '.join(sorted(taken))}")
@@ -96,14 +96,14 @@ def assign_batch(batch: DataFrame, store: str, number: int, options: LineageOpti
     touched = [f"part_family={r[0]}/part_bucket={r[1]}" for r in placed(new, keys, options, buckets).select(*PARTS).distinct().toLocalIterator()]
     old = kept.read({p: before[p] for p in touched if p in before})
     rest = None
-    again = new
+    assigned = None
     if old is not None:
         key: Column = group_key(keys, options)
         groups = new.select(key.alias("__grp")).distinct()
         marked = old.withColumn("__grp", group_key(resolve_keys(old, options), options))
-        again = marked.join(groups, "__grp", "left_semi").drop("__grp", options.lineage_field, options.lineage_size_field).unionByName(new, allowMissingColumns=True)
+        assigned = grown_lineages(marked.join(groups, "__grp", "left_semi").drop("__grp"), new, options)
         rest = marked.join(groups, "__grp", "left_anti").drop("__grp")
-    assigned = assign_lineages(again, options)
+    assigned = assign_lineages(new, options) if assigned is None else assigned
     assigned = assigned.withColumn(options.lineage_size_field, F.col(options.lineage_size_field).cast("long"))
     if rest is not None:
         assigned = assigned.unionByName(rest, allowMissingColumns=True)
