@@ -4,7 +4,8 @@ Windows are matched by winnowed hashes; no suffix is sorted and there are no com
 Anchors are places that any window of `length` bytes picks by its own bytes, so that equal windows pick the same place.
 The anchors' seeds (the bytes at the place, a 64-bit hash) and contexts (all that an anchor's windows cover, 40 bits of a
 hash) go in packed blocks to the cell of their seed, about `cell_bytes` of text each; Spark sorts the blocks of a task by
-cell, and a worker holds one cell. That tells for most anchors at once that all their windows are repeats (a smaller
+cell, and a worker holds one cell. A flush is cut into at most `fan` blocks: where there are more cells, it is cut by
+neighbouring cells first and tasks cut what they gather of these again, so that blocks grow with the text alone. That tells for most anchors at once that all their windows are repeats (a smaller
 document has the same surroundings) or that none is (no one else has the seed). For the few seeds with differing
 surroundings the windows themselves are compared: surroundings of small groups by seed, those of hot seeds window by
 window, each by 96 bits of two hashes.
@@ -41,6 +42,10 @@ SETTLED = 8
 FLUSH_BYTES = 48 << 20
 #: Text bytes whose anchors a worker judges at once: about 24 bytes of anchors for 16 of text, some four times over.
 CELL_BYTES = 64 << 20
+#: Blocks that a flush is cut into at most; 2048 of them are some 130 GB of text, two cuttings some 270 TB.
+FAN = 2048
+#: Text bytes for an anchor, about.
+ANCHOR_BYTES = 16
 #: The multiplier of the second hash of hot windows.
 SECOND = np.uint64(0xD1342543DE82EF95)
 
@@ -101,8 +106,49 @@ def runs_of(*columns: np.ndarray) -> np.ndarray:
     return new
 
 
-def shipped(docs: DataFrame, length: int, parts: int, hot_contexts: int, most_equal: int, flush_bytes: int) -> DataFrame:
-    """r, kind, blob: packed anchors (kind 0) and anchors that are settled already (kind 1) for cell r of `parts`."""
+def steps(cells: int, fan: int) -> list[int]:
+    """How many neighbouring cells stand together after each cutting, down to one; even cuttings of at most `fan` pieces."""
+    cuts = 1
+    while fan**cuts < cells:
+        cuts += 1
+    each = next(f for f in range(1, fan + 1) if f**cuts >= cells)
+    return [-(-cells // each**k) for k in range(1, cuts + 1)]
+
+
+def home_cells(seed: np.ndarray, cells: int) -> np.ndarray:
+    return (mixed(seed ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(cells)).astype(np.int64)
+
+
+def cut_anchors(seed: np.ndarray, context: np.ndarray, doc: np.ndarray, part: np.ndarray, hot: np.ndarray, homes: np.ndarray, cells: int, step: int) -> Iterator[tuple[int, bytes]]:
+    """Packed anchors for each run of `step` cells that is touched; a hot seed's anchors are dealt by their contexts.
+
+    Hot seeds are named to all cells that their anchors go to, and those of `homes` to the cell that others send them to.
+    """
+    cell = home_cells(seed, cells)
+    cell[hot] = (cell[hot] + (mixed(context[hot]) % np.uint64(cells)).astype(np.int64)) % cells
+    to = cell // step
+    names, at = np.r_[seed[hot], homes], np.r_[to[hot], home_cells(homes, cells) // step]
+    order = np.lexsort((names, at))
+    order = order[runs_of(at[order], names[order])]
+    names, at = names[order], at[order]
+    order = np.argsort(to, kind="stable")
+    touched = np.union1d(to, at)
+    bounds = np.stack([np.searchsorted(x, touched, side) for x in (to[order], at) for side in ("left", "right")])
+    for p, (a, b, c, d) in zip(touched.tolist(), bounds.T.tolist(), strict=True):
+        chosen = order[a:b]
+        yield p, pack_rows(seed[chosen], context[chosen], doc[chosen], part[chosen], names[c:d])
+
+
+BLOCKS = "r int, kind int, blob binary"
+
+
+def block_batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    r, kind, blob = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(r, pa.int32()), pa.array(kind, pa.int32()), pa.array(blob, pa.binary())], names=["r", "kind", "blob"])
+
+
+def shipped(docs: DataFrame, length: int, cells: int, step: int, hot_contexts: int, most_equal: int, flush_bytes: int) -> DataFrame:
+    """r, kind, blob: packed anchors (kind 0) of cells r * step and on, and anchors that are settled already (kind 1, any r)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
@@ -121,26 +167,13 @@ def shipped(docs: DataFrame, length: int, parts: int, hot_contexts: int, most_eq
             later = (counts[group] > most_equal) & (doc > doc[first[group]])
             out: list[tuple[int, int, bytes]] = []
             if later.any():
-                out.append((int(mixed(np.array([doc[0] + 7919 * flushes]).astype(np.uint64))[0] % np.uint64(parts)), 1, pack_settled(doc[later], text[later], anchor_ids(seed[later], context[later]) | np.uint64(FULL))))
+                out.append((int(mixed(np.array([doc[0] + 7919 * flushes]).astype(np.uint64))[0] % np.uint64(cells)), 1, pack_settled(doc[later], text[later], anchor_ids(seed[later], context[later]) | np.uint64(FULL))))
                 seed, context, doc, text = seed[~later], context[~later], doc[~later], text[~later]
-            new_seed = runs_of(seed)
-            of = np.cumsum(new_seed) - 1
+            of = np.cumsum(runs_of(seed)) - 1
             contexts = np.bincount(of, weights=runs_of(seed, context))
             hot = contexts[of] > hot_contexts
-            home = (mixed(seed ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(parts)).astype(np.int64)
-            r = np.where(hot, (home + (mixed(context) % np.uint64(parts)).astype(np.int64)) % parts, home)
-            hot_at = {(int(p), int(s)) for p, s in zip(np.r_[r[hot], home[hot]].tolist(), np.r_[seed[hot], seed[hot]].tolist(), strict=True)}
-            hot_in: dict[int, list[int]] = {}
-            for p, s in hot_at:
-                hot_in.setdefault(p, []).append(s)
-            order = np.argsort(r, kind="stable")
-            bounds = np.searchsorted(r[order], np.arange(parts + 1))
-            for p in range(parts):
-                chosen = order[bounds[p] : bounds[p + 1]]
-                if len(chosen) or p in hot_in:
-                    out.append((p, 0, pack_rows(seed[chosen], context[chosen], doc[chosen], text[chosen], np.array(sorted(hot_in.get(p, [])), np.uint64))))
-            a, b, c = zip(*out, strict=True)
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(c, pa.binary())], names=["r", "kind", "blob"])
+            out += [(p, 0, blob) for p, blob in cut_anchors(seed, context, doc, text, hot, np.unique(seed[hot]), cells, step)]
+            return block_batch(out)
 
         for batch in slices(batches, "text"):
             data, offsets = column_bytes(batch.column("text"))
@@ -154,7 +187,49 @@ def shipped(docs: DataFrame, length: int, parts: int, hot_contexts: int, most_eq
         if held:
             yield flush()
 
-    return docs.where("doc_id is not null").mapInArrow(rows, "r int, kind int, blob binary")
+    return docs.where("doc_id is not null").mapInArrow(rows, BLOCKS)
+
+
+def cut_again(sent: DataFrame, cells: int, coarse: int, fine: int, parts: int, flush_bytes: int) -> DataFrame:
+    """Blocks of `coarse` neighbouring cells as blocks of `fine`; a task gathers those of one run up to a flush's anchors."""
+    runs, most = -(-cells // coarse), max(1, flush_bytes // ANCHOR_BYTES)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        n, run = 0, None
+
+        def flush() -> pa.RecordBatch:
+            seed, context, doc, part, hot, homes = (np.concatenate(c) for c in zip(*held, strict=True))
+            homes = np.unique(homes[home_cells(homes, cells) // coarse == run])
+            return block_batch([(p, 0, blob) for p, blob in cut_anchors(seed, context, doc, part, hot, homes, cells, fine)])
+
+        for batch in batches:
+            for r, kind, blob in zip(*(batch.column(c).to_pylist() for c in ("r", "kind", "blob")), strict=True):
+                if kind:
+                    yield block_batch([(r, kind, blob)])
+                    continue
+                if held and (r != run or n >= most):
+                    yield flush()
+                    held, n = [], 0
+                seed, context, doc, part, names = unpack_rows(blob)
+                # a seed that its flush knew to be hot was dealt by contexts: the block names it
+                held.append((seed, context, doc, part, np.isin(seed, names), names))
+                n, run = n + len(seed), r
+        if held:
+            yield flush()
+
+    tasks = max(1, parts // runs)  # the blocks of a run go to as many tasks as there are for it
+    to = F.when(F.col("kind") == 0, F.col("r") * tasks + F.pmod(F.crc32("blob"), F.lit(tasks))).otherwise(F.col("r"))
+    return sent.repartitionById(parts, F.pmod(to, F.lit(parts)).cast("int")).sortWithinPartitions("kind", "r").mapInArrow(rows, BLOCKS)
+
+
+def cell_blocks(docs: DataFrame, length: int, cells: int, parts: int, fan: int, hot_contexts: int, most_equal: int, flush_bytes: int) -> DataFrame:
+    """r, kind, blob: packed anchors by single cells, and settled ones."""
+    levels = steps(cells, fan)
+    sent = shipped(docs, length, cells, levels[0], hot_contexts, most_equal, flush_bytes)
+    for coarse, fine in zip(levels, levels[1:], strict=False):
+        sent = cut_again(sent, cells, coarse, fine, parts, flush_bytes)
+    return sent
 
 
 def judged(sent: DataFrame, cells: int, parts: int, hot_contexts: int) -> DataFrame:
@@ -360,7 +435,7 @@ def removed_bytes(data: np.ndarray, offsets: np.ndarray, length: int, codes: pa.
     return np.cumsum(mark[:-1]) > 0
 
 
-def repeats(docs: DataFrame, length: int = 50, hot_contexts: int = HOT_CONTEXTS, most_equal: int = SETTLED, flush_bytes: int = FLUSH_BYTES, cell_bytes: int = CELL_BYTES) -> DataFrame:
+def repeats(docs: DataFrame, length: int = 50, hot_contexts: int = HOT_CONTEXTS, most_equal: int = SETTLED, flush_bytes: int = FLUSH_BYTES, cell_bytes: int = CELL_BYTES, fan: int = FAN) -> DataFrame:
     """doc_id, n_bytes, spans (removed byte ranges) and kept (remaining bytes) of every row."""
     need(docs, "doc_id", "text")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -369,7 +444,7 @@ def repeats(docs: DataFrame, length: int = 50, hot_contexts: int = HOT_CONTEXTS,
     cells = max(parts, -(-size // cell_bytes))
     same = (F.col("doc_id") == F.col("doc")) & (F.col("part") == F.col("of"))
     by_text = lambda df, *lists: df.withColumnRenamed("part", "of").groupBy("doc", "of").agg(*[F.collect_list(c).alias(f"{c}s") for c in lists]).hint("shuffle_hash")
-    told = by_text(judged(shipped(docs, length, cells, hot_contexts, most_equal, flush_bytes), cells, parts, hot_contexts), "code")
+    told = by_text(judged(cell_blocks(docs, length, cells, parts, fan, hot_contexts, most_equal, flush_bytes), cells, parts, hot_contexts), "code")
     # one shuffle of the texts (and of the judgements) serves both uses of `joined`: the plan is one query and reuses it
     joined = docs.repartition(parts, "doc_id", "part").join(told, same, "left").drop("doc", "of")
     late = by_text(repeated_windows(open_windows(joined, length), length, parts), "id", "mask")
