@@ -6,13 +6,15 @@ capacities; Spark then ranks the pieces of each length (counts for each length a
 row number inside a bucket) and looks the rank up in the plan. No length is collected into one task.
 
 Nulls and empty texts are texts without tokens (the end id alone makes them a piece of length 1; with no end id they
-give no piece). Repeated rows are packed each. Other columns of the input are ignored. An empty table gives no rows.
+give no piece). A text of any length is encoded whole and cut into pieces, one row in a worker's memory. Repeated rows are
+packed each, and spread: `copy` counts the rows of a doc_id in a batch. Other columns of the input are ignored. An empty
+table gives no rows.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections import defaultdict, deque
+from collections import Counter, defaultdict, deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +27,8 @@ from .tokens import encoder
 
 #: Pieces to a bucket, over all lengths; and the least number of buckets, so that one common length is dealt out too.
 BUCKET_ROWS, LEAST_BUCKETS = 50_000, 32
+#: What orders pieces of one length.
+ORDER = ["doc_id", "piece", "copy"]
 
 
 class CapacityTree:
@@ -96,25 +100,31 @@ def plan(histogram: dict[int, int], capacity: int) -> np.ndarray:
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int | None, with_ids: bool = False) -> DataFrame:
-    """The documents' token ids, cut where longer than capacity: doc_id, piece, start, length, ids_crc32 (and ids)."""
+    """The documents' token ids, cut where longer than capacity: doc_id, copy, piece, start, length, ids_crc32 (and ids).
+
+    copy is 0 but for rows of a doc_id that stood before in the same batch.
+    """
     need(docs, "doc_id", "text")
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, copy int, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
     end = b"" if end_id is None else int(end_id).to_bytes(4, "little")
     step = 4 * capacity
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer_path).encode
-        for batch in slices(batches, "text"):
-            rows = []
-            for doc, ids in zip(batch.column("doc_id").to_pylist(), encode(texts(batch)), strict=True):
-                ids += end
-                for k, at in enumerate(range(0, len(ids), step)):
-                    part = ids[at : at + step]
-                    rows.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part)) + (part,) * with_ids)
-            if rows:
-                kinds = [batch.schema.field("doc_id").type, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-                names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=False)], names=names[: len(rows[0])])
+        for whole in batches:
+            seen: Counter = Counter()
+            for batch in slices([whole], "text"):
+                rows = []
+                for doc, ids in zip(batch.column("doc_id").to_pylist(), encode(texts(batch)), strict=True):
+                    ids += end
+                    for k, at in enumerate(range(0, len(ids), step)):
+                        part = ids[at : at + step]
+                        rows.append((doc, seen[doc], k, at // 4, len(part) // 4, zlib.crc32(part)) + (part,) * with_ids)
+                    seen[doc] += 1
+                if rows:
+                    kinds = [batch.schema.field("doc_id").type, pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+                    names = ["doc_id", "copy", "piece", "start", "length", "ids_crc32", "ids"]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=False)], names=names[: len(rows[0])])
 
     return docs.select("doc_id", "text").mapInArrow(cut, schema)
 
@@ -154,4 +164,4 @@ def pack(items: DataFrame, capacity: int, order: list[str]) -> DataFrame:
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int | None = 0, with_ids: bool = False) -> DataFrame:
     """Tokenises and packs documents: a row for each piece with its sequence_id and offset (and its ids, as bytes)."""
     cut = staged(pieces(docs, tokenizer_path, capacity, end_id, with_ids), "pieces")
-    return pack(cut, capacity, ["doc_id", "piece"])
+    return pack(cut, capacity, ORDER).drop("copy")
