@@ -10,7 +10,9 @@ A file holds one shard, all numbers little-endian:
 A block's width is the number of bits that the `percentile` of its values (less the minimum) needs; values that need
 more are its exceptions. Shards of a partition follow one another, and so do partitions, in ascending doc_id order.
 
-Null and empty texts are documents of the end id alone. A null doc_id is stored as -2^63. Repeated rows are stored each.
+Null and empty texts are documents of the end id alone; a text of any length is one document, encoded whole. A null doc_id
+is stored as -2^63 and the number of ids with its highest bit set, so that a true -2^63 stays itself. Repeated rows are stored
+each, and spread over partitions. Extra columns are ignored; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ from .tokens import encoder
 MAGIC = b"PFB1"
 HEAD = struct.Struct("<4sIIQIQII")
 BLOCK_HEAD = 7
-NO_ID = -(1 << 63)
+NO_ID, NULL_BIT = -(1 << 63), 1 << 63
 
 
 def bit_widths(values: np.ndarray) -> np.ndarray:
@@ -105,16 +107,16 @@ def decode_blocks(data: bytes, starts: np.ndarray, n_ids: int, block: int) -> np
     return (out + low[:, None]).reshape(-1)[:n_ids]
 
 
-def encode_shard(partition: int, shard: int, before: int, doc_ids: list[int], documents: list[bytes], block: int, percentile: float) -> bytes:
+def encode_shard(partition: int, shard: int, before: int, doc_ids: list[int | None], documents: list[bytes], block: int, percentile: float) -> bytes:
     ids = np.frombuffer(b"".join(documents), "<u4")
     data, starts = encode_blocks(ids, block, percentile)
     head = HEAD.pack(MAGIC, partition, shard, before, len(doc_ids), len(ids), len(starts) - 1, block)
-    sizes = np.array([len(d) // 4 for d in documents], "<u8")
-    return b"".join([head, np.array(doc_ids, "<i8").tobytes(), sizes.tobytes(), starts.astype("<u4").tobytes(), data])
+    sizes = np.array([len(d) // 4 | (NULL_BIT if i is None else 0) for i, d in zip(doc_ids, documents, strict=True)], "<u8")
+    return b"".join([head, np.array([NO_ID if i is None else i for i in doc_ids], "<i8").tobytes(), sizes.tobytes(), starts.astype("<u4").tobytes(), data])
 
 
-def decode_shard(content: bytes) -> tuple[int, int, np.ndarray, np.ndarray, np.ndarray]:
-    """partition, ids before the shard in its partition, doc_ids, ids of each document, ids."""
+def decode_shard(content: bytes) -> tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """partition, ids before the shard in its partition, doc_ids, which of them are null, ids of each document, ids."""
     magic, partition, _, before, n, m, k, block = HEAD.unpack_from(content)
     if magic != MAGIC:
         raise ValueError("not a token file")
@@ -123,7 +125,9 @@ def decode_shard(content: bytes) -> tuple[int, int, np.ndarray, np.ndarray, np.n
     sizes = np.frombuffer(content, "<u8", n, at := at + 8 * n)
     starts = np.frombuffer(content, "<u4", k + 1, at := at + 8 * n)
     at += 4 * (k + 1)
-    return partition, before, doc_ids, sizes.astype(np.int64), decode_blocks(content[at : at + int(starts[-1])], starts, m, block)
+    absent = sizes >> np.uint64(63) == 1
+    sizes = (sizes & np.uint64(NULL_BIT - 1)).astype(np.int64)
+    return partition, before, doc_ids, absent, sizes, decode_blocks(content[at : at + int(starts[-1])], starts, m, block)
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: int | None = 1, shard_ids: int = 2 << 20, block: int = 256, percentile: float = 99.0, partitions: int | None = None) -> None:
@@ -145,15 +149,16 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
                 if documents and held + len(ids) // 4 > shard_ids:
                     yield close()
                     doc_ids, documents, held, before, shard = [], [], 0, before + held, shard + 1
-                doc_ids.append(NO_ID if doc is None else doc)
+                doc_ids.append(doc)
                 documents.append(ids + end)
                 held += len(documents[-1]) // 4
         if documents:
             yield close()
 
-    # The range's ends come from a sample of doc_ids; a third of all rows with one doc_id still spreads by the text's hash.
-    keyed = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("_h"))
-    ordered = keyed.repartitionByRange(n, "doc_id", "_h").sortWithinPartitions("doc_id", "_h").select("doc_id", "text")
+    # The range's ends come from a sample of the rows; a third of all rows with one doc_id spreads by the text's hash, and
+    # rows that are alike by their number.
+    keyed = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("_h"), F.monotonically_increasing_id().alias("_row"))
+    ordered = keyed.repartitionByRange(n, "doc_id", "_h", "_row").sortWithinPartitions("doc_id", "_h").select("doc_id", "text")
     # Spark's text writer puts a string's bytes into the file as they are, and a line feed behind: binary files on any store.
     ordered.mapInArrow(shards, "shard binary").select(F.col("shard").cast("string")).write.option("maxRecordsPerFile", 1).option("compression", "none").text(path)
 
@@ -164,10 +169,10 @@ def read_token_files(spark: SparkSession, path: str, with_ids: bool = False) ->
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column("content"):
-                partition, before, doc_ids, sizes, ids = decode_shard(content.as_buffer().to_pybytes())
+                partition, before, doc_ids, absent, sizes, ids = decode_shard(content.as_buffer().to_pybytes())
                 data, ends = ids.astype("<u4").tobytes(), np.cumsum(sizes)
                 parts = [data[4 * (e - s) : 4 * e] for s, e in zip(sizes.tolist(), ends.tolist(), strict=True)]
-                columns = [pa.array(doc_ids, mask=doc_ids == NO_ID), pa.array(np.full(len(doc_ids), partition, np.int32)), pa.array(before + ends - sizes), pa.array(sizes), pa.array([zlib.crc32(p) for p in parts], pa.int64())]
+                columns = [pa.array(doc_ids, mask=absent), pa.array(np.full(len(doc_ids), partition, np.int32)), pa.array(before + ends - sizes), pa.array(sizes), pa.array([zlib.crc32(p) for p in parts], pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns + [pa.array(parts, pa.binary())] * with_ids, names=["doc_id", "partition", "local_start", "n_tokens", "ids_crc32", "ids"][: 5 + with_ids])
 
     schema = "doc_id long, partition int, local_start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids
