@@ -124,9 +124,9 @@ def cut_anchors(seed: np.ndarray, context: np.ndarray, doc: np.ndarray, part: np
 
     Hot seeds are named to all cells that their anchors go to, and those of `homes` to the cell that others send them to.
     """
-    cell = home_cells(seed, cells)
-    cell[hot] = (cell[hot] + (mixed(context[hot]) % np.uint64(cells)).astype(np.int64)) % cells
-    to = cell // step
+    to = home_cells(seed, cells)
+    to[hot] = (to[hot] + (mixed(context[hot]) % np.uint64(cells)).astype(np.int64)) % cells
+    to //= step
     names, at = np.r_[seed[hot], homes], np.r_[to[hot], home_cells(homes, cells) // step]
     order = np.lexsort((names, at))
     order = order[runs_of(at[order], names[order])]
@@ -156,6 +156,7 @@ def shipped(docs: DataFrame, length: int, cells: int, step: int, hot_contexts: i
 
         def flush() -> pa.RecordBatch:
             seed, context, doc, text = (np.concatenate(c) for c in zip(*held, strict=True))
+            held.clear()
             context &= ~np.uint64(0xFFFFFF)
             order = np.lexsort((text, doc, context, seed))
             order = order[runs_of(seed[order], context[order], doc[order], text[order])]
@@ -183,7 +184,7 @@ def shipped(docs: DataFrame, length: int, cells: int, step: int, hot_contexts: i
             size += len(data)
             if size >= flush_bytes and held:
                 yield flush()
-                held, size, flushes = [], 0, flushes + 1
+                size, flushes = 0, flushes + 1
         if held:
             yield flush()
 
@@ -200,6 +201,7 @@ def cut_again(sent: DataFrame, cells: int, coarse: int, fine: int, parts: int, f
 
         def flush() -> pa.RecordBatch:
             seed, context, doc, part, hot, homes = (np.concatenate(c) for c in zip(*held, strict=True))
+            held.clear()
             homes = np.unique(homes[home_cells(homes, cells) // coarse == run])
             return block_batch([(p, 0, blob) for p, blob in cut_anchors(seed, context, doc, part, hot, homes, cells, fine)])
 
@@ -210,7 +212,7 @@ def cut_again(sent: DataFrame, cells: int, coarse: int, fine: int, parts: int, f
                     continue
                 if held and (r != run or n >= most):
                     yield flush()
-                    held, n = [], 0
+                    n = 0
                 seed, context, doc, part, names = unpack_rows(blob)
                 # a seed that its flush knew to be hot was dealt by contexts: the block names it
                 held.append((seed, context, doc, part, np.isin(seed, names), names))
