@@ -13,6 +13,10 @@ from pyspark.sql import types as T
 from ..storage import fresh_path, shared_folder, staged  # noqa: F401
 
 
+#: Bytes of text that numpy works on at a time where a byte takes some forty in working arrays.
+SMALL = 1 << 19
+
+
 def need(df: DataFrame, *columns: str) -> None:
     if missing := [c for c in columns if c not in df.columns]:
         raise ValueError(f"missing column: {', '.join(missing)}")
@@ -43,7 +47,10 @@ def numbered_schema(schema: T.StructType, *names: str) -> T.StructType:
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
-    """Cuts batches between rows so that `column` holds at most about most_bytes in each; one longer row stands alone."""
+    """Cuts batches between rows so that `column` holds at most about most_bytes in each; one longer row stands alone.
+
+    Memory that Arrow holds for later is given back at the end: a worker lives on through other stages.
+    """
     for batch in batches:
         sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
         first, held = 0, 0
@@ -54,6 +61,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 2 <
             held += n
         if first < batch.num_rows:
             yield batch.slice(first)
+    pa.default_memory_pool().release_unused()
 
 
 def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:

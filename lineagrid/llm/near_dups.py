@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from .common import need, slices, staged, unused
+from .common import SMALL, need, slices, staged, unused
 from .wordbytes import column_bytes, mixed, shingle_sets
 
 BUCKET_BITS, MANTISSA_BITS = 7, 10
@@ -123,7 +123,7 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
     """doc_id, n_shingles, s1, s2 (the set's 128-bit hash), own and regs of every row."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SMALL):
             sets = shingle_sets(*column_bytes(batch.column("text")), words)
             regs, own = sketch(sets)
             ids = np.frombuffer(b"".join([xxhash.xxh3_128_digest(s.tobytes()) for s in sets]), "<i8").reshape(-1, 2)
@@ -135,6 +135,12 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(rows, "doc_id long, n_shingles long, s1 long, s2 long, own int, regs binary")
 
 
+def text_sets(column: pa.Array, words: int) -> list[np.ndarray]:
+    """shingle_sets of a column, some texts at a time."""
+    parts = slices([pa.RecordBatch.from_arrays([column], names=["text"])], "text", SMALL)
+    return [s for part in parts for s in shingle_sets(*column_bytes(part.column("text")), words)]
+
+
 def matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, REGISTERS)
 
@@ -158,11 +164,11 @@ def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
     both = both.join(texts, both["pivot"] == texts["_id"]).select("pivot", "doc_id", "text_a", F.col("text").alias("text_b"))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text_a"):
+        for batch in slices(batches, "text_a", SMALL):
             pivot, doc = batch.column("pivot").to_numpy(), batch.column("doc_id").to_numpy()
             ours = shingle_sets(*column_bytes(batch.column("text_a")), words)
             new = np.flatnonzero(np.r_[True, pivot[1:] != pivot[:-1]]) if len(pivot) else np.zeros(0, np.int64)
-            theirs = shingle_sets(*column_bytes(batch.column("text_b").take(pa.array(new))), words)
+            theirs = text_sets(batch.column("text_b").take(pa.array(new)), words)
             which = np.searchsorted(new, np.arange(len(pivot)), side="right") - 1
             texts_b = batch.column("text_b")
             ok = np.array([linked(ours[i], theirs[w], percent) or (new[w] != i and texts_b[int(new[w])] != texts_b[i] and linked(ours[i], shingle_sets(*column_bytes(texts_b.slice(i, 1)), words)[0], percent)) for i, w in enumerate(which.tolist())], bool)
@@ -236,7 +242,7 @@ def residual_links(members: DataFrame, classes: DataFrame, texts: DataFrame, wor
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in groups(batches, "g"):
-            sets = shingle_sets(*column_bytes(table.column("text").combine_chunks()), words)
+            sets = text_sets(table.column("text").combine_chunks(), words)
             regs, own = sketch(sets)
             ids, comp = table.column("doc_id").to_pylist(), table.column("component").to_pylist()
             root = {c: c for c in comp}

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import need, numbered, numbered_schema, slices, staged, unused
+from .common import SMALL, need, numbered, numbered_schema, slices, staged, unused
 from .wordbytes import IS_SPACE, LOWER, column_bytes, mixed, word_hashes, word_spans
 
 FEATURES = (
@@ -206,7 +206,7 @@ def featured(docs: DataFrame, name: str = "x") -> DataFrame:
     at = docs.columns.index("text")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, f"c{at}"):
+        for batch in slices(batches, f"c{at}", SMALL):
             x = statistics(batch.column(at))
             values = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1]), pa.int32()), pa.array(x.reshape(-1)))
             yield pa.RecordBatch.from_arrays([*batch.columns, values], names=[*batch.schema.names, "x"])
