@@ -9,6 +9,7 @@ from test_segment_index import SCHEMA, all_edges, sequences
 
 from lineagrid.functions import distance
 from lineagrid.operators import pair_blocks
+from lineagrid.operators.essences import nearest_centers
 from lineagrid.operators.segment_index import near_edges
 
 
@@ -51,3 +52,29 @@ def test_edges_store_no_pairs(spark):
     assert found.agg(F.count("*")).collect()[0][0] > 10_000
     made = [os.path.join(at, f) for name in set(os.listdir(folder)) - before for at, _, files in os.walk(os.path.join(folder, name)) for f in files]
     assert sum(map(os.path.getsize, made)) < 100_000
+
+
+@pytest.mark.parametrize("block", [5, 1000])
+def test_nearest_in_blocks(spark, monkeypatch, block):
+    monkeypatch.setattr(pair_blocks, "FEW", 3)
+    monkeypatch.setattr(pair_blocks, "MANY", 16)
+    dice = random.Random(6)
+    texts = lambda n, sizes: sorted({"C" + "".join(dice.choice("ACé") for _ in range(dice.choice(sizes))) + "W" for _ in range(n)})
+    light, heavy = texts(40, (0, 4, 5, 7, 70)), texts(30, (0, 5, 6, 66))
+    asked = [("g", t, at) for t in light for at in {len(h) for h in heavy}]
+    found = pair_blocks.nearest_in_blocks(spark.createDataFrame(asked, "genes string, cdr3 string, at int"), spark.createDataFrame([(g, h) for g in "gx" for h in heavy], "genes string, center string"), block)
+    best = {}
+    for r in found.collect():
+        key, told = (r["cdr3"], len(r["center"])), (r["edits"], r["center"])
+        best[key] = min(best.get(key, told), told)
+    assert best == {(t, at): min((distance.levenshtein(t, h), h) for h in heavy if len(h) == at) for _, t, at in asked}
+
+
+def test_centers_are_compared_without_rows(spark):
+    """25 million pairs of essences and centers in one group; each was a row of a join before."""
+    dice = random.Random(7)
+    text = lambda: "CAR" + "".join(dice.choice("ACDEFGHIKLMNPQRS") for _ in range(9)) + "DYW"
+    weighted = spark.createDataFrame(sorted({("V", "J", text(), 1 + 4 * (k % 2)) for k in range(10_000)}), "v string, j string, cdr3 string, weight long").dropDuplicates(["cdr3"])
+    plan = nearest_centers(weighted)
+    assert "levenshtein" not in plan._jdf.queryExecution().toString()
+    assert plan.count() == weighted.count()
