@@ -9,7 +9,7 @@ from test_segment_index import SCHEMA, all_edges, sequences
 
 from lineagrid.functions import distance
 from lineagrid.operators import pair_blocks
-from lineagrid.operators.essences import nearest_centers
+from lineagrid.operators.essences import merged_centers, nearest_centers
 from lineagrid.operators.segment_index import near_edges
 
 
@@ -78,3 +78,26 @@ def test_centers_are_compared_without_rows(spark):
     plan = nearest_centers(weighted)
     assert "levenshtein" not in plan._jdf.queryExecution().toString()
     assert plan.count() == weighted.count()
+
+
+def test_merged_centers_are_compared_without_rows(spark):
+    dice = random.Random(9)
+    made = sorted({(dice.choice((None, "V")), "J", "CAR" + "".join(dice.choice("ACDE") for _ in range(dice.choice((4, 5, 6)))) + "W", 5) for _ in range(60)}, key=str)
+    found = merged_centers(spark.createDataFrame(made, "v string, j string, cdr3 string, weight long"), multiplier=0.5, closer_than=0.25)
+    assert "levenshtein" not in found._jdf.queryExecution().toString()
+    root = {m[:3]: m[:3] for m in made}
+
+    def find(x):
+        return x if root[x] == x else find(root[x])
+
+    for a in root:
+        for b in root:
+            x, y = a[2], b[2]
+            if a[0] == b[0] and x != y and (distance.levenshtein(x, y) + abs(len(x) - len(y)) * 0.5) / min(len(x), len(y)) < 0.25:
+                root[find(a)] = find(b)
+    expected, got = {}, {}
+    for m in root:
+        expected.setdefault(find(m), set()).add(m)
+    for r in found.collect():
+        got.setdefault(r["megacluster"], set()).add((r["v"], r["j"], r["center"]))
+    assert sorted(map(sorted, map(lambda s: map(str, s), got.values()))) == sorted(map(sorted, map(lambda s: map(str, s), expected.values()))) and 3 < len(got) < len(root)
