@@ -49,24 +49,43 @@ def check_vocabulary(config: dict) -> None:
         raise ValueError("the vocabulary is not plain byte-level BPE")
 
 
-class Vocabulary:
-    """Tokens as bytes, when each is made, and which two tokens may stand side by side."""
+class Tokens:
+    """Tokens as bytes: all that decoding needs, some megabytes."""
 
     def __init__(self, path: str):
-        import ahocorasick
-        from tokenizers import Tokenizer
+        self.read(path)
 
+    def read(self, path: str) -> dict:
         with open(path, encoding="utf-8") as f:
             config = json.load(f)
         check_vocabulary(config)
-        byte_of = {letter: b for b, letter in byte_letters().items()}
+        self.byte_of = {letter: b for b, letter in byte_letters().items()}
         ids: dict[str, int] = config["model"]["vocab"]
-        added = {t["content"]: t["id"] for t in config.get("added_tokens", [])}
-        as_bytes = lambda token: bytes(byte_of[c] for c in token) if all(c in byte_of for c in token) else token.encode()
+        self.added = {t["content"]: t["id"] for t in config.get("added_tokens", [])}
+        as_bytes = lambda token: bytes(self.byte_of[c] for c in token) if all(c in self.byte_of for c in token) else token.encode()
         #: token id -> bytes, for decoding; a number without token is empty
-        self.bytes_of = [b""] * (1 + max([*ids.values(), *added.values()], default=-1))
-        for token, i in [*ids.items(), *added.items()]:
+        self.bytes_of = [b""] * (1 + max([*ids.values(), *self.added.values()], default=-1))
+        for token, i in [*ids.items(), *self.added.items()]:
             self.bytes_of[i] = as_bytes(token)
+        return config
+
+    def decode(self, ids: list[int]) -> str:
+        """The bytes of all tokens as a text; what is not UTF-8 becomes U+FFFD, numbers without token are left out."""
+        n = len(self.bytes_of)
+        if ids and not (0 <= min(ids) and max(ids) < n):
+            ids = [i for i in ids if 0 <= i < n]
+        return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
+
+
+class Vocabulary(Tokens):
+    """Tokens as bytes, when each is made, and which two tokens may stand side by side."""
+
+    def __init__(self, path: str):
+        import ahocorasick
+        from tokenizers import Tokenizer
+
+        config = self.read(path)
+        ids, added, byte_of = config["model"]["vocab"], self.added, self.byte_of
         self.rank: dict[tuple[int, int], int] = {}
         self.made = {i: -1 for i in ids.values() if len(self.bytes_of[i]) == 1}
         parts: dict[int, tuple[int, int]] = {}
@@ -100,7 +119,6 @@ class Vocabulary:
             self.exact[key] = token
         self.automaton.make_automaton()
         self.sizes = [len(b) for b in self.bytes_of]
-        self.added = added
         self.split = re.compile("(" + "|".join(re.escape(t) for t in sorted(added, key=len, reverse=True)) + ")").split if added else None
         self.pre, self.letters = Tokenizer.from_file(path).pre_tokenizer, str.maketrans({letter: chr(b) for letter, b in byte_of.items()})
         self.alike: set[str] = set()
@@ -165,13 +183,6 @@ class Vocabulary:
             out += [self.added[part].to_bytes(4, "little")] if k % 2 else map(look, self.cut(part))
         return b"".join(out)
 
-    def decode(self, ids: list[int]) -> str:
-        """The bytes of all tokens as a text; what is not UTF-8 becomes U+FFFD, numbers without token are left out."""
-        n = len(self.bytes_of)
-        if ids and not (0 <= min(ids) and max(ids) < n):
-            ids = [i for i in ids if 0 <= i < n]
-        return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
-
 
 class Pieces(dict):
     """Piece -> its ids as bytes; a missing piece is encoded when it is asked for."""
@@ -194,6 +205,12 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
+@lru_cache(maxsize=2)
+def tokens(path: str) -> Tokens:
+    """Likewise, where nothing is encoded."""
+    return Tokens(path)
+
+
 def replaced(df: DataFrame, name: str) -> DataFrame:
     """df without columns called `name`, in upper or lower case."""
     return df.select(*quoted(*[c for c in df.columns if c.lower() != name.lower()]))
@@ -227,11 +244,12 @@ def decode_ids(df: DataFrame, path: str, column: str = "ids", output: str = "tex
     at = names.index(column)
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decode = vocabulary(path).decode
+        decode = tokens(path).decode
         for batch in batches:
             for part in parts_of(batch, f"c{at}"):
                 found = [decode(ids) for ids in id_lists(part.column(f"c{at}"))]
                 yield part.set_column(at, f"c{at}", pa.array(found, pa.string()))
+        pa.default_memory_pool().release_unused()
 
     schema = numbered_schema(others.schema)
     schema.fields[at] = T.StructField(f"c{at}", T.StringType())
@@ -248,7 +266,7 @@ def id_lists(column: pa.ListArray) -> Iterator[list[int]]:
         yield values[a:b].tolist()
 
 
-def parts_of(batch: pa.RecordBatch, column: str, most: int = 500_000) -> Iterator[pa.RecordBatch]:
+def parts_of(batch: pa.RecordBatch, column: str, most: int = 250_000) -> Iterator[pa.RecordBatch]:
     """Cuts a batch between rows so that `column` holds at most about `most` ids in each."""
     sizes = pa.compute.list_value_length(batch.column(column)).to_numpy(zero_copy_only=False)
     first, held = 0, 0

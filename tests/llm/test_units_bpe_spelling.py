@@ -132,6 +132,14 @@ def test_a_full_memory_changes_nothing(monkeypatch, library):
     assert encoded(text) == library.encode(text, add_special_tokens=False).ids
 
 
+def test_decoding_holds_no_automaton():
+    light, whole = bpe.tokens(PATH), bpe.vocabulary(PATH)
+    assert not {"automaton", "right_end", "left_end", "pieces", "exact"} & vars(light).keys()
+    assert light.bytes_of == whole.bytes_of
+    ids = [*range(-2, 300), 50_255, 50_256, 50_257, 1 << 30]
+    assert light.decode(ids) == whole.decode(ids)
+
+
 def test_byte_pairs_of_a_table(spark, library):
     rows = [*ROWS, (7, "one two"), (7, "one two"), (None, "x <|endoftext|>y")]
     coded = bpe.encode_texts(documents(spark, rows), PATH, output="ids")
