@@ -27,6 +27,8 @@ from .tokens import encoder
 
 #: Pieces to a bucket, over all lengths; and the least number of buckets, so that one common length is dealt out too.
 BUCKET_ROWS, LEAST_BUCKETS = 50_000, 32
+#: Words that a worker remembers (some 40 MB): fewer than elsewhere, since executors sort here between tasks that encode.
+WORDS = 250_000
 #: What orders pieces of one length.
 ORDER = ["doc_id", "piece", "copy"]
 
@@ -110,7 +112,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int | No
     step = 4 * capacity
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer_path).encode
+        encode = encoder(tokenizer_path, WORDS).encode
         for whole in batches:
             seen: Counter = Counter()
             for batch in slices([whole], "text"):

@@ -13,8 +13,9 @@ from functools import lru_cache
 
 import numpy as np
 
-#: Distinct words kept per Python worker before the memory is emptied; it bounds memory, never the words encoded.
-WORD_CACHE = 1_000_000
+#: Distinct words kept per Python worker before the memory is emptied (some 150 MB), and the longest that is kept; they bound
+#: memory, never the words encoded.
+WORD_CACHE, LONGEST_KEPT = 1_000_000, 64
 #: Pre-tokenizer patterns none of whose matches holds white space (fixed values).
 SPACELESS = {r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}
 TAIL = string.punctuation
@@ -64,7 +65,8 @@ class Words(dict):
                 ids += self._piece(tail)
         else:
             ids = np.asarray(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        self[word] = ids
+        if len(word) <= LONGEST_KEPT:
+            self[word] = ids
         return ids
 
     def _model(self, piece: str) -> bytes:
@@ -73,17 +75,20 @@ class Words(dict):
         return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(piece)])
 
     def _piece(self, piece: str) -> bytes:
-        if piece not in self:
-            self[piece] = self._model(piece)
-        return self[piece]
+        if (ids := self.get(piece)) is None:
+            ids = self._model(piece)
+            if len(piece) <= LONGEST_KEPT:
+                self[piece] = ids
+        return ids
 
 
 class Encoder:
     """Encodes lists of texts to little-endian unsigned 32-bit ids, as bytes, without special tokens."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = WORD_CACHE):
         from tokenizers import Tokenizer
 
+        self.most = most
         with open(path, encoding="utf-8") as f:
             self.by_word = words_are_independent(json.load(f))
         self.tokenizer = Tokenizer.from_file(path)
@@ -97,13 +102,16 @@ class Encoder:
             return self.whole(texts)
         look, out = self.known.__getitem__, []
         for text in texts:
-            if len(self.known) > WORD_CACHE:
-                self.known.clear()
-            out.append(b"".join(map(look, text.replace("\n", " ").split(" "))))
+            parts = text.replace("\n", " ").split(" ")
+            for at in range(0, len(parts), self.most):
+                if len(self.known) > self.most:
+                    self.known.clear()
+                parts[at : at + self.most] = map(look, parts[at : at + self.most])
+            out.append(b"".join(parts))
         return out
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, most: int = WORD_CACHE) -> Encoder:
     """One encoder for each Python worker and vocabulary file."""
-    return Encoder(path)
+    return Encoder(path, most)

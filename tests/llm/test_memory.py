@@ -6,7 +6,8 @@ import tracemalloc
 import numpy as np
 import pyarrow as pa
 
-from lineagrid.llm import near_dups, wordbytes
+from lineagrid.llm import near_dups, tokens, wordbytes
+from lineagrid.llm.queries import vocabulary
 
 
 class Kept:
@@ -38,3 +39,10 @@ def test_sets_in_parts_are_those_of_the_whole(monkeypatch):
     column = pa.array(["a b c d e f", None, "", "x" * 200, " ", "A b C d e f g h", "ä ö"])
     whole = wordbytes.shingle_sets(*wordbytes.column_bytes(column), 5)
     assert all(np.array_equal(a, b) for a, b in zip(near_dups.text_sets(column, 5), whole, strict=True))
+
+
+def test_long_words_are_not_remembered():
+    encoder = tokens.Encoder(vocabulary(), most=100)
+    texts = ["x" * 3000 + str(k) for k in range(20)] + [f"{'ab' * 500}!" for _ in range(3)] + [" ".join(f"w{k}" for k in range(1000)), "", "a\nb"]
+    assert encoder.encode(texts) == encoder.whole(texts)
+    assert len(encoder.known) <= 300 and max(map(len, encoder.known)) <= 64
